@@ -69,3 +69,26 @@ def input_parts(df: DataFrame) -> int:
 
 def pow2(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
+
+
+#: A sketch has 2**SKETCH_ROWS rows of 64 bits: at most 4 MiB however many keys go in.
+SKETCH_ROWS = 18
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    return F.pmod(key, F.lit(1 << SKETCH_ROWS)).cast("int"), F.pmod(F.shiftright(key, SKETCH_ROWS), F.lit(64)).cast("int")
+
+
+def sketch(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of fixed size over 64-bit keys, as rows (row, bits). It has all keys and by chance others."""
+    row, bit = _slot(key)
+    slots = keys.select(row.alias("__row"), bit.alias("__bit")).distinct()
+    return slots.groupBy("__row").agg(F.sum(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+
+
+def marked(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: false where the key is surely not in the sketch. The sketch's size bounds the broadcast."""
+    row, bit = _slot(key)
+    out = df.withColumn("__row", row).withColumn("__bit", bit).join(F.broadcast(table), "__row", "left")
+    hit = F.coalesce(F.expr("(shiftright(__bits, __bit) & 1) = 1"), F.lit(False))
+    return out.withColumn(name, hit).drop("__row", "__bit", "__bits")

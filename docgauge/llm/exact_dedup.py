@@ -15,11 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, pin, read, text_of
+from .common import SPACE, marked, pin, read, sketch, text_of
 
 PREFIX_CHARS = 256
-#: The bitmap has 2**SKETCH_ROWS rows of 64 bits: at most 4 MiB however large the input is.
-SKETCH_ROWS = 18
 
 
 def normalised(text: Column) -> Column:
@@ -27,10 +25,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\x09-\x0D][{SPACE}]*|\x20[{SPACE}]+", " ")
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    return F.pmod(key, F.lit(1 << SKETCH_ROWS)).cast("int"), F.pmod(F.shiftright(key, SKETCH_ROWS), F.lit(64)).cast("int")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
@@ -46,15 +40,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_prefix = cheap.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n"))
     same_len = by_prefix.groupBy("len").agg(F.sum("n").alias("len_n")).where("len_n > 1")
     alive = by_prefix.where("n > 1").join(same_len, "len", "left_semi")
-    row, bit = _slot(pair)
-    bits = F.sum(F.expr("shiftleft(1L, bit)"))
-    sketch = alive.select(row.alias("row"), bit.alias("bit")).distinct().groupBy("row").agg(bits.alias("bits"))
-    second = cheap.withColumn("row", row).withColumn("bit", bit).join(F.broadcast(sketch), "row", "left")
-    hit = F.coalesce(F.expr("(shiftright(bits, bit) & 1) = 1"), F.lit(False))
+    second = marked(cheap, pair, sketch(alive, pair), "hit")
+    hit = F.col("hit")
     full = pin(
         second.select(
             "doc_id",
-            hit.alias("hit"),
+            "hit",
             F.when(F.lit(digest_all) | hit, F.sha2(F.col("t").cast("binary"), 256)).alias("sha"),
         ).withColumn("rid", F.monotonically_increasing_id())
     )

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .license_scan import OP8_SQL, op8_license_scan
+from .media import op6_media_columns
 from .mixing import op7_mixing
 from .packing import op9_packing
+from .toxicity import op2_toxicity
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_media_columns": op6_media_columns,
     "op7_mixing": op7_mixing,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_license_scan": OP8_SQL}
