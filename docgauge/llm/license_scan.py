@@ -2,7 +2,7 @@
 
 A block is a line; its set is its distinct words. A template is found in a block when the
 block holds at least CONTAINMENT of the template's distinct words. Words are ordered by how many
-blocks of the whole corpus hold them, rarest first. A block that meets the threshold must
+documents of the whole corpus hold them, rarest first. A block that meets the threshold must
 hold one of the first n - ceil(c * n) + 1 words of the template in this order (prefix
 filter), so only those words are exploded and joined; blocks with too few template words
 (length filter), or with too few left from the matched place on (positional filter), go before the exact
@@ -21,10 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read, text_of
+from .common import read, text_of
 
-#: Words: runs of anything but ASCII controls, space, punctuation and capitals (texts are lower-cased first).
+#: Words of a lower-cased text: runs of anything but ASCII controls, space, punctuation and capitals.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+CASED_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
 
@@ -44,6 +46,15 @@ TEMPLATES = {
 }
 
 
+def folded(text: Column) -> Column:
+    """The text lower-cased as far as ASCII words go: A-Z as by contract, and no other letter becomes a-z.
+
+    lower() is far cheaper than translate(); of what it changes besides A-Z only the Kelvin sign turns into
+    an ASCII letter, so that sign is exchanged for another first. Letters of other scripts stay letters.
+    """
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
@@ -58,14 +69,18 @@ def _template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: sorted(set(re.findall(TERM, v.lower()))) for k, v in templates.items()}
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "key", F.explode(F.split("text", "[\n\r]+")).alias("line")).where("line <> ''")
+def _any_inside(text: Column, words) -> Column:
+    """Whether the text has some of the words, be it inside of others: a cheap test without false negatives."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def word_order(docs: DataFrame, words: dict[str, list[str]]) -> list[str]:
-    """All template words, those in the fewest blocks of the corpus first; as many rows as templates have words."""
+    """All template words, those in the fewest documents of the corpus first; as many rows as templates have words."""
     vocabulary = sorted(set().union(*words.values()))
-    held = _blocks(docs).select(F.explode(F.array_intersect(_strings(vocabulary), terms(F.col("line")))).alias("word"))
+    held = docs.select(F.explode(F.array_intersect(_strings(vocabulary), terms(F.col("text")))).alias("word"))
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -84,7 +99,9 @@ def find_templates(docs: DataFrame, templates: dict[str, str], containment: floa
             index.append(F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(pos).alias("pos"), F.lit(len(own)).alias("n"), F.lit(need).alias("need"), _strings(own).alias("own")))
     table = docs.sparkSession.range(1).select(F.explode(F.array(*index)).alias("t")).select("t.*")
     least = min(math.ceil(containment * len(own) - 1e-9) for own in words.values())
-    sets = _blocks(docs).select("doc_id", "key", F.array_intersect(_strings(order), terms(F.col("line"))).alias("held"))
+    blocks = docs.where(_any_inside(F.col("text"), sorted(prefix_words))).select("doc_id", "key", F.explode(F.split("text", "[\n\r]+")).alias("line"))
+    blocks = blocks.where(_any_inside(F.col("line"), sorted(prefix_words)))
+    sets = blocks.select("doc_id", "key", F.array_intersect(_strings(order), terms(F.col("line"))).alias("held"))
     sets = sets.where(F.size("held") >= least)
     probe = sets.select("doc_id", "key", "held", F.explode(F.array_intersect("held", _strings(sorted(prefix_words, key=rank.get)))).alias("word"))
     pairs = probe.join(F.broadcast(table), "word")
@@ -111,14 +128,19 @@ def _places(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its words, base places, labels and score (the best share; 1 for a base place)."""
     base, templates = base or BASE, templates or TEMPLATES
-    text = ascii_lower(text_of(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("key"), text.alias("text"))
-    maybe = F.col("text").rlike("|".join(GAP.join(p.split()) for p in base))
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), folded(text).alias("text"), F.regexp_count(text, F.lit(CASED_TERM)).alias("n"))
+    maybe = F.lit(False)
+    for p in base:
+        inside = F.lit(True)
+        for w in sorted(p.split(), key=lambda w: -len(w)):
+            inside = inside & F.contains(F.col("text"), F.lit(w))
+        maybe = maybe | (inside & F.col("text").rlike(GAP.join(p.split())))
     # Places are sought only where the text has a phrase's words in a row; that test has no false negatives.
     hits = {p: _places(F.col("words"), p) for p in base}
     none = F.array().cast("array<int>")
-    per = rows.select("doc_id", "key", maybe.alias("maybe"), terms(F.col("text")).alias("words"))
-    per = per.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), *[F.when(F.col("maybe"), hits[p]).otherwise(none).alias(f"p{k}") for k, p in enumerate(base)])
+    per = rows.select("doc_id", "key", F.col("n").cast("long").alias("n_words"), F.when(maybe, terms(F.col("text"))).alias("words"))
+    per = per.select("doc_id", "key", "n_words", *[F.when(F.col("words").isNotNull(), hits[p]).otherwise(none).alias(f"p{k}") for k, p in enumerate(base)])
     places = F.concat(*[F.col(f"p{k}") for k in range(len(base))])
     own = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(base.values())]), lambda x: x.isNotNull())))
     per = per.select(

@@ -7,6 +7,7 @@ from .license_scan import OP8_SQL, op8_license_scan
 from .media import op6_media_columns
 from .mixing import op7_mixing
 from .packing import op9_packing
+from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .toxicity import op2_toxicity
 from .warc import OP1_SQL, op1_warc
 
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_license_scan": OP8_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_license_scan": OP8_SQL, "op10_substring_dedup": OP10_SQL}

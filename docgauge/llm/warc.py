@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, pin, read, scratch, sketch
+from .common import input_parts, marked, pin, read, scratch, sketch
 
 FILE_BYTES = 256 << 20
 BLOCK_BYTES = 8 << 20
@@ -163,11 +163,12 @@ def _reader(gap: int, with_payload: bool):
     return run
 
 
-def read_archives(index: DataFrame, block_bytes: int = BLOCK_BYTES, gap: int = GAP_BYTES, with_payload: bool = True) -> DataFrame:
+def read_archives(index: DataFrame, block_bytes: int = BLOCK_BYTES, gap: int = GAP_BYTES, with_payload: bool = True, parts: int = 0) -> DataFrame:
     """The records that the rows of index name; a block's ranges are bounded by block_bytes."""
     one = F.struct("offset", "length")
     plan = index.groupBy("file", F.floor(F.col("offset") / block_bytes).alias("block")).agg(F.sort_array(F.collect_set(one)).alias("ranges"))
-    return plan.select("file", "ranges").mapInArrow(_reader(gap, with_payload), RECORD)
+    # A row stands for a block to read: deal them out by number, as their own size says nothing.
+    return plan.repartition(parts or input_parts(index), "file", "block").select("file", "ranges").mapInArrow(_reader(gap, with_payload), RECORD)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
