@@ -6,6 +6,7 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .license_scan import OP8_SQL, op8_license_scan
 from .media import op6_media_columns
 from .mixing import op7_mixing
+from .near_join import op3_ngram_jaccard_join
 from .packing import op9_packing
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .toxicity import op2_toxicity
@@ -14,6 +15,7 @@ from .warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_mixing": op7_mixing,
