@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pin
@@ -26,3 +28,54 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("next").alias("comp"))
         if not changed:
             return labels
+
+
+WAVES = 3
+
+
+def tagged(df: DataFrame, tag: str) -> DataFrame:
+    return df.select([F.col(c).alias(f"{c}_{tag}") for c in df.columns])
+
+
+def star_pairs(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
+    """For postings (tok, id, cols...): the keys with several ids, and for each id the pivot it shares most keys with.
+
+    A key's pivot is its smallest posting by cols. Returns (toks: tok, pairs: a, b).
+    """
+    pivots = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v")).where("c > 1")
+    pivots = pin(tagged(pivots.select("tok", "v.*"), "v"))
+    star = tagged(posts, "x").join(pivots, F.col("tok_x") == F.col("tok_v")).where((F.col("id_x") != F.col("id_v")) & may_link("x", "v"))
+    best = star.groupBy("id_x", "id_v").agg(F.count(F.lit(1)).alias("s")).groupBy("id_x").agg(F.max(F.struct("s", "id_v")).alias("m"))
+    return pivots.select(F.col("tok_v").alias("tok")), best.select(F.col("id_x").alias("a"), F.col("m.id_v").alias("b"))
+
+
+def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, waves: int = WAVES) -> DataFrame:
+    """Components (node, comp) of all links, given postings (tok, id, cols...) and the links found so far.
+
+    Only keys that still join different components go on. The first waves test each
+    component's pivot at a key against that of the key's largest component; the last tests every pair
+    across components that may link. Pairs within a component need no test.
+    """
+    comps = components(edges)
+    for wave in range(waves):
+        own = pin(posts.join(comps, F.col("id") == F.col("node"), "left").select("tok", "id", *cols, F.coalesce("comp", "id").alias("comp")))
+        live = own.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("tok").alias("t"))
+        own = pin(own.join(live, F.col("tok") == F.col("t"), "left_semi"))
+        if not own.limit(1).count():
+            break
+        if wave < waves - 1:
+            by_comp = own.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v"))
+            hubs = by_comp.groupBy("tok").agg(F.max(F.struct("c", "comp", "v")).alias("h")).select("tok", F.col("h.comp").alias("comp"), "h.v.*")
+            hubs = pin(tagged(hubs, "h"))
+            left = tagged(by_comp.select("tok", "comp", "v.*"), "x")
+            meet = left.join(hubs, F.col("tok_x") == F.col("tok_h")).where((F.col("comp_x") != F.col("comp_h")) & may_link("x", "h"))
+            pairs = meet.select(F.col("id_x").alias("a"), F.col("id_h").alias("b"))
+        else:
+            meet = tagged(own, "x").join(tagged(own, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y"))).where(may_link("x", "y"))
+            pairs = meet.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+        more = pin(verify(pairs.distinct()))
+        if more.limit(1).count():
+            edges = edges.union(more)
+            comps = components(edges)
+        posts = own.drop("comp")
+    return comps

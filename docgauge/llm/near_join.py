@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from . import repeats, wordhash
 from .common import input_parts, pin, read, text_of
-from .graph import components
+from .graph import cross_waves, star_pairs, tagged
 
 K = 5
 PERCENT = 75
-WAVES = 3
+#: What orders and filters a posting: its place in the ordered set, the size, and its place among shared shingles.
+COLS = ["pos", "n", "q"]
 SIGNATURE = "doc_id long, n long, sid long, gid long, f int, p int, items binary"
 
 
@@ -123,15 +124,11 @@ def _verify(percent: int):
     return run
 
 
-def _as(df: DataFrame, tag: str) -> DataFrame:
-    return df.select([F.col(c).alias(f"{c}_{tag}") for c in df.columns])
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are similar enough."""
     items = sets.select("sid", "items")
-    right = pairs.join(_as(items, "b"), F.col("b") == F.col("sid_b")).select("a", "b", "items_b")
-    both = right.join(_as(items, "a"), F.col("a") == F.col("sid_a")).select("a", "b", "items_a", "items_b")
+    right = pairs.join(tagged(items, "b"), F.col("b") == F.col("sid_b")).select("a", "b", "items_b")
+    both = right.join(tagged(items, "a"), F.col("a") == F.col("sid_a")).select("a", "b", "items_a", "items_b")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -157,43 +154,17 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
     groups = pin(sets.groupBy("gid").agg(F.min("sid").alias("rep"), F.first("n").alias("n"), F.first("f").alias("f"), F.first(head).alias("head")))
     posts = groups.select("gid", "n", "f", "head").mapInArrow(_postings, "tok long, gid long, n long, pos int, q int")
-    pivots = pin(posts.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "q", "gid")).alias("v")).where("c > 1").select(F.col("tok").alias("tok_v"), "v.pos", "v.n", "v.q", "v.gid").toDF("tok_v", "pos_v", "n_v", "q_v", "gid_v"))
+    may_link = lambda x, y: _may_link(x, y, percent)
+    check = lambda pairs: verified(pairs, sets, percent)
     # First wave: each group with the pivot it shares most shingles with, each member with its group's first.
-    star = _as(posts, "x").join(pivots, F.col("tok_x") == F.col("tok_v")).where((F.col("gid_x") != F.col("gid_v")) & _may_link("x", "v", percent))
-    best = star.groupBy("gid_x", "gid_v").agg(F.count(F.lit(1)).alias("s")).groupBy("gid_x").agg(F.max(F.struct("s", "gid_v")).alias("m")).select(F.col("gid_x").alias("gx"), F.col("m.gid_v").alias("gv"))
+    toks, pairs = star_pairs(posts.withColumnRenamed("gid", "id"), COLS, may_link)
     reps = groups.select("gid", "rep")
-    named = best.join(_as(reps, "x"), F.col("gx") == F.col("gid_x")).join(_as(reps, "v"), F.col("gv") == F.col("gid_v"))
-    inner = sets.select("sid", F.col("gid").alias("g")).join(reps, F.col("g") == F.col("gid")).where("sid <> rep").select("sid", "rep").toDF("a", "b")
-    first = named.select("rep_x", "rep_v").toDF("a", "b").union(inner)
-    edges = pin(verified(first, sets, percent))
-    comps = components(edges)
-    # Further waves: members of shingles that still join different components.
-    members = sets.select("gid", "sid")
-    spread = posts.join(pivots.select("tok_v"), F.col("tok") == F.col("tok_v")).select("tok", "gid", "n", "pos", "q")
-    spread = _as(spread, "m").join(members, F.col("gid_m") == F.col("gid")).select(F.col("tok_m").alias("tok"), F.col("n_m").alias("n"), F.col("pos_m").alias("pos"), F.col("q_m").alias("q"), "sid")
-    for wave in range(WAVES):
-        own = spread.join(comps, F.col("sid") == F.col("node"), "left").select("tok", "n", "pos", "q", "sid", F.coalesce("comp", "sid").alias("comp"))
-        own = pin(own)
-        live = own.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("tok").alias("t"))
-        spread = pin(own.join(live, F.col("tok") == F.col("t"), "left_semi"))
-        if not spread.limit(1).count():
-            break
-        one = F.struct("pos", "n", "q", "sid", "comp")
-        if wave < WAVES - 1:
-            # A shingle's components, each by its earliest set, against the largest component's earliest set.
-            by_comp = spread.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("v"))
-            hubs = pin(by_comp.groupBy("tok").agg(F.max(F.struct("c", "v")).alias("h")).select(F.col("tok").alias("tok_h"), "h.v.*").toDF("tok_h", "pos_h", "n_h", "q_h", "sid_h", "comp_h"))
-            left = by_comp.select(F.col("tok").alias("tok_x"), "v.*").toDF("tok_x", "pos_x", "n_x", "q_x", "sid_x", "comp_x")
-            meet = left.join(hubs, F.col("tok_x") == F.col("tok_h")).where((F.col("comp_x") != F.col("comp_h")) & _may_link("x", "h", percent))
-            pairs = meet.select("sid_x", "sid_h").distinct().toDF("a", "b")
-        else:
-            meet = _as(spread, "x").join(_as(spread, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y"))).where(_may_link("x", "y", percent))
-            pairs = meet.select("sid_x", "sid_y").distinct().toDF("a", "b")
-        more = pin(verified(pairs, sets, percent))
-        if more.limit(1).count():
-            edges = edges.union(more)
-            comps = components(edges)
-        spread = spread.drop("comp")
+    pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("gid_x")).join(tagged(reps, "v"), F.col("b") == F.col("gid_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
+    inner = sets.select("sid", F.col("gid").alias("g")).join(reps, F.col("g") == F.col("gid")).where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    edges = pin(check(pairs.union(inner)))
+    # Further waves: groups expand to their members where a shingle still joins different components.
+    live = tagged(posts, "m").join(toks, F.col("tok_m") == F.col("tok")).join(sets.select("gid", "sid"), F.col("gid_m") == F.col("gid"))
+    comps = cross_waves(live.select("tok", F.col("sid").alias("id"), *[F.col(f"{c}_m").alias(c) for c in COLS]), COLS, may_link, check, edges)
     least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
     smallest = pin(least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .license_scan import OP8_SQL, op8_license_scan
+from .line_dedup import op4_line_dedup
 from .media import op6_media_columns
 from .mixing import op7_mixing
 from .near_join import op3_ngram_jaccard_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_mixing": op7_mixing,
