@@ -92,3 +92,23 @@ def marked(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame
     out = df.withColumn("__row", row).withColumn("__bit", bit).join(F.broadcast(table), "__row", "left")
     hit = F.coalesce(F.expr("(shiftright(__bits, __bit) & 1) = 1"), F.lit(False))
     return out.withColumn(name, hit).drop("__row", "__bit", "__bits")
+
+
+def drop_rows(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in gone (columns k0, k1, ... and once: keep one of such rows).
+
+    Only rows that the sketch of gone marks are shuffled, so the texts of most others stay where they are.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    gone = pin(gone.select(*names, "once"))
+    keyed = docs.select("*", *[k.alias(f"__{n}") for n, k in zip(names, keys)])
+    mine = [F.col(f"__{n}") for n in names]
+    keyed = marked(keyed, F.xxhash64(*mine), sketch(gone, F.xxhash64(*names)), "__maybe")
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(f"__{n}").eqNullSafe(F.col(n))
+    met = keyed.where("__maybe").join(gone, on, "left")
+    out = keyed.where("NOT __maybe").select(*docs.columns).unionByName(met.where("once IS NULL").select(*docs.columns))
+    if gone.where("once").limit(1).count():
+        out = out.unionByName(met.where("once").dropDuplicates([f"__{n}" for n in names]).select(*docs.columns))
+    return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, marked, pin, read, sketch, text_of
+from .common import SPACE, drop_rows, marked, pin, read, sketch, text_of
 
 PREFIX_CHARS = 256
 
@@ -63,14 +63,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that exact_dedup keeps, with their own columns, for use as a filter stage."""
-    dropped = exact_dedup(docs, id_col, text_col, digest_all=True)
-    keys = dropped.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    mine = docs.withColumn("__sha_of", F.sha2(normalised(text_of(text_col)).cast("binary"), 256))
-    kept = mine.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha_of") == F.col("__sha")), "left_semi")
-    repeated = dropped.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
-    if repeated:  # rows given more than once: one of them stays
-        kept = kept.dropDuplicates([id_col, "__sha_of"])
-    return kept.select(*docs.columns)
+    every = exact_dedup(docs, id_col, text_col, digest_all=True)
+    keys = every.groupBy(F.col("doc_id").alias("k0"), F.col("text_sha256").alias("k1")).agg(F.max("kept").alias("once"), F.count(F.lit(1)).alias("c"))
+    gone = keys.where("NOT once OR c > 1")  # once: the row that stays was given more than once
+    sha = F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
+    return drop_rows(docs, [F.col(id_col), sha], gone)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

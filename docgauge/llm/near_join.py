@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import input_parts, pin, read, text_of
+from .common import drop_rows, input_parts, pin, read, text_of
 from .graph import cross_waves, star_pairs, tagged
 
 K = 5
@@ -175,8 +175,8 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that are the smallest of their component, with the columns of the input."""
-    keep = near_join(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    gone = near_join(docs, **options).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("k0")).distinct()
+    return drop_rows(docs, [F.col(options.get("id_col", "doc_id")).cast("long")], gone.withColumn("once", F.lit(False)))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
