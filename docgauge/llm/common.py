@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of all word rules here, as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
-WORD = rf"[^{SPACE}]+"
+#: Words as a positive class, which Java matches far faster than the negated one.
+WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +39,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow_limits(spark: SparkSession) -> None:
+    """Batches of texts for Python workers in bounded bytes, unless the session has its own limits."""
+    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "16777216")):
+        now = spark.conf.get(key, usual)
+        if usual is None or now == usual:
+            spark.conf.set(key, ours)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

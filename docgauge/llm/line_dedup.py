@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import input_parts, marked, pin, read, sketch, text_of
+from .common import arrow_limits, input_parts, marked, pin, read, sketch, text_of
 from .graph import cross_waves, star_pairs, tagged
 
 MAX_EDITS = 2
@@ -209,6 +209,7 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     occurrences: doc_id, th, line_no, lid of lines that may repeat; classes: node (lid), comp, for lines with a near line.
     """
     spark, parts = docs.sparkSession, input_parts(docs)
+    arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
     found = repeats.collect(docs.select("text").mapInArrow(_keys(edits, least, log_blocks), repeats.BLOCK), log_blocks, repeats.expected(docs))
     shared = spark.sparkContext.broadcast(found)

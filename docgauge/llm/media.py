@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pin, read, scratch, text_of
+from .common import arrow_limits, pin, read, scratch, text_of
 
 ROW_BYTES = 576
 REF = "media:sha256:"
@@ -113,6 +113,7 @@ def _decode(batches):
 
 def store_media(docs: DataFrame, path: str, text_col: str = "text") -> None:
     """Write (digest, media) for every row; equal payloads give equal rows."""
+    arrow_limits(docs.sparkSession)
     docs.select(text_of(text_col).alias("text")).mapInArrow(_encode, "digest string, media binary").write.option("compression", "uncompressed").parquet(path)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import drop_rows, input_parts, pin, read, text_of
+from .common import arrow_limits, drop_rows, input_parts, pin, read, text_of
 from .graph import cross_waves, star_pairs, tagged
 
 K = 5
@@ -144,6 +144,7 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) for every document."""
     spark, parts = docs.sparkSession, input_parts(docs)
+    arrow_limits(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     log_blocks = repeats.shape_for(parts)
     found = repeats.collect(rows.select("text").mapInArrow(_keys(k, log_blocks), repeats.BLOCK), log_blocks, repeats.expected(rows))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import arrow_limits, read, text_of
 from .tokens import default_vocabulary, encoder
 
 WINDOW = 4096
@@ -163,6 +163,7 @@ def _packer(path: str, tiers, group_tokens: int, end_id: int):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, tiers=TIERS, group_tokens: int = GROUP_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; window is the length of its sequence, step_group its training step."""
+    arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(_packer(vocabulary or default_vocabulary(), tuple(tiers), group_tokens, end_id), SCHEMA)
 

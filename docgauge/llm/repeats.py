@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 KEY_BYTES = 5
 #: Hashes a task holds before it sends them.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 MOST_BITS = 1 << 28
 RANK_CELLS = 1 << 22
 FREQUENT = 8

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import SPACE, input_parts, marked, n_words, pin, read, sketch, text_of
+from .common import SPACE, arrow_limits, input_parts, marked, n_words, pin, read, sketch, text_of
 
 K = 35
 MINIMIZER = 8
@@ -145,6 +145,7 @@ def repeated_edges(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> D
     docs has doc_id, th and text; only documents with a repeated window have a row.
     """
     spark, parts = docs.sparkSession, input_parts(docs)
+    arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
     keys = docs.select("text").mapInArrow(_keys(k, log_blocks), repeats.BLOCK)
     shared = spark.sparkContext.broadcast(repeats.collect(keys, log_blocks, repeats.expected(docs)))

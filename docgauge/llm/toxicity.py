@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pin, read, text_of
+from .common import arrow_limits, pin, read, text_of
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 3_000
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and a probability p_<category> for every document."""
+    arrow_limits(docs.sparkSession)
     names = [f"p_{c}" for c in chain.names]
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most MAX_FEATURES rows of weights
 
@@ -211,6 +212,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, reject: str = REJECT) -> DataFrame:
     """The documents, all columns kept, whose probability of the reject category is below threshold."""
+    arrow_limits(docs.sparkSession)
     at = chain.names.index(reject)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
