@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space and line boundaries of Unicode strings.
-SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0" + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85" + "\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]+"
 CHARS_PER_TOKEN = 3.6
 NEAR_EMPTY_TOKENS = 20
@@ -18,7 +18,7 @@ LARGE_BYTES = 10 * 1024 * 1024
 # What counts as markup, boilerplate, a control character and closing punctuation.
 TAG = rf"</?[A-Za-z][A-Za-z0-9:-]*(?:[{SPACE}][^<>]*)?/?>"
 ENTITY = r"&(?:[a-z]{2,8}|#\p{Nd}{2,5}|#x[0-9a-fA-F]{2,4});"
-CONTROL = r"[\x00-\x08\x0E-\x1F\x7F-\x9F�]"
+CONTROL = r"[\x00-\x08\x0E-\x1F\x7F-\x9F" + "\ufffd]"
 TERMINAL = ".!?…:;\"')]}»"
 BOILERPLATE = (
     rf"(?iu)(?:©|\(c\)[{SPACE}]*\p{{Nd}}{{4}}|copyright|all rights reserved|unsubscribe|cookie|privacy policy|terms of (?:use|service)"
@@ -125,8 +125,7 @@ def _repeated_share(words: np.ndarray) -> float:
     return round(worst, 6)
 
 
-@F.pandas_udf("double")
-def _ngram_repetition(words: pd.Series) -> pd.Series:
+def _repeated_shares(words: pd.Series) -> pd.Series:
     return words.map(lambda w: _repeated_share(np.array(w, object).astype(str)) if w is not None and len(w) else 0.0)
 
 
@@ -136,4 +135,4 @@ def ngram_repetition(text: Column) -> Column:
     The grams of one document matter to no other: a vectorised function per batch needs no shuffle,
     where exploding the words would shuffle the corpus three times.
     """
-    return _ngram_repetition(F.transform(words(text), F.lower))
+    return F.pandas_udf(_repeated_shares, "double")(F.transform(words(text), F.lower))

@@ -41,7 +41,6 @@ def _signature(words) -> list[int] | None:
     return best.astype(np.int64).tolist()
 
 
-@F.pandas_udf("array<bigint>")
 def _signatures(words: pd.Series) -> pd.Series:
     return words.map(_signature)
 
@@ -49,7 +48,7 @@ def _signatures(words: pd.Series) -> pd.Series:
 def signatures(texts: DataFrame) -> DataFrame:
     """doc_hash and sig of each distinct text with at least SHINGLE words."""
     one = texts.groupBy("doc_hash").agg(F.first("text").alias("text"))
-    return one.select("doc_hash", _signatures(tx.words(F.lower("text"))).alias("sig")).where("sig IS NOT NULL")
+    return one.select("doc_hash", F.pandas_udf(_signatures, "array<bigint>")(tx.words(F.lower("text"))).alias("sig")).where("sig IS NOT NULL")
 
 
 def near_hashes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

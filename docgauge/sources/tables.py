@@ -38,7 +38,7 @@ DEFECT_SQL = """(SELECT doc_id, source, lang,
 
 
 def read_documents(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFrame:
-    """DOCS, and doc_id: source_system is source, source_id doc_id div 2 with every fifth missing, collected_at a day
+    """DOCS, and doc_id: source_system is source, source_id doc_id div 40 with every fifth missing, collected_at a day
     of 2026 with every 9th missing, custody for even ids, reliability for every third, a parent for every 10th."""
     i = F.col("doc_id")
     rows = read_table(spark, sf_dir, "documents").withColumn("text", defect_text() if defects else F.coalesce(F.col("text"), F.lit("")))
@@ -47,7 +47,7 @@ def read_documents(spark: SparkSession, sf_dir: str, defects: bool = False) -> D
     out = rows.select(
         "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("doc_hash"), "text", F.octet_length("text").cast("long").alias("size_bytes"),
         F.col("source").alias("source_system"), i.cast("string").alias("source_locator"),
-        F.when(i % 5 != 0, F.floor(i / 2).cast("string")).alias("source_id"), F.when(i % 9 != 0, day).alias("collected_at"),
+        F.when(i % 5 != 0, F.floor(i / 40).cast("string")).alias("source_id"), F.when(i % 9 != 0, day).alias("collected_at"),
         none("string").alias("media_type"), F.lit("2026-01-01T00:00:00Z").alias("ingested_at"),
         F.when(i % 2 == 0, F.array(F.struct(F.lit("intake").alias("actor"), F.lit("2026-01-01T00:00:00Z").alias("at"), none("string").alias("action")))).cast(CUSTODY).alias("custody"),
         none("array<string>").alias("markings"), F.when(i % 10 == 0, F.sha2(i.cast("string").cast("binary"), 256)).alias("parent_hash"),
