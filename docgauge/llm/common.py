@@ -108,16 +108,17 @@ def drop_rows(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame
 
     Only rows that the sketch of gone marks are shuffled, so the texts of most others stay where they are.
     """
-    names = [f"k{i}" for i in range(len(keys))]
-    gone = pin(gone.select(*names, "once"))
-    keyed = docs.select("*", *[k.alias(f"__{n}") for n, k in zip(names, keys)])
-    mine = [F.col(f"__{n}") for n in names]
+    names = [f"__gone{i}" for i in range(len(keys))]
+    gone = pin(gone.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)], F.col("once").alias("__once")))
+    keyed = docs.select("*", *[k.alias(f"__key{i}") for i, k in enumerate(keys)])
+    mine = [F.col(f"__key{i}") for i in range(len(keys))]
     keyed = marked(keyed, F.xxhash64(*mine), sketch(gone, F.xxhash64(*names)), "__maybe")
     on = F.lit(True)
-    for n in names:
-        on = on & F.col(f"__{n}").eqNullSafe(F.col(n))
+    for k, n in zip(mine, names):
+        on = on & k.eqNullSafe(F.col(n))
     met = keyed.where("__maybe").join(gone, on, "left")
-    out = keyed.where("NOT __maybe").select(*docs.columns).unionByName(met.where("once IS NULL").select(*docs.columns))
-    if gone.where("once").limit(1).count():
-        out = out.unionByName(met.where("once").dropDuplicates([f"__{n}" for n in names]).select(*docs.columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = keyed.where("NOT __maybe").select(*own).unionByName(met.where("__once IS NULL").select(*own))
+    if gone.where("__once").limit(1).count():
+        out = out.unionByName(met.where("__once").dropDuplicates([f"__key{i}" for i in range(len(keys))]).select(*own))
     return out

@@ -49,12 +49,15 @@ def star_pairs(posts: DataFrame, cols: list[str], may_link: Callable[[str, str],
     return pivots.select(F.col("tok_v").alias("tok")), best.select(F.col("id_x").alias("a"), F.col("m.id_v").alias("b"))
 
 
-def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, waves: int = WAVES) -> DataFrame:
+def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, waves: int = WAVES, heads: DataFrame | None = None) -> DataFrame:
     """Components (node, comp) of all links, given postings (tok, id, cols...) and the links found so far.
 
     Only keys that still join different components go on. The first waves test each
     component's pivot at a key against that of the key's largest component; the last tests every pair
     across components that may link. Pairs within a component need no test.
+
+    heads, if given, has (id, head): each id's keys in one order common to all. The last wave then
+    makes a pair at its first common key alone, not once for every key it shares.
     """
     comps = components(edges)
     for wave in range(waves):
@@ -71,7 +74,12 @@ def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str]
             meet = left.join(hubs, F.col("tok_x") == F.col("tok_h")).where((F.col("comp_x") != F.col("comp_h")) & may_link("x", "h"))
             pairs = meet.select(F.col("id_x").alias("a"), F.col("id_h").alias("b"))
         else:
-            meet = tagged(own, "x").join(tagged(own, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y"))).where(may_link("x", "y"))
+            last, once = own, F.lit(True)
+            if heads is not None:
+                last = own.join(heads.withColumnRenamed("id", "hid"), F.col("id") == F.col("hid")).drop("hid")
+                once = F.get(F.array_intersect("head_x", "head_y"), F.lit(0)) == F.col("tok_x")
+            last = pin(last)
+            meet = tagged(last, "x").join(tagged(last, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y")) & may_link("x", "y") & once)
             pairs = meet.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
         more = pin(verify(pairs.distinct()))
         if more.limit(1).count():

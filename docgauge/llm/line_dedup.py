@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from . import repeats, wordhash
 from .common import arrow_limits, input_parts, marked, pin, read, sketch, text_of
 from .graph import cross_waves, star_pairs, tagged
+from .memory import tidy
 
 MAX_EDITS = 2
 MIN_CHARS = 40
 OCCURRENCE = "doc_id long, th long, line_no int, lid long, line string, keys binary, roles binary"
 COLS = ["role", "len"]
+#: A random number for each character of the basic plane; the others are mixed one by one.
+_CODES = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, 1 << 16, np.uint64)
 _chars = wordhash._Powers(0xA0761D6478BD642F | 1)
 #: Lines whose text a task has sent already, at most; beyond it texts are sent again.
 SEEN = 500_000
@@ -54,10 +57,14 @@ def segment(length, number, edits: int):
 def keys_of(lines: list[str], edits: int, least: int):
     """(line, key, role) arrays: role 0 for a line's own segments, 1 for its probes; and the lines' hashes."""
     size = np.array([len(x) for x in lines], np.int64)
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = _CODES[code & 0xFFFF]
+    if len(code) and code.max() > 0xFFFF:
+        far = code > 0xFFFF
+        chars[far] = wordhash.mix(code[far].astype(np.uint64))
     begin = np.cumsum(size) - size
-    up, down = _chars.upto(len(chars) + 1)
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(wordhash.mix(chars + np.uint64(77)) * up[:-1]))
+    up, down = _chars.upto(len(code) + 1)
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(chars * up[:-1]))
     part = lambda a, z: (sums[z] - sums[a]) * down[a]
     lid = wordhash.mix(part(begin, begin + size) + size.astype(np.uint64)).view(np.int64)
     at, keys, roles = [], [], []
@@ -143,7 +150,9 @@ def within(xs: list[str], ys: list[str], edits: int) -> np.ndarray:
         raise ValueError("the band must fit into a word")
     pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(xs, ys)]
     out = np.zeros(len(pairs), bool)
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+    # An edit changes two of the counts of characters by one at most; this spares most pairs that share a segment by chance.
+    apart = np.abs(_counts([x for x, _ in pairs]) - _counts([y for _, y in pairs])).sum(axis=1)
+    order = sorted(np.flatnonzero(apart <= 2 * edits).tolist(), key=lambda i: len(pairs[i][0]))
     for k in range(0, len(order), 2048):
         part = [i for i in order[k : k + 2048] if len(pairs[i][0]) - len(pairs[i][1]) <= edits]
         if part:
@@ -151,6 +160,13 @@ def within(xs: list[str], ys: list[str], edits: int) -> np.ndarray:
     return out
 
 
+def _counts(lines: list[str]) -> np.ndarray:
+    """How many characters of each line fall into each of 32 bins."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(line * 32 + code, minlength=32 * len(lines)).reshape(len(lines), 32)
+
+
 def _within(pairs, edits: int) -> np.ndarray:
     one, top = np.uint64(1), np.uint64(63)
     la, lb = (np.array([len(p[j]) for p in pairs], np.int64) for j in (0, 1))
@@ -200,7 +216,7 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     text = lines.select("id", "line")
     right = pairs.join(tagged(text, "b"), F.col("b") == F.col("id_b")).select("a", "b", "line_b")
     both = right.join(tagged(text, "a"), F.col("a") == F.col("id_a")).select("a", "b", "line_a", "line_b")
-    return both.mapInArrow(_verify(edits), "a long, b long")
+    return both.mapInArrow(tidy(_verify(edits)), "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -211,12 +227,12 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     spark, parts = docs.sparkSession, input_parts(docs)
     arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
-    found = repeats.collect(docs.select("text").mapInArrow(_keys(edits, least, log_blocks), repeats.BLOCK), log_blocks, repeats.expected(docs))
+    found = repeats.collect(docs.select("text").mapInArrow(tidy(_keys(edits, least, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(docs))
     shared = spark.sparkContext.broadcast(found)
-    spots = pin(docs.select("doc_id", "th", "text").mapInArrow(_candidates(edits, least, shared), OCCURRENCE))
+    spots = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_candidates(edits, least, shared)), OCCURRENCE))
     lines = spots.where("line IS NOT NULL").groupBy(F.col("lid").alias("id")).agg(*[F.first(c).alias(c) for c in ("line", "keys", "roles")])
     lines = pin(lines.withColumn("len", F.char_length("line").cast("long")))
-    posts = lines.select("id", "len", "keys", "roles").mapInArrow(_postings, "tok long, id long, role int, len long")
+    posts = lines.select("id", "len", "keys", "roles").mapInArrow(tidy(_postings), "tok long, id long, role int, len long")
 
     def may_link(x: str, y: str) -> Column:
         near = F.abs(F.col(f"len_{x}") - F.col(f"len_{y}")) <= edits
@@ -254,7 +270,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MI
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     alone = rows.where("not maybe").select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
     met = rows.where("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
-    return alone.unionByName(met.select("doc_id", "text", "gone").mapInArrow(_drop, "doc_id long, n_lines long, n_dropped long, kept string"))
+    return alone.unionByName(met.select("doc_id", "text", "gone").mapInArrow(tidy(_drop), "doc_id long, n_lines long, n_dropped long, kept string"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, pin, read, scratch, text_of
+from .memory import tidy
 
 ROW_BYTES = 576
 REF = "media:sha256:"
@@ -114,12 +115,12 @@ def _decode(batches):
 def store_media(docs: DataFrame, path: str, text_col: str = "text") -> None:
     """Write (digest, media) for every row; equal payloads give equal rows."""
     arrow_limits(docs.sparkSession)
-    docs.select(text_of(text_col).alias("text")).mapInArrow(_encode, "digest string, media binary").write.option("compression", "uncompressed").parquet(path)
+    docs.select(text_of(text_col).alias("text")).mapInArrow(tidy(_encode), "digest string, media binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
     """The media's columns, computed from the stored bytes; one row per digest."""
-    return spark.read.parquet(path).select("digest", "media").mapInArrow(_decode, MEDIA).dropDuplicates(["digest"])
+    return spark.read.parquet(path).select("digest", "media").mapInArrow(tidy(_decode), MEDIA).dropDuplicates(["digest"])
 
 
 # --- sequences -------------------------------------------------------------

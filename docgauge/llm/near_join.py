@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from . import repeats, wordhash
 from .common import arrow_limits, drop_rows, input_parts, pin, read, text_of
 from .graph import cross_waves, star_pairs, tagged
+from .memory import tidy
 
 K = 5
 PERCENT = 75
@@ -129,7 +130,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     items = sets.select("sid", "items")
     right = pairs.join(tagged(items, "b"), F.col("b") == F.col("sid_b")).select("a", "b", "items_b")
     both = right.join(tagged(items, "a"), F.col("a") == F.col("sid_a")).select("a", "b", "items_a", "items_b")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return both.mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -147,14 +148,14 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     arrow_limits(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     log_blocks = repeats.shape_for(parts)
-    found = repeats.collect(rows.select("text").mapInArrow(_keys(k, log_blocks), repeats.BLOCK), log_blocks, repeats.expected(rows))
+    found = repeats.collect(rows.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(rows))
     shared = spark.sparkContext.broadcast(found)
-    signed = pin(rows.mapInArrow(_signatures(k, percent, shared), SIGNATURE))
+    signed = pin(rows.mapInArrow(tidy(_signatures(k, percent, shared)), SIGNATURE))
     sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
     sets = pin(sets)
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
     groups = pin(sets.groupBy("gid").agg(F.min("sid").alias("rep"), F.first("n").alias("n"), F.first("f").alias("f"), F.first(head).alias("head")))
-    posts = groups.select("gid", "n", "f", "head").mapInArrow(_postings, "tok long, gid long, n long, pos int, q int")
+    posts = groups.select("gid", "n", "f", "head").mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int")
     may_link = lambda x, y: _may_link(x, y, percent)
     check = lambda pairs: verified(pairs, sets, percent)
     # First wave: each group with the pivot it shares most shingles with, each member with its group's first.
@@ -165,7 +166,9 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     edges = pin(check(pairs.union(inner)))
     # Further waves: groups expand to their members where a shingle still joins different components.
     live = tagged(posts, "m").join(toks, F.col("tok_m") == F.col("tok")).join(sets.select("gid", "sid"), F.col("gid_m") == F.col("gid"))
-    comps = cross_waves(live.select("tok", F.col("sid").alias("id"), *[F.col(f"{c}_m").alias(c) for c in COLS]), COLS, may_link, check, edges)
+    heads = posts.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("h")).select(F.col("gid").alias("hg"), F.col("h.tok").alias("head"))
+    heads = sets.select("sid", "gid").join(heads, F.col("gid") == F.col("hg")).select(F.col("sid").alias("id"), "head")
+    comps = cross_waves(live.select("tok", F.col("sid").alias("id"), *[F.col(f"{c}_m").alias(c) for c in COLS]), COLS, may_link, check, edges, heads=heads)
     least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
     smallest = pin(least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least")))

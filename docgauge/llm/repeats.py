@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import tidy_group
+
 KEY_BYTES = 5
 #: Hashes a task holds before it sends them.
-FLUSH = 2_000_000
-MOST_BITS = 1 << 28
-RANK_CELLS = 1 << 22
+FLUSH = 1_000_000
+MOST_BITS = 1 << 27
+RANK_CELLS = 1 << 20
 FREQUENT = 8
 MOST_BLOCKS = 16_384
 BLOCK = "block int, keys binary, counts binary"
@@ -101,7 +103,7 @@ def _count(log_blocks: int, log_bits: int):
         size = 1 << (log_bits - log_blocks)
         block = table.column("block")[0].as_py()
         keys = np.concatenate([_of_planes(x.as_py()) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")]).astype(np.uint32)
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -124,18 +126,19 @@ def _count(log_blocks: int, log_bits: int):
 
 def shape_for(n_parts: int) -> int:
     """The logarithm of how many blocks an input of so many partitions gets."""
-    return max(4, min(MOST_BLOCKS.bit_length() - 1, (max(1, n_parts) - 1).bit_length() + 1))
+    return max(4, min(MOST_BLOCKS.bit_length() - 1, (max(1, n_parts) - 1).bit_length() + 2))
 
 
 def collect(rows: DataFrame, log_blocks: int, expected: int) -> Repeats:
     """The sketch of all hashes in rows (of BLOCK). expected: about how many; the driver gets at most MOST_BITS / 8 + RANK_CELLS bytes."""
     log_bits = max(log_blocks + 6, min(MOST_BITS.bit_length() - 1, max(1, 2 * expected).bit_length()))
-    found = rows.groupBy("block").applyInArrow(_count(log_blocks, log_bits), "block int, bits binary, ranks binary, n long").select("block", "bits", "ranks")
+    found = rows.groupBy("block").applyInArrow(tidy_group(_count(log_blocks, log_bits)), "block int, bits binary, ranks binary, n long").select("block", "bits", "ranks")
     size, cells = 1 << (log_bits - log_blocks - 3), max(1, RANK_CELLS >> log_blocks)
     bits, ranks = np.zeros(size << log_blocks, np.uint8), np.zeros(cells << log_blocks, np.uint8)
-    for r in found.toArrow().to_pylist():
-        bits[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-        ranks[r["block"] * cells : (r["block"] + 1) * cells] = np.frombuffer(r["ranks"], np.uint8)
+    for batch in found.toArrow().to_batches():
+        for block, b, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            bits[block * size : (block + 1) * size] = np.frombuffer(b.as_buffer(), np.uint8)
+            ranks[block * cells : (block + 1) * cells] = np.frombuffer(r.as_buffer(), np.uint8)
     return Repeats(log_blocks, log_bits, bits, ranks)
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import repeats, wordhash
 from .common import SPACE, arrow_limits, input_parts, marked, n_words, pin, read, sketch, text_of
+from .memory import tidy, tidy_group
 
 K = 35
 MINIMIZER = 8
@@ -147,12 +148,12 @@ def repeated_edges(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> D
     spark, parts = docs.sparkSession, input_parts(docs)
     arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
-    keys = docs.select("text").mapInArrow(_keys(k, log_blocks), repeats.BLOCK)
+    keys = docs.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK)
     shared = spark.sparkContext.broadcast(repeats.collect(keys, log_blocks, repeats.expected(docs)))
-    pieces = pin(docs.select("doc_id", "th", "text").mapInArrow(_pieces(k, minimizer, shared), PIECE))
+    pieces = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_pieces(k, minimizer, shared)), PIECE))
     compact = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("minimizer").alias("minimizer"), F.first("edges").alias("edges"))
     groups = compact.withColumn("part", F.pmod("minimizer", F.lit(max(64, 8 * parts))))
-    masks = pin(groups.groupBy("part").applyInArrow(_confirm, "piece long, mask binary"))
+    masks = pin(groups.groupBy("part").applyInArrow(tidy_group(_confirm), "piece long, mask binary"))
     spots = pieces.select("doc_id", "th", "start", "piece").join(masks.withColumnRenamed("piece", "p"), F.col("piece") == F.col("p"))
     return spots.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
 
@@ -167,7 +168,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     alone = rows.where("not maybe").select("doc_id", n_words(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_removed"), clean.alias("kept"))
     spots = found.select(F.col("doc_id").alias("fid"), F.col("th").alias("fth"), "found")
     met = rows.where("maybe").join(spots, F.col("doc_id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
-    return alone.unionByName(met.select("doc_id", "text", "found").mapInArrow(_remove(k), "doc_id long, n_words long, n_removed long, kept string"))
+    return alone.unionByName(met.select("doc_id", "text", "found").mapInArrow(tidy(_remove(k)), "doc_id long, n_words long, n_removed long, kept string"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

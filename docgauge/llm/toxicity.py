@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, pin, read, text_of
+from .memory import tidy
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 3_000
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     sample = pin(sample.select("text", *ys, F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
     n = totals["n"]
-    counts = sample.select("text", *ys).mapInArrow(_counts(k), ", ".join(["feature string", *(f"n{c} long" for c in range(k + 1))]))
+    counts = sample.select("text", *ys).mapInArrow(tidy(_counts(k)), ", ".join(["feature string", *(f"n{c} long" for c in range(k + 1))]))
     counts = counts.groupBy("feature").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(k + 1)]).where(F.col("n0") >= MIN_DOCS)
     gains = []
     for c, y in enumerate(ys):
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     best = counts.orderBy(F.desc("gain"), "feature").limit(max_features)
     vocabulary = [r["feature"] for r in best.select("feature").collect()]
     kinds = ", ".join(["at array<int>", *(f"{y} int" for y in ys), "fold int"])
-    rows = sample.select("text", *ys, "fold").mapInArrow(_indices(vocabulary, k), kinds).toArrow()
+    rows = sample.select("text", *ys, "fold").mapInArrow(tidy(_indices(vocabulary, k)), kinds).toArrow()
     at = [np.array(x, np.int64) for x in rows.column("at").to_pylist()]
     y = np.column_stack([rows.column(y).to_numpy() for y in ys]) if n else np.zeros((0, k))
     models, oof = fit_chain(at, y, rows.column("fold").to_numpy(), len(vocabulary))
@@ -207,7 +208,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} double" for n in names)]))
+    return rows.mapInArrow(tidy(run), ", ".join([f"doc_id {kind}", *(f"{n} double" for n in names)]))
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, reject: str = REJECT) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_parts, marked, pin, read, scratch, sketch
+from .memory import tidy
 
 FILE_BYTES = 256 << 20
 BLOCK_BYTES = 8 << 20
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
     met = met.select("page_id", "url", "sha1", "n", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    return pin(alone.unionByName(met).mapInArrow(_writer(folder, file_bytes, level), INDEX))
+    return pin(alone.unionByName(met).mapInArrow(tidy(_writer(folder, file_bytes, level)), INDEX))
 
 
 def merged(ranges: list[tuple[int, int]], gap: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -168,7 +169,7 @@ def read_archives(index: DataFrame, block_bytes: int = BLOCK_BYTES, gap: int = G
     one = F.struct("offset", "length")
     plan = index.groupBy("file", F.floor(F.col("offset") / block_bytes).alias("block")).agg(F.sort_array(F.collect_set(one)).alias("ranges"))
     # A row stands for a block to read: deal them out by number, as their own size says nothing.
-    return plan.repartition(parts or input_parts(index), "file", "block").select("file", "ranges").mapInArrow(_reader(gap, with_payload), RECORD)
+    return plan.repartition(parts or input_parts(index), "file", "block").select("file", "ranges").mapInArrow(tidy(_reader(gap, with_payload)), RECORD)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

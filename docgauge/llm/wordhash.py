@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; words of a document longer than this are gathered over several rounds.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -123,7 +123,7 @@ def whole(hashes: np.ndarray) -> int:
     return int(windows(hashes, len(hashes))[0]) if len(hashes) else 0
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
     """The batch in slices whose texts have about most bytes, one row at least."""
     texts = batch.column(column).cast(pa.large_string())
     offs = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
