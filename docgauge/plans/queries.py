@@ -210,7 +210,7 @@ def all_metrics(spark, d):
 QUERIES = {
     "vol_totals": vol_totals, "token_distribution": token_distribution, "exact_duplicates": exact_duplicates, "near_duplicates": near_duplicates,
     "integrity_rates": integrity_rates, "boilerplate_share": _share(tx.boilerplate_share), "intra_doc_repetition": _share(tx.intra_doc_repetition),
-    "ngram_repetition": _share(lambda t: F.bround(tx.ngram_repetition(t), 5)), "share_distributions": share_distributions, "markup_pages": markup_pages, "control_chars": control_chars,
+    "ngram_repetition": _share(tx.ngram_repetition), "share_distributions": share_distributions, "markup_pages": markup_pages, "control_chars": control_chars,
     "markings_parsed": markings_parsed, "markings_metrics": markings_metrics, "redaction_residue": redaction_residue, "ceiling_breach": ceiling_breach,
     "source_histogram": source_histogram, "date_range": date_range, "provenance_rates": provenance_rates, "reliability_histogram": reliability_histogram,
     "duplicate_source_ids": duplicate_source_ids, "sidecar_left_join": sidecar_left_join, "sidecar_anti_join": sidecar_anti_join, "gate_findings": gate_findings,
@@ -326,8 +326,8 @@ ORACLES = {
     "integrity_rates": "SELECT count(*) AS docs, " + ", ".join(f"sum(({c})::INT)::BIGINT AS {n}" for n, c in _FLAGS.items()) + f" FROM {_BAD} b",
     "boilerplate_share": f"SELECT doc_id, {_BOILER} AS share FROM {_BAD} b",
     "intra_doc_repetition": f"SELECT doc_id, {_INTRA} AS share FROM {_BAD} b",
-    # Six places are rounded on the binary value by Python and on the decimal one by SQL; ties differ there, not at five.
-    "ngram_repetition": f"SELECT doc_id, round_even(share, 5) AS share FROM ({_NGRAM.format(w=_W, src=_BAD)}) n",
+    # A tie at the sixth place is rounded on the binary value by Python and on the decimal one by SQL.
+    "ngram_repetition": _NGRAM.format(w=_W, src=_BAD),
     "share_distributions": f"WITH m AS (SELECT 'int.boilerplate_share' AS metric_id, {_BOILER} AS v FROM {_PLAIN} b UNION ALL SELECT 'int.intra_doc_repetition', {_INTRA} FROM {_PLAIN} b UNION ALL SELECT 'int.ngram_repetition', share FROM ({_NGRAM.format(w=_W, src=_PLAIN)}) n) SELECT metric_id, min(v) AS min, {_DIST.format(p=0.5)} AS p50, {_DIST.format(p=0.95)} AS p95, max(v) AS max, round_even(avg(v), 6) AS mean FROM m GROUP BY 1",
     "markup_pages": f"SELECT page_id, {_FLAGS['markup_residue']} AS markup, {_FLAGS['markup_residue'].replace('(t,', '(u,')} AS markup_in_url FROM (SELECT page_id, coalesce(html, '') AS t, coalesce(url, '') AS u FROM pages)",
     "control_chars": f"SELECT doc_id FROM {_BAD} b WHERE {_FLAGS['control_chars']}",
