@@ -27,11 +27,18 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
-def tidy(run):
+#: Caches of a worker that outlive tasks; whatever else runs in the worker empties them first.
+CACHES: list = []
+
+
+def tidy(run, keep_caches: bool = False):
     """A function over batches that releases memory when its task ends."""
 
     @functools.wraps(run)
     def wrapped(batches):
+        if not keep_caches:
+            for c in CACHES:
+                c.clear()
         try:
             yield from run(batches)
         finally:

@@ -166,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, tiers=TIERS, group_toke
     """One row per piece; window is the length of its sequence, step_group its training step."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(tidy(_packer(vocabulary or default_vocabulary(), tuple(tiers), group_tokens, end_id)), SCHEMA)
+    return rows.mapInArrow(tidy(_packer(vocabulary or default_vocabulary(), tuple(tiers), group_tokens, end_id), keep_caches=True), SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

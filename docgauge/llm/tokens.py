@@ -8,8 +8,10 @@ from struct import pack
 
 import numpy as np
 
-#: Entries of each cache of a Python worker; it starts anew beyond them (about 80 MB in all).
-CACHE_ENTRIES = 200_000
+from .memory import CACHES
+
+#: Entries of each cache of a Python worker; it starts anew beyond them (about 150 MB in all).
+CACHE_ENTRIES = 500_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 48
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -93,6 +95,7 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder for this vocabulary file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        CACHES.extend([_encoders[path].cache, _encoders[path].words])
     return _encoders[path]
 
 
