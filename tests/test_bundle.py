@@ -196,6 +196,7 @@ def test_policies(tmp_path):
     policy["rules"][0]["evidence_flag"] = "x"
     found = gate.evaluate(policy, [{"metric_id": "m", "value": 3, "unit": "docs"}], lambda *a: ["h"])
     assert found[0]["gate"]["reason"] == "3 docs > 0" and "evidence" not in found[0]
+    assert gate.evaluate(policy, [{"metric_id": "m", "value": {"a": 1}}], lambda *a: [])[0]["status"] == "inconclusive"
     for text in (rule % "awful", rule.replace("severity: {fail: %s}", "severity: {}"), "{rule_id: R}"):
         p.write_text(f"policy_id: a\npolicy_version: '1'\nframework: f\nrules: [{text}]")
         with pytest.raises(gate.PolicyError, match="rules/0"):
