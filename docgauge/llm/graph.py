@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import pin, sweep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = pin(new.join(jump, F.col("next") == F.col("j"), "left").select("node", "comp", F.least("next", "jump").alias("next")))
         changed = new.where("comp <> next").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
+        near = jump = None
+        sweep(edges.sparkSession)
         if not changed:
             return labels
 
@@ -37,27 +39,31 @@ def tagged(df: DataFrame, tag: str) -> DataFrame:
     return df.select([F.col(c).alias(f"{c}_{tag}") for c in df.columns])
 
 
-def star_pairs(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
-    """For postings (tok, id, cols...): the keys with several ids, and for each id the pivot it shares most keys with.
+def star_pairs(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], best_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """For postings (tok, id, cols...): keys that need more than these pairs, and pairs of ids with pivots, (tok), (a, b).
 
-    A key's pivot is its smallest posting by cols. Returns (toks: tok, pairs: a, b).
+    A key's pivot is its smallest posting by cols. With best_only an id meets the pivot it shares most keys with,
+    otherwise every pivot that it may link with; keys of two postings are then done.
     """
     pivots = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v")).where("c > 1")
-    pivots = pin(tagged(pivots.select("tok", "v.*"), "v"))
+    pivots = pin(tagged(pivots.select("tok", "c", "v.*"), "v"))
     star = tagged(posts, "x").join(pivots, F.col("tok_x") == F.col("tok_v")).where((F.col("id_x") != F.col("id_v")) & may_link("x", "v"))
+    toks = pivots.where(F.col("c_v") > (1 if best_only else 2)).select(F.col("tok_v").alias("tok"))
+    if not best_only:
+        return toks, star.select(F.col("id_x").alias("a"), F.col("id_v").alias("b")).distinct()
     best = star.groupBy("id_x", "id_v").agg(F.count(F.lit(1)).alias("s")).groupBy("id_x").agg(F.max(F.struct("s", "id_v")).alias("m"))
-    return pivots.select(F.col("tok_v").alias("tok")), best.select(F.col("id_x").alias("a"), F.col("m.id_v").alias("b"))
+    return toks, best.select(F.col("id_x").alias("a"), F.col("m.id_v").alias("b"))
 
 
-def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, waves: int = WAVES, heads: DataFrame | None = None) -> DataFrame:
+def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, waves: int = WAVES, any_key: bool = False) -> DataFrame:
     """Components (node, comp) of all links, given postings (tok, id, cols...) and the links found so far.
 
     Only keys that still join different components go on. The first waves test each
     component's pivot at a key against that of the key's largest component; the last tests every pair
     across components that may link. Pairs within a component need no test.
 
-    heads, if given, has (id, head): each id's keys in one order common to all. The last wave then
-    makes a pair at its first common key alone, not once for every key it shares.
+    any_key says that whether a pair may link doesn't depend on which of its common keys is looked
+    at. The last wave then makes a pair at its smallest common key alone, not once for every key it shares.
     """
     comps = components(edges)
     for wave in range(waves):
@@ -75,10 +81,11 @@ def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str]
             pairs = meet.select(F.col("id_x").alias("a"), F.col("id_h").alias("b"))
         else:
             last, once = own, F.lit(True)
-            if heads is not None:
-                last = own.join(heads.withColumnRenamed("id", "hid"), F.col("id") == F.col("hid")).drop("hid")
+            if any_key:
+                # A key common to two components is live, so the live keys of an id are all that is compared.
+                heads = own.groupBy(F.col("id").alias("hid")).agg(F.sort_array(F.collect_set("tok")).alias("head"))
+                last = own.join(heads, F.col("id") == F.col("hid")).drop("hid")
                 once = F.get(F.array_intersect("head_x", "head_y"), F.lit(0)) == F.col("tok_x")
-            last = pin(last)
             meet = tagged(last, "x").join(tagged(last, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y")) & may_link("x", "y") & once)
             pairs = meet.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
         more = pin(verify(pairs.distinct()))
@@ -86,4 +93,5 @@ def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str]
             edges = edges.union(more)
             comps = components(edges)
         posts = own.drop("comp")
+        sweep(posts.sparkSession)
     return comps

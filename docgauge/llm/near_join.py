@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import arrow_limits, drop_rows, input_parts, pin, read, text_of
+from .common import arrow_limits, drop_rows, input_parts, pin, read, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -153,6 +153,7 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     signed = pin(rows.mapInArrow(tidy(_signatures(k, percent, shared)), SIGNATURE))
     sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
     sets = pin(sets)
+    sweep(spark)
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
     groups = pin(sets.groupBy("gid").agg(F.min("sid").alias("rep"), F.first("n").alias("n"), F.first("f").alias("f"), F.first(head).alias("head")))
     posts = groups.select("gid", "n", "f", "head").mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int")
@@ -164,11 +165,10 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("gid_x")).join(tagged(reps, "v"), F.col("b") == F.col("gid_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
     inner = sets.select("sid", F.col("gid").alias("g")).join(reps, F.col("g") == F.col("gid")).where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     edges = pin(check(pairs.union(inner)))
+    sweep(spark)
     # Further waves: groups expand to their members where a shingle still joins different components.
     live = tagged(posts, "m").join(toks, F.col("tok_m") == F.col("tok")).join(sets.select("gid", "sid"), F.col("gid_m") == F.col("gid"))
-    heads = posts.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("h")).select(F.col("gid").alias("hg"), F.col("h.tok").alias("head"))
-    heads = sets.select("sid", "gid").join(heads, F.col("gid") == F.col("hg")).select(F.col("sid").alias("id"), "head")
-    comps = cross_waves(live.select("tok", F.col("sid").alias("id"), *[F.col(f"{c}_m").alias(c) for c in COLS]), COLS, may_link, check, edges, heads=heads)
+    comps = cross_waves(live.select("tok", F.col("sid").alias("id"), *[F.col(f"{c}_m").alias(c) for c in COLS]), COLS, may_link, check, edges, any_key=True)
     least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
     smallest = pin(least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least")))
