@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,17 +42,31 @@ def pin(df: DataFrame) -> DataFrame:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Batches of texts for Python workers in bounded bytes, unless the session has its own limits."""
-    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "16777216")):
-        now = spark.conf.get(key, usual)
-        if usual is None or now == usual:
+    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")):
+        if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, ours)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes shuffle and checkpoint files nobody can read any more.
+
+    It would else happen when the driver's heap fills up, long after a loop's earlier rounds are of no use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(col: str = "text") -> Column:
     """The whole text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

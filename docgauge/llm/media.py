@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pin, read, scratch, text_of
+from .common import arrow_limits, discard, pin, read, scratch, text_of
 from .memory import tidy
 
 ROW_BYTES = 576
@@ -228,8 +228,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "media")
     store_media(docs, path)
     media = pin(read_media(spark, path))
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    discard(spark, path)
     page = F.concat(
         F.lit("<article><figure><img src='" + REF), F.sha2(text_of().cast("binary"), 256), F.lit("'><figcaption>"),
         F.regexp_replace(F.coalesce(F.col("lang").cast("string"), F.lit("")), "[<>&]", " "), F.lit("</figcaption></figure></article>"),
