@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.llm.common import read, scratch
+from docgauge.llm.common import discard, read, scratch
 from docgauge.llm.exact_dedup import keep_first
 from docgauge.llm.mixing import take_mix
 from docgauge.llm.near_join import one_of_each
@@ -55,12 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what is between them is kept in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            path = scratch(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """Apply the stages to documents. A stage's output stays in the shared folder until the next one's is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
