@@ -7,8 +7,8 @@ probes few substrings for each length it can meet. Segments and probes are hashe
 their length and number:
 
 1. A sketch of bounded size tells which of these keys occur twice; only lines with such a key go on.
-2. Equal lines collapse to one. Lines that share a key are candidates; they are tested by a banded
-   bit-parallel edit distance, a batch of pairs at a time.
+2. Equal lines collapse to one. Lines that share a key, and whose counts of characters are near, are
+   candidates; they are tested by a banded bit-parallel edit distance, a batch of pairs at a time.
 3. Linked lines form classes; pairs already in one class are not tested (see graph.py).
 4. The first occurrence of a class, by document id and line number, stays; the others go.
 
@@ -25,14 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import arrow_limits, input_parts, marked, pin, read, sketch, text_of
+from .common import arrow_limits, input_parts, marked, pin, read, sketch, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
 MAX_EDITS = 2
 MIN_CHARS = 40
 OCCURRENCE = "doc_id long, th long, line_no int, lid long, line string, keys binary, roles binary"
-COLS = ["role", "len"]
+#: What orders and filters a posting: its role, the line's length, and how many of its characters fall into 16 bins.
+COLS = ["role", "len", "low", "high"]
+BINS = 16
 #: A random number for each character of the basic plane; the others are mixed one by one.
 _CODES = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, 1 << 16, np.uint64)
 _chars = wordhash._Powers(0xA0761D6478BD642F | 1)
@@ -135,11 +137,26 @@ def _postings(batches):
         n = [len(x) // 8 for x in raw]
         rows = pa.array(np.repeat(np.arange(len(raw)), n))
         roles = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), np.uint8)
+        bins = np.ascontiguousarray((_counts(batch.column(4).to_pylist(), BINS) & 255).astype(np.uint8)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(raw), np.int64)), batch.column(0).take(rows), pa.array(roles.astype(np.int32)), batch.column(1).take(rows)], names=["tok", "id", "role", "len"]
+            [pa.array(np.frombuffer(b"".join(raw), np.int64)), batch.column(0).take(rows), pa.array(roles.astype(np.int32)), batch.column(1).take(rows), pa.array(bins[:, 0]).take(rows), pa.array(bins[:, 1]).take(rows)],
+            names=["tok", "id", "role", "len", "low", "high"],
         )
 
 
+def _apart(x: str, y: str) -> Column:
+    """How far the character counts of two postings are apart, bin by bin and modulo 256: an edit moves it by two at most."""
+    def count(word: str, tag: str, k: int) -> Column:
+        return F.shiftright(f"{word}_{tag}", 8 * k).bitwiseAND(F.lit(255).cast("long"))
+
+    out = F.lit(0)
+    for word in ("low", "high"):
+        for k in range(8):
+            d = F.pmod(count(word, x, k) - count(word, y, k), F.lit(256))
+            out = out + F.least(d, F.lit(256) - d)
+    return out
+
+
 def within(xs: list[str], ys: list[str], edits: int) -> np.ndarray:
     """Whether each pair is within so many edits: bit-parallel, banded, all pairs of the batch in step.
 
@@ -160,11 +177,11 @@ def within(xs: list[str], ys: list[str], edits: int) -> np.ndarray:
     return out
 
 
-def _counts(lines: list[str]) -> np.ndarray:
-    """How many characters of each line fall into each of 32 bins."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+def _counts(lines: list[str], bins: int = 32) -> np.ndarray:
+    """How many characters of each line fall into each bin."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) & (bins - 1)
     line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    return np.bincount(line * 32 + code, minlength=32 * len(lines)).reshape(len(lines), 32)
+    return np.bincount(line * bins + code, minlength=bins * len(lines)).reshape(len(lines), bins)
 
 
 def _within(pairs, edits: int) -> np.ndarray:
@@ -232,15 +249,17 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     spots = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_candidates(edits, least, shared)), OCCURRENCE))
     lines = spots.where("line IS NOT NULL").groupBy(F.col("lid").alias("id")).agg(*[F.first(c).alias(c) for c in ("line", "keys", "roles")])
     lines = pin(lines.withColumn("len", F.char_length("line").cast("long")))
-    posts = lines.select("id", "len", "keys", "roles").mapInArrow(tidy(_postings), "tok long, id long, role int, len long")
+    posts = lines.select("id", "len", "keys", "roles", "line").mapInArrow(tidy(_postings), "tok long, id long, role int, len long, low long, high long")
 
     def may_link(x: str, y: str) -> Column:
         near = F.abs(F.col(f"len_{x}") - F.col(f"len_{y}")) <= edits
-        return near & (F.col(f"id_{x}") != F.col(f"id_{y}")) & ((F.col(f"role_{x}") == 0) | (F.col(f"role_{y}") == 0))
+        own = (F.col(f"role_{x}") == 0) | (F.col(f"role_{y}") == 0)
+        return near & (F.col(f"id_{x}") != F.col(f"id_{y}")) & own & (_apart(x, y) <= 2 * edits)
 
     check = lambda pairs: verified(pairs, lines, edits)
-    toks, pairs = star_pairs(posts, COLS, may_link)
+    toks, pairs = star_pairs(posts, COLS, may_link, best_only=False)
     edges = pin(check(pairs))
+    sweep(spark)
     live = posts.join(toks.withColumnRenamed("tok", "t"), F.col("tok") == F.col("t"), "left_semi")
     return spots.select("doc_id", "th", "line_no", "lid"), cross_waves(live, COLS, may_link, check, edges)
 
