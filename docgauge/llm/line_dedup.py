@@ -247,6 +247,9 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     found = repeats.collect(docs.select("text").mapInArrow(tidy(_keys(edits, least, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(docs))
     shared = spark.sparkContext.broadcast(found)
     spots = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_candidates(edits, least, shared)), OCCURRENCE))
+    shared.destroy()  # the checkpoint needs it no more
+    del found
+    sweep(spark)
     lines = spots.where("line IS NOT NULL").groupBy(F.col("lid").alias("id")).agg(*[F.first(c).alias(c) for c in ("line", "keys", "roles")])
     lines = pin(lines.withColumn("len", F.char_length("line").cast("long")))
     posts = lines.select("id", "len", "keys", "roles", "line").mapInArrow(tidy(_postings), "tok long, id long, role int, len long, low long, high long")

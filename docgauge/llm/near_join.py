@@ -151,6 +151,8 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     found = repeats.collect(rows.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(rows))
     shared = spark.sparkContext.broadcast(found)
     signed = pin(rows.mapInArrow(tidy(_signatures(k, percent, shared)), SIGNATURE))
+    shared.destroy()  # the checkpoint needs it no more
+    del found
     sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
     sets = pin(sets)
     sweep(spark)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .memory import tidy_group
+from .memory import release, tidy_group
 
 KEY_BYTES = 5
 #: Hashes a task holds before it sends them.
@@ -139,6 +139,8 @@ def collect(rows: DataFrame, log_blocks: int, expected: int) -> Repeats:
         for block, b, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             bits[block * size : (block + 1) * size] = np.frombuffer(b.as_buffer(), np.uint8)
             ranks[block * cells : (block + 1) * cells] = np.frombuffer(r.as_buffer(), np.uint8)
+    del found
+    release()
     return Repeats(log_blocks, log_bits, bits, ranks)
 
 

@@ -151,6 +151,7 @@ def repeated_edges(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> D
     keys = docs.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK)
     shared = spark.sparkContext.broadcast(repeats.collect(keys, log_blocks, repeats.expected(docs)))
     pieces = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_pieces(k, minimizer, shared)), PIECE))
+    shared.destroy()  # the checkpoint needs it no more
     compact = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("minimizer").alias("minimizer"), F.first("edges").alias("edges"))
     groups = compact.withColumn("part", F.pmod("minimizer", F.lit(max(64, 8 * parts))))
     masks = pin(groups.groupBy("part").applyInArrow(tidy_group(_confirm), "piece long, mask binary"))
