@@ -264,7 +264,8 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     edges = pin(check(pairs))
     sweep(spark)
     live = posts.join(toks.withColumnRenamed("tok", "t"), F.col("tok") == F.col("t"), "left_semi")
-    return spots.select("doc_id", "th", "line_no", "lid"), cross_waves(live, COLS, may_link, check, edges)
+    # Every pivot has been tried, and candidates are few: one wave over what still joins different classes is enough.
+    return spots.select("doc_id", "th", "line_no", "lid"), cross_waves(live, COLS, may_link, check, edges, waves=1)
 
 
 def _drop(batches):
