@@ -15,8 +15,8 @@ A document's set is its distinct five-word shingles. Two documents link when
 Only components are wanted, so pairs that are linked already by others need no test: each
 group is first tested against the pivot of its shingles (the set in which that shingle is
 earliest), each member against its group's first; components are formed; and then, in
-further waves, only pairs across components that still share a prefix shingle are
-tested, first of components' pivots, at last every one of them. So no link between components is lost,
+further waves, only pairs across components that still share a prefix shingle, members of one
+group among them, are tested, first of components' pivots, at last every one of them. So no link between components is lost,
 while a group of thousands of near copies costs about one test per copy.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a text of
@@ -157,12 +157,15 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     sets = pin(sets)
     sweep(spark)
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
-    groups = pin(sets.groupBy("gid").agg(F.min("sid").alias("rep"), F.first("n").alias("n"), F.first("f").alias("f"), F.first(head).alias("head")))
+    groups = pin(sets.groupBy("gid").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("f").alias("f"), F.first(head).alias("head")))
     posts = groups.select("gid", "n", "f", "head").mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int")
     may_link = lambda x, y: _may_link(x, y, percent)
     check = lambda pairs: verified(pairs, sets, percent)
     # First wave: each group with the pivot it shares most shingles with, each member with its group's first.
     toks, pairs = star_pairs(posts.withColumnRenamed("gid", "id"), COLS, may_link)
+    # Two members of a group may link with each other and not with its first: one shingle of the prefix they share keeps them in the waves.
+    crowded = groups.where("members > 2").select("gid", "n", "f", F.substring("head", 1, 8).alias("head"))
+    toks = toks.union(crowded.mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int").select("tok")).distinct()
     reps = groups.select("gid", "rep")
     pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("gid_x")).join(tagged(reps, "v"), F.col("b") == F.col("gid_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
     inner = sets.select("sid", F.col("gid").alias("g")).join(reps, F.col("g") == F.col("gid")).where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))

@@ -93,6 +93,17 @@ def test_near_copies_in_a_large_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+def test_members_of_a_group_link_past_its_first(spark):
+    rows = []
+    for f in range(60):
+        a = [f"f{f}x{k}" for k in range(12)]
+        for x in (a, [*a[:-1], f"f{f}last"], [f"f{f}first", *a[1:]]):  # the first links with both others, these two don't
+            rows += [" ".join(x)] * 2
+    rows = list(enumerate(rows))
+    got = sorted(map(tuple, near_join(docs(spark, rows)).collect()))
+    assert got == sorted(brute_components(rows))
+
+
 def test_joins_of_nothing(spark):
     empty = docs(spark, [])
     assert near_join(empty).count() == 0 and drop_repeated_lines(empty).count() == 0 and remove_repeats(empty).count() == 0
