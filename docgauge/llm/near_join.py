@@ -42,7 +42,7 @@ K = 5
 PERCENT = 75
 #: What orders and filters a posting: its place in the ordered set, the size, and its place among shared shingles.
 COLS = ["pos", "n", "q"]
-SIGNATURE = "doc_id long, n long, sid long, gid long, f int, p int, items binary"
+SIGNATURE = "doc_id long, th long, n long, sid long, gid long, f int, p int, items binary"
 
 
 def _sets(texts: pa.Array, k: int):
@@ -72,24 +72,24 @@ def _signatures(k: int, percent: int, shared):
     def run(batches):
         sketch = shared.value
         for batch in batches:
-            for part in wordhash.slices(batch, 1):
-                cols = [[] for _ in range(7)]
-                sets = [np.unique(s) for s in _sets(part.column(1), k)]
+            for part in wordhash.slices(batch, 2):
+                cols = [[] for _ in range(8)]
+                sets = [np.unique(s) for s in _sets(part.column(2), k)]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 shared_ = sketch.has(flat)
                 rank, at = sketch.rank(flat), 0
-                for doc_id, s in zip(part.column(0).to_pylist(), sets):
+                for doc_id, th, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets):
                     n, again, r = len(s), shared_[at : at + len(s)], rank[at : at + len(s)]
                     at += n
                     f, p = int(n - again.sum()), n - -(-percent * n // 100) + 1
-                    row = (doc_id, n, None, None, None, None, None)
+                    row = (doc_id, th, n, None, None, None, None, None)
                     if n and f < p:
                         late = s[again][np.argsort(r[again], kind="stable")]
                         items = np.concatenate([s[~again], late])
-                        row = (doc_id, n, _id(s.tobytes()), _id(items[:p].tobytes(), n), f, p, items.tobytes())
+                        row = (doc_id, th, n, _id(s.tobytes()), _id(items[:p].tobytes(), n), f, p, items.tobytes())
                     for c, v in zip(cols, row):
                         c.append(v)
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+                kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in SIGNATURE.split(", ")])
 
     return run
@@ -142,18 +142,24 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return size & ((100 + percent) * most >= percent * (n(x) + n(y)))
 
 
-def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) for every document."""
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the id, and a hash of the text because ids may be null or clash."""
+    return [F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))]
+
+
+def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): doc_id, th, n, sid of every row; for each set id s the first (none, id, th) of its component, rows without an id last."""
     spark, parts = docs.sparkSession, input_parts(docs)
     arrow_limits(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    doc_id, th = _row_key(id_col, text_col)
+    rows = docs.select(doc_id.alias("doc_id"), th.alias("th"), text_of(text_col).alias("text"))
     log_blocks = repeats.shape_for(parts)
     found = repeats.collect(rows.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(rows))
     shared = spark.sparkContext.broadcast(found)
     signed = pin(rows.mapInArrow(tidy(_signatures(k, percent, shared)), SIGNATURE))
     shared.destroy()  # the checkpoint needs it no more
     del found
-    sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
+    sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
     sets = pin(sets)
     sweep(spark)
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
@@ -177,15 +183,26 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str =
     least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
     smallest = pin(least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least")))
-    named = pin(least.join(smallest, F.col("c") == F.col("cc")).select("s", "least"))
+    return signed, pin(least.join(smallest, F.col("c") == F.col("cc")).select("s", "least"))
+
+
+def near_join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) for every document."""
+    signed, named = _linked(docs, **options)
     out = signed.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("s"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest of their component, with the columns of the input."""
-    gone = near_join(docs, **options).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("k0")).distinct()
-    return drop_rows(docs, [F.col(options.get("id_col", "doc_id")).cast("long")], gone.withColumn("once", F.lit(False)))
+    """One document of each component, with the columns of the input: that of the smallest id, then of the smallest text hash.
+
+    Rows are told apart by id and text hash, so null and clashing ids are no harm; of repeated rows one stays.
+    """
+    signed, named = _linked(docs, **options)
+    rows = signed.where("sid IS NOT NULL").groupBy("doc_id", "th", "sid").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(named, F.col("sid") == F.col("s")).withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
+    gone = rows.where("NOT first OR c > 1").select(F.col("doc_id").alias("k0"), F.col("th").alias("k1"), F.col("first").alias("once"))
+    return drop_rows(docs, _row_key(options.get("id_col", "doc_id"), options.get("text_col", "text")), gone)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,19 @@ def test_members_of_a_group_link_past_its_first(spark):
     assert got == sorted(brute_components(rows))
 
 
+def test_one_of_each_with_null_and_clashing_ids(spark):
+    text = lambda name, n=30: [f"{name}{k}" for k in range(n)]
+    near = lambda name: " ".join([*text(name)[:-1], "other"])
+    a, b, c, d = (" ".join(text(x)) for x in "abcd")
+    clean = [(None, "clean one"), (None, "clean two"), (2, "clean three"), (None, None)]
+    rows = [(1, a), (None, near("a")), (None, b), (None, near("b")), (3, c), (2, near("c")), (4, d), (4, near("d")), (4, d), *clean]
+    got = [(r["doc_id"], r["text"]) for r in one_of_each(docs(spark, rows).repartition(3)).collect()]
+    assert all(got.count(x) == 1 for x in clean)
+    left = [x for x in got if x not in clean]
+    assert len(left) == 4 and (1, a) in left and (2, near("c")) in left
+    assert sorted(t.split()[0] for _, t in left) == ["a0", "b0", "c0", "d0"]
+
+
 def test_joins_of_nothing(spark):
     empty = docs(spark, [])
     assert near_join(empty).count() == 0 and drop_repeated_lines(empty).count() == 0 and remove_repeats(empty).count() == 0
