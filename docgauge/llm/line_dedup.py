@@ -10,10 +10,11 @@ their length and number:
 2. Equal lines collapse to one. Lines that share a key, and whose counts of characters are near, are
    candidates; they are tested by a banded bit-parallel edit distance, a batch of pairs at a time.
 3. Linked lines form classes; pairs already in one class are not tested (see graph.py).
-4. The first occurrence of a class, by document id and line number, stays; the others go.
+4. Shorter lines have no segments. If asked for, they have one key, of the whole line, and equal ones form a class.
+5. The first occurrence of a class, by document id and line number, stays; the others go.
 
-Defined cases: a null text has one empty line; lines shorter than MIN_CHARS always stay;
-lines are compared without surrounding white space; the ids of repeated rows count as one document; rows
+Defined cases: a null text has one empty line; empty lines always stay, and so do lines shorter
+than MIN_CHARS unless their exact copies are asked for; lines are compared without surrounding white space; the ids of repeated rows count as one document; rows
 without an id come last; an empty table gives an empty result.
 """
 
@@ -56,8 +57,11 @@ def segment(length, number, edits: int):
     return number * short + np.maximum(before, 0), short + (number >= edits + 1 - longer)
 
 
-def keys_of(lines: list[str], edits: int, least: int):
-    """(line, key, role) arrays: role 0 for a line's own segments, 1 for its probes; and the lines' hashes."""
+def keys_of(lines: list[str], edits: int, least: int, short: bool = False):
+    """(line, key, role) arrays: role 0 for a line's own segments, 1 for its probes; and the lines' hashes.
+
+    With short, a line too short for segments has one key, of the whole line.
+    """
     size = np.array([len(x) for x in lines], np.int64)
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     chars = _CODES[code & 0xFFFF]
@@ -71,6 +75,10 @@ def keys_of(lines: list[str], edits: int, least: int):
     lid = wordhash.mix(part(begin, begin + size) + size.astype(np.uint64)).view(np.int64)
     at, keys, roles = [], [], []
     every = np.arange(len(lines))
+    if short:
+        at.append(every[size < least])
+        keys.append(wordhash.mix(lid[size < least].view(np.uint64)))
+        roles.append(np.zeros(len(at[0]), np.uint8))
     for delta in range(edits + 1):
         length = size - delta
         for i in range(edits + 1):
@@ -88,27 +96,27 @@ def keys_of(lines: list[str], edits: int, least: int):
     return np.concatenate(at), np.concatenate(keys), np.concatenate(roles), lid
 
 
-def _batches(batch: pa.RecordBatch, column: int, least: int):
+def _batches(batch: pa.RecordBatch, column: int, least: int, short: bool):
     for part in wordhash.slices(batch, column, 2 << 20):
-        rows = [x for x in _lines(part.column(column).to_pylist()) if len(x[2]) >= least]
+        rows = [x for x in _lines(part.column(column).to_pylist()) if len(x[2]) >= (1 if short else least)]
         if rows:
             yield part, rows
 
 
-def _keys(edits: int, least: int, log_blocks: int):
+def _keys(edits: int, least: int, short: bool, log_blocks: int):
     def run(batches):
-        parts = (keys_of([x[2] for x in rows], edits, least)[1] for b in batches for _, rows in _batches(b, 0, least))
+        parts = (keys_of([x[2] for x in rows], edits, least, short)[1] for b in batches for _, rows in _batches(b, 0, least, short))
         yield from repeats.blocks(parts, log_blocks)
 
     return run
 
 
-def _candidates(edits: int, least: int, shared):
+def _candidates(edits: int, least: int, short: bool, shared):
     def run(batches):
         found, seen = shared.value, set()
         for batch in batches:
-            for part, rows in _batches(batch, 2, least):
-                at, keys, roles, lid = keys_of([x[2] for x in rows], edits, least)
+            for part, rows in _batches(batch, 2, least, short):
+                at, keys, roles, lid = keys_of([x[2] for x in rows], edits, least, short)
                 hit = found.has(keys)
                 at, keys, roles = at[hit], keys[hit], roles[hit]
                 order = np.argsort(at, kind="stable")
@@ -119,9 +127,9 @@ def _candidates(edits: int, least: int, shared):
                 for r, a, c in zip(own.tolist(), first.tolist(), n.tolist()):
                     d, k, line = rows[r]
                     name = int(lid[r])
-                    sent = name in seen
+                    sent = len(line) < least or name in seen  # a short line's hash is all that is compared
                     row = (ids[d].as_py(), ths[d].as_py(), k, name, None if sent else line, None if sent else keys[a : a + c].tobytes(), None if sent else roles[a : a + c].tobytes())
-                    if len(seen) < SEEN:
+                    if not sent and len(seen) < SEEN:
                         seen.add(name)
                     for col, v in zip(cols, row):
                         col.append(v)
@@ -236,7 +244,7 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(tidy(_verify(edits)), "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(occurrences, classes) for docs (doc_id, th, text).
 
     occurrences: doc_id, th, line_no, lid of lines that may repeat; classes: node (lid), comp, for lines with a near line.
@@ -244,9 +252,9 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     spark, parts = docs.sparkSession, input_parts(docs)
     arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
-    found = repeats.collect(docs.select("text").mapInArrow(tidy(_keys(edits, least, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(docs))
+    found = repeats.collect(docs.select("text").mapInArrow(tidy(_keys(edits, least, short, log_blocks)), repeats.BLOCK), log_blocks, repeats.expected(docs))
     shared = spark.sparkContext.broadcast(found)
-    spots = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_candidates(edits, least, shared)), OCCURRENCE))
+    spots = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_candidates(edits, least, short, shared)), OCCURRENCE))
     shared.destroy()  # the checkpoint needs it no more
     del found
     sweep(spark)
@@ -279,10 +287,10 @@ def _drop(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (the text without the dropped lines) for every document."""
+def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept (the text without the dropped lines) for every document; short: drop exact copies of shorter lines too."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    spots, classes = repeated_lines(rows, edits, least)
+    spots, classes = repeated_lines(rows, edits, least, short)
     classes = pin(classes)
     named = pin(spots.join(classes, F.col("lid") == F.col("node"), "left").select("doc_id", "th", "line_no", F.coalesce("comp", "lid").alias("class")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line_no")
@@ -297,5 +305,5 @@ def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MI
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(read(spark, sf_dir, "documents"))
+    out = drop_repeated_lines(read(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

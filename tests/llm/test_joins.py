@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -222,6 +223,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_line_query_drops_exact_copies_of_short_lines(spark, tmp_path):
+    from docgauge.llm.line_dedup import op4_line_dedup
+
+    texts = {1: "Menu\n\nfirst\n x", 2: " Menu \n\nMenus\nx", 3: None, 4: "x\nx\n  \n" + "l" * 39, 5: "l" * 39 + "\n" + "l" * 38, 6: "l" * 40 + "\n" + "l" * 41}
+    docs(spark, list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_lines"], r["n_dropped"]) for i, r in got.items()} == {1: (4, 0), 2: (4, 2), 3: (1, 0), 4: (4, 2), 5: (2, 1), 6: (2, 1)}
+    assert got[2]["kept_sha256"] == hashlib.sha256(b"\nMenus").hexdigest()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 4), (20, 20), (11, 10), *[(100 + k, 101 + k) for k in range(40)]]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
