@@ -1,6 +1,8 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with templates.
 
-A block is a line; its set is its distinct words. A template is found in a block when the
+A block is a line, or in texts of several lines a run of words across them (notices are usually wrapped): runs
+begin at every n-th word and have 3 n, n being the words of the longest template, so any 2 n words in a row
+lie in one. A block's set is its distinct words. A template is found in a block when the
 block holds at least CONTAINMENT of the template's distinct words. Words are ordered by how many
 documents of the whole corpus hold them, rarest first. A block that meets the threshold must
 hold one of the first n - ceil(c * n) + 1 words of the template in this order (prefix
@@ -90,9 +92,17 @@ def find_templates(docs: DataFrame, templates: dict[str, str], containment: floa
             index.append(F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(pos).alias("pos"), F.lit(len(own)).alias("n"), F.lit(need).alias("need"), _strings(own).alias("own")))
     table = docs.sparkSession.range(1).select(F.explode(F.array(*index)).alias("t")).select("t.*")
     least = min(math.ceil(containment * len(own) - 1e-9) for own in words.values())
-    blocks = docs.where(_any_inside(F.col("text"), sorted(prefix_words))).select("doc_id", "key", F.explode(F.split("text", "[\n\r]+")).alias("line"))
+    broken = lambda t: F.contains(t, F.lit("\n")) | F.contains(t, F.lit("\r"))
+    whole = F.when(broken(F.col("text")), F.array("text")).otherwise(F.array().cast("array<string>"))
+    blocks = docs.where(_any_inside(F.col("text"), sorted(prefix_words))).select("doc_id", "key", F.explode(F.concat(F.split("text", "[\n\r]+"), whole)).alias("line"))
     blocks = blocks.where(_any_inside(F.col("line"), sorted(prefix_words)))
-    sets = blocks.select("doc_id", "key", F.array_intersect(_strings(order), terms(F.col("line"))).alias("held"))
+    # The explode of one element is a barrier here too: words is used twice.
+    blocks = blocks.select("doc_id", "key", broken(F.col("line")).alias("many"), F.explode(F.array(terms(F.col("line")))).alias("words"))
+    held = lambda words: F.array_intersect(_strings(order), words)
+    blocks = blocks.select("doc_id", "key", "many", "words", held(F.col("words")).alias("held")).where(F.size("held") >= least)
+    step = max(len(t.split()) for t in templates.values())
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step)), lambda at: held(F.slice("words", at + 1, F.lit(3 * step))))
+    sets = blocks.select("doc_id", "key", F.explode(F.when(F.col("many"), runs).otherwise(F.array("held"))).alias("held"))
     sets = sets.where(F.size("held") >= least)
     probe = sets.select("doc_id", "key", "held", F.explode(F.array_intersect("held", _strings(sorted(prefix_words, key=rank.get)))).alias("word"))
     pairs = probe.join(F.broadcast(table), "word")

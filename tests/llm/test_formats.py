@@ -151,6 +151,15 @@ def test_license_scan_equals_brute_force(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_license_notices_are_found(spark):
+    bsd = "Copyright X.\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    gpl = "# This program is free software; you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation"
+    narrow = "\n".join(TEMPLATES["mit"].split())
+    texts = [bsd, "a b\n" * 300 + bsd, gpl, narrow, "\n".join(["Redistribution and use in source and binary", *["other words"] * 60, "forms with or without modification are permitted"])]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("gpl,gpl-program", 1.0), 3: ("mit", 1.0), 4: ("", 0.0)}
+
+
 # --- packing ----------------------------------------------------------------
 
 
