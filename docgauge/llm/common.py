@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,45 +96,81 @@ def pow2(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 
 
-#: A sketch has 2**SKETCH_ROWS rows of 64 bits: at most 4 MiB however many keys go in.
-SKETCH_ROWS = 18
+#: A sketch has 64 bits a row; so many rows at most (about 64 MiB as a broadcast table), so many at least.
+MOST_ROWS, LEAST_ROWS = 1 << 21, 1 << 12
+#: Bits of a sketch for each of its keys, until MOST_ROWS is reached.
+BITS_PER_KEY = 16
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    return F.pmod(key, F.lit(1 << SKETCH_ROWS)).cast("int"), F.pmod(F.shiftright(key, SKETCH_ROWS), F.lit(64)).cast("int")
+@dataclass
+class Sketch:
+    """A bitmap over 64-bit keys as rows (row, bits). It has all its keys and by chance others."""
 
+    table: DataFrame
+    size: int
 
-def sketch(keys: DataFrame, key: Column) -> DataFrame:
-    """A bitmap of fixed size over 64-bit keys, as rows (row, bits). It has all keys and by chance others."""
-    row, bit = _slot(key)
+
+def _slot(key: Column, size: int) -> tuple[Column, Column]:
+    return F.pmod(key, F.lit(size)).cast("int"), F.pmod(F.shiftright(key, 40), F.lit(64)).cast("int")
+
+
+def sketch(keys: DataFrame, key: Column) -> Sketch:
+    """The sketch of a pinned table's keys. It grows with their number up to MOST_ROWS.
+
+    Beyond about 10**8 keys it lets most rows pass; the joins behind it then shuffle them all and stay right.
+    """
+    size = max(LEAST_ROWS, min(MOST_ROWS, pow2(keys.count() * BITS_PER_KEY // 64)))
+    row, bit = _slot(key, size)
     slots = keys.select(row.alias("__row"), bit.alias("__bit")).distinct()
-    return slots.groupBy("__row").agg(F.sum(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    return Sketch(slots.groupBy("__row").agg(F.sum(F.expr("shiftleft(1L, __bit)")).alias("__bits")), size)
 
 
-def marked(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
-    """df with a boolean column: false where the key is surely not in the sketch. The sketch's size bounds the broadcast."""
-    row, bit = _slot(key)
-    out = df.withColumn("__row", row).withColumn("__bit", bit).join(F.broadcast(table), "__row", "left")
+def marked(df: DataFrame, key: Column, found: Sketch, name: str) -> DataFrame:
+    """df with a boolean column: false where the key is surely not in the sketch. MOST_ROWS bounds the broadcast."""
+    row, bit = _slot(key, found.size)
+    out = df.withColumn("__row", row).withColumn("__bit", bit).join(F.broadcast(found.table), "__row", "left")
     hit = F.coalesce(F.expr("(shiftright(__bits, __bit) & 1) = 1"), F.lit(False))
     return out.withColumn(name, hit).drop("__row", "__bit", "__bits")
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns as one struct doc, and more columns, so that no name of the input can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *more)
+
+
+#: Keys that are held to be hot are at most so many.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, table_key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows (pinned) joined with table (pinned), which has one row per key and the number n of its rows.
+
+    A key with more than one in HOT_KEYS of all these rows is hot. There are fewer than HOT_KEYS of them whatever
+    the input's size, so their part of the table is broadcast and their rows stay where they are; the
+    other keys meet by shuffle, and none of them can fill a task.
+    """
+    total = table.agg(F.sum(n).alias("t")).first()["t"] or 0
+    hot = F.col(n) * F.lit(HOT_KEYS) > F.lit(total)
+    on = F.col(key) == F.col(table_key)
+    near = rows.join(F.broadcast(table.where(hot)), on)
+    names = F.broadcast(table.where(hot).select(F.col(table_key).alias("__hot")))
+    far = rows.join(names, F.col(key) == F.col("__hot"), "left_anti").join(table.where(~hot), on, how)
+    return near.unionByName(far)
+
+
 def drop_rows(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
     """docs without the rows whose keys are in gone (columns k0, k1, ... and once: keep one of such rows).
 
     Only rows that the sketch of gone marks are shuffled, so the texts of most others stay where they are.
     """
-    names = [f"__gone{i}" for i in range(len(keys))]
-    gone = pin(gone.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)], F.col("once").alias("__once")))
-    keyed = docs.select("*", *[k.alias(f"__key{i}") for i, k in enumerate(keys)])
-    mine = [F.col(f"__key{i}") for i in range(len(keys))]
-    keyed = marked(keyed, F.xxhash64(*mine), sketch(gone, F.xxhash64(*names)), "__maybe")
+    names, mine = [f"g{i}" for i in range(len(keys))], [f"k{i}" for i in range(len(keys))]
+    gone = pin(gone.select(*[F.col(k).alias(n) for k, n in zip(mine, names)], "once"))
+    keyed = marked(packed(docs, *[k.alias(n) for k, n in zip(keys, mine)]), F.xxhash64(*mine), sketch(gone, F.xxhash64(*names)), "maybe")
     on = F.lit(True)
     for k, n in zip(mine, names):
-        on = on & k.eqNullSafe(F.col(n))
-    met = keyed.where("__maybe").join(gone, on, "left")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = keyed.where("NOT __maybe").select(*own).unionByName(met.where("__once IS NULL").select(*own))
-    if gone.where("__once").limit(1).count():
-        out = out.unionByName(met.where("__once").dropDuplicates([f"__key{i}" for i in range(len(keys))]).select(*own))
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    met = keyed.where("maybe").join(gone, on, "left")
+    out = keyed.where("NOT maybe").select("doc.*").unionByName(met.where("once IS NULL").select("doc.*"))
+    if gone.where("once").limit(1).count():
+        out = out.unionByName(met.where("once").dropDuplicates(mine).select("doc.*"))
     return out

@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import pytest
 
 from docgauge.llm.exact_dedup import exact_dedup, keep_first
-from docgauge.llm.mixing import mix, take_mix
+from docgauge.llm.mixing import SIZE_POWER, mix, plan_mix, take_mix
 
 SCHEMA = "doc_id long, text string, source string, size long, kept string, k0 string, once string"
 
@@ -98,6 +99,80 @@ def test_mixing_caps_and_empty(spark):
     assert {(r["size"], r["taken"], r["target"]) for r in only_empty} == {(0, 0, 0.0)}
 
 
+def chance(sizes, goal, power):
+    """Inclusion probabilities by octave: proportional to the octave's weight, at most 1, expected words equal to goal."""
+    lo, hi = 0.0, 1e9
+    for _ in range(400):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(s * min(1.0, c * 2.0 ** (power * o)) for o, s in sizes.items()) < goal else (lo, c)
+    return {o: min(1.0, hi * 2.0 ** (power * o)) for o in sizes}
+
+
+def test_mixing_selects_by_random_over_inclusion_odds(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.choice([1, 3, 9, 40, 200]), rng.choice("aabc")) for k in range(2500)]
+    d = docs(spark, [*rows, *rows[:40]])
+    plan = plan_mix(d)
+    lam = {(r["source"], r["octave"]): r["lam"] for r in plan.classes.collect()}
+    by_source = defaultdict(list)
+    for r in plan.rows.collect():
+        by_source[r["source"]].append(r)
+    assert len({v for v in lam.values() if 0 < v < 1}) > 3  # the probabilities differ within a source
+    for source, own in by_source.items():
+        goal = own[0]["target"] - own[0]["whole"] * own[0]["source_size"]
+        sizes = defaultdict(int)
+        for r in own:
+            sizes[r["octave"]] += r["size"]
+        want = chance(sizes, goal, SIZE_POWER)
+        assert all(abs(lam[source, o] - p) < 1e-6 for o, p in want.items()) or goal == 0
+        got = sum(r["size"] for r in own if r["sure"])
+        assert all(r["head"] for r in own if r["sure"])
+        head, rest = set(), []
+        for r in sorted((r for r in own if r["rank"] is not None), key=lambda r: (r["rank"], r["key"], r["rid"])):
+            if got + r["size"] <= goal and not rest:
+                got += r["size"]
+                head.add(r["rid"])
+            else:
+                rest.append(r)
+        for _ in range(3):
+            fit = [r for r in rest if r["rid"] not in head and got < goal and r["size"] < 2 * (goal - got)]
+            if fit:
+                gap = goal - got
+                best = min(fit, key=lambda r: (abs(gap - r["size"]), r["rank"], r["key"], r["rid"]))
+                head.add(best["rid"])
+                got += best["size"]
+        assert {r["rid"] for r in own if r["head"] and not r["sure"]} == head
+
+
+def test_take_mix_counts_repeated_and_clashing_rows(spark):
+    rows = [(k % 30, "w " * (k % 7 + 1) + str(k % 60), "ab"[k % 2]) for k in range(120)]  # each row twice; two texts for an id
+    rows += [(7, "v " * 5, "a"), (7, "x " * 5, "a"), (None, "n n", "b"), (None, "m m", "b"), (1, None, "a"), (2, " ", "b")]
+    want, got = defaultdict(int), defaultdict(int)
+    plan = plan_mix(docs(spark, rows))
+    text = {(i, t, s) for i, t, s in rows}
+    for r in mix(docs(spark, rows)).collect():
+        want[r["doc_id"]] += r["copies"]
+    out = [(r["doc_id"], r["text"], r["source"]) for r in take_mix(docs(spark, rows)).collect()]
+    for r in out:
+        assert r in text
+        got[r[0]] += 1
+    assert dict(got) == {i: n for i, n in want.items() if n}
+    target = {r["source"]: r["target"] for r in plan.rows.select("source", "target").distinct().collect()}
+    for s in "ab":
+        assert abs(sum(len(t.split()) for _, t, x in out if x == s) - target[s]) <= 3
+    assert take_mix(docs(spark, [])).count() == 0
+
+
+def test_copies_of_a_hot_group_stay_apart(spark):
+    rows = [(k, "the same text" if k % 3 else f"own text {k}", "s") for k in range(3000)]
+    got = exact_dedup(docs(spark, rows).repartition(5)).collect()
+    same = [r for r in got if r["doc_id"] % 3]
+    assert {(r["keep_id"], r["group_size"]) for r in same} == {(1, 2000)} and sum(r["kept"] for r in got) == 1001
+    odd = spark.createDataFrame([(1, "a", "x", 1, True), (2, "a", "y", 2, False)], "doc_id long, text string, `__row` string, doc int, hit boolean")
+    left = keep_first(odd)
+    assert left.columns == odd.columns and [tuple(r) for r in left.collect()] == [(1, "a", "x", 1, True)]
+
+
 def test_take_mix_repeats_rows(spark):
     d = docs(spark, [(k, "w " * (k + 1), "ab"[k % 2]) for k in range(200)])
     plan = {r["doc_id"]: r["copies"] for r in mix(d).collect()}
