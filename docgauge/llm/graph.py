@@ -7,28 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, sweep
+from .common import counted, join_salted, pin, sweep
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every end of edges (a, b); comp is the component's smallest node.
 
     Each round takes the smallest label among neighbours and then the label of that label, so
-    a chain of n nodes takes about log n rounds and a star two.
+    a chain of n nodes takes about log n rounds and a star two. Hubs, and labels that many nodes have, are salted.
     """
     both = pin(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degree = pin(counted(both, "b"))
     labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "comp", F.least("comp", "near").alias("next"))
-        new = pin(new)
+        near = join_salted(both, labels, "b", "node", degree).groupBy("a").agg(F.min("comp").alias("near"))
+        new = pin(labels.join(near, F.col("node") == F.col("a"), "left").select("node", "comp", F.least("comp", "near").alias("next")))
         jump = new.select(F.col("node").alias("j"), F.col("next").alias("jump"))
-        new = pin(new.join(jump, F.col("next") == F.col("j"), "left").select("node", "comp", F.least("next", "jump").alias("next")))
+        new = pin(join_salted(new, jump, "next", "j", counted(new, "next")).select("node", "comp", F.least("next", "jump").alias("next")))
         changed = new.where("comp <> next").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
-        near = jump = None
-        sweep(edges.sparkSession)
         if not changed:
+            near = jump = new = both = None
+            sweep(edges.sparkSession)
             return labels
 
 
@@ -40,54 +40,46 @@ def tagged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def star_pairs(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], best_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """For postings (tok, id, cols...): keys that need more than these pairs, and pairs of ids with pivots, (tok), (a, b).
+    """For postings (tok, id, cols...): keys that need more than these pairs, with the number of their postings, and pairs of ids with pivots: (k, n), (a, b).
 
     A key's pivot is its smallest posting by cols. With best_only an id meets the pivot it shares most keys with,
     otherwise every pivot that it may link with; keys of two postings are then done.
     """
     pivots = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v")).where("c > 1")
     pivots = pin(tagged(pivots.select("tok", "c", "v.*"), "v"))
-    star = tagged(posts, "x").join(pivots, F.col("tok_x") == F.col("tok_v")).where((F.col("id_x") != F.col("id_v")) & may_link("x", "v"))
-    toks = pivots.where(F.col("c_v") > (1 if best_only else 2)).select(F.col("tok_v").alias("tok"))
+    counts = pivots.select(F.col("tok_v").alias("k"), F.col("c_v").alias("n"))
+    star = join_salted(tagged(posts, "x"), pivots, "tok_x", "tok_v", counts).where((F.col("id_x") != F.col("id_v")) & may_link("x", "v"))
+    toks = counts.where(F.col("n") > (1 if best_only else 2))
     if not best_only:
         return toks, star.select(F.col("id_x").alias("a"), F.col("id_v").alias("b")).distinct()
     best = star.groupBy("id_x", "id_v").agg(F.count(F.lit(1)).alias("s")).groupBy("id_x").agg(F.max(F.struct("s", "id_v")).alias("m"))
     return toks, best.select(F.col("id_x").alias("a"), F.col("m.id_v").alias("b"))
 
 
-def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, waves: int = WAVES, any_key: bool = False) -> DataFrame:
+def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], edges: DataFrame, last: Callable[[DataFrame, DataFrame], DataFrame], waves: int = WAVES) -> DataFrame:
     """Components (node, comp) of all links, given postings (tok, id, cols...) and the links found so far.
 
     Only keys that still join different components go on. The first waves test each
-    component's pivot at a key against that of the key's largest component; the last tests every pair
-    across components that may link. Pairs within a component need no test.
-
-    any_key says that whether a pair may link doesn't depend on which of its common keys is looked
-    at. The last wave then makes a pair at its smallest common key alone, not once for every key it shares.
+    component's pivot at a key against that of the key's largest component. The last one tests whatever pairs across
+    components may still link: last(postings with comp, counts of their keys) makes these pairs (a, b), by finer keys than
+    tok, so that a frequent key is not paired with itself. Pairs within a component need no test.
     """
     comps = components(edges)
     for wave in range(waves):
         own = pin(posts.join(comps, F.col("id") == F.col("node"), "left").select("tok", "id", *cols, F.coalesce("comp", "id").alias("comp")))
-        live = own.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("tok").alias("t"))
-        own = pin(own.join(live, F.col("tok") == F.col("t"), "left_semi"))
-        if not own.limit(1).count():
+        stats = pin(own.groupBy(F.col("tok").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")))
+        if not stats.where("lo <> hi").limit(1).count():
             break
+        own = pin(join_salted(own, stats.select("k", (F.col("lo") != F.col("hi")).alias("live")), "tok", "k", stats).where("live").drop("k", "live"))
         if wave < waves - 1:
             by_comp = own.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v"))
-            hubs = by_comp.groupBy("tok").agg(F.max(F.struct("c", "comp", "v")).alias("h")).select("tok", F.col("h.comp").alias("comp"), "h.v.*")
-            hubs = pin(tagged(hubs, "h"))
+            hubs = by_comp.groupBy("tok").agg(F.max(F.struct("c", "comp", "v")).alias("h"), F.count(F.lit(1)).alias("comps"))
+            hubs = pin(tagged(hubs.select("tok", "comps", F.col("h.comp").alias("comp"), "h.v.*"), "h"))
             left = tagged(by_comp.select("tok", "comp", "v.*"), "x")
-            meet = left.join(hubs, F.col("tok_x") == F.col("tok_h")).where((F.col("comp_x") != F.col("comp_h")) & may_link("x", "h"))
-            pairs = meet.select(F.col("id_x").alias("a"), F.col("id_h").alias("b"))
+            meet = join_salted(left, hubs, "tok_x", "tok_h", hubs.select(F.col("tok_h").alias("k"), F.col("comps_h").alias("n")))
+            pairs = meet.where((F.col("comp_x") != F.col("comp_h")) & may_link("x", "h")).select(F.col("id_x").alias("a"), F.col("id_h").alias("b"))
         else:
-            last, once = own, F.lit(True)
-            if any_key:
-                # A key common to two components is live, so the live keys of an id are all that is compared.
-                heads = own.groupBy(F.col("id").alias("hid")).agg(F.sort_array(F.collect_set("tok")).alias("head"))
-                last = own.join(heads, F.col("id") == F.col("hid")).drop("hid")
-                once = F.get(F.array_intersect("head_x", "head_y"), F.lit(0)) == F.col("tok_x")
-            meet = tagged(last, "x").join(tagged(last, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y")) & may_link("x", "y") & once)
-            pairs = meet.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+            pairs = last(own, stats.where("lo <> hi").select("k", "n"))
         more = pin(verify(pairs.distinct()))
         if more.limit(1).count():
             edges = edges.union(more)

@@ -9,13 +9,15 @@ their length and number:
 1. A sketch of bounded size tells which of these keys occur twice; only lines with such a key go on.
 2. Equal lines collapse to one. Lines that share a key, and whose counts of characters are near, are
    candidates; they are tested by a banded bit-parallel edit distance, a batch of pairs at a time.
-3. Linked lines form classes; pairs already in one class are not tested (see graph.py).
+3. Linked lines form classes; pairs already in one class are not tested (see graph.py). Lines of a frequent
+   segment are at last paired by their rarest grams (_last_pairs), so that a template makes no pairs of all its lines.
 4. Shorter lines have no segments. If asked for, they have one key, of the whole line, and equal ones form a class.
 5. The first occurrence of a class, by document id and line number, stays; the others go.
 
 Defined cases: a null text has one empty line; empty lines always stay, and so do lines shorter
 than MIN_CHARS unless their exact copies are asked for; lines are compared without surrounding white space; the ids of repeated rows count as one document; rows
-without an id come last; an empty table gives an empty result.
+without an id come last; very long lines and texts are taken whole; an empty table gives an empty result; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import arrow_limits, input_parts, marked, pin, read, sketch, sweep, text_of
+from .common import arrow_limits, input_parts, join_salted, marked, pin, read, sketch, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -244,11 +246,76 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(tidy(_verify(edits)), "a long, b long")
 
 
+#: Length of the grams that tell lines of a frequent segment apart, and buckets of their counts.
+GRAM, GRAM_BUCKETS = 3, 1 << 16
+#: Up to so many lines of a segment are paired with each other.
+CROWD = 32
+
+
+def _grams(line: str) -> np.ndarray:
+    """The hashes of a line's grams; equal grams differ by how many stand before them, so they form a set."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    x = np.zeros(len(code) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        x = wordhash.mix(x ^ (code[k : len(x) + k] + np.uint64(1)))
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(x[order]) != 0))
+    number = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return wordhash.mix(x[order] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _gram_counts(batches):
+    total = np.zeros(GRAM_BUCKETS, np.int64)
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            np.add.at(total, (_grams(line) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64), 1)
+    full = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(total[full], pa.int64())], names=["bucket", "n"])
+
+
+def _rare_grams(edits: int, shared):
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            ids, found = [], []
+            for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = _grams(line)
+                rare = x[np.lexsort((x, counts[(x & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64)]))[: GRAM * edits + 1]]
+                ids += [i] * len(rare)
+                found.append(rare.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["gid", "gram"])
+
+    return run
+
+
+def _last_pairs(own: DataFrame, counts: DataFrame, lines: DataFrame, edits: int, may_link) -> DataFrame:
+    """Pairs (a, b) across classes that may link, by segment and, where more than CROWD lines have it, by rare grams.
+
+    An edit changes GRAM grams at most. So lines within so many edits, their grams ordered rarest first, share one of
+    the first GRAM * edits + 1: lines of one template meet only if the parts in which they differ are alike.
+    """
+    spark = own.sparkSession
+    crowded = counts.where(F.col("n") > CROWD).select(F.col("k").alias("ck"), F.lit(True).alias("crowd"))
+    own = pin(own.join(crowded, F.col("tok") == F.col("ck"), "left").drop("ck"))
+    texts = lines.join(own.where("crowd").select(F.col("id").alias("oid")).distinct(), F.col("id") == F.col("oid"), "left_semi").select("id", "line")
+    total = np.zeros(GRAM_BUCKETS, np.int64)
+    for r in texts.select("line").mapInArrow(tidy(_gram_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        total[r["bucket"]] = r["n"]  # GRAM_BUCKETS rows at most
+    shared = spark.sparkContext.broadcast(total)
+    rare = texts.mapInArrow(tidy(_rare_grams(edits, shared)), "gid long, gram long")
+    fine = own.where("crowd").join(rare, F.col("id") == F.col("gid")).withColumn("tok", F.xxhash64("tok", "gram")).drop("gid", "gram", "crowd")
+    both = own.where("crowd IS NULL").drop("crowd").unionByName(fine)
+    meet = tagged(both, "x").join(tagged(both, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y")) & may_link("x", "y"))
+    return meet.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+
 def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(occurrences, classes) for docs (doc_id, th, text).
 
     occurrences: doc_id, th, line_no, lid of lines that may repeat; classes: node (lid), comp, for lines with a near line.
     """
+    if least < GRAM * (edits + 1):
+        raise ValueError("lines must be longer for so many edits")
     spark, parts = docs.sparkSession, input_parts(docs)
     arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
@@ -271,9 +338,10 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     toks, pairs = star_pairs(posts, COLS, may_link, best_only=False)
     edges = pin(check(pairs))
     sweep(spark)
-    live = posts.join(toks.withColumnRenamed("tok", "t"), F.col("tok") == F.col("t"), "left_semi")
+    live = join_salted(posts, toks.select(F.col("k").alias("t")), "tok", "t", toks).drop("t")
     # Every pivot has been tried, and candidates are few: one wave over what still joins different classes is enough.
-    return spots.select("doc_id", "th", "line_no", "lid"), cross_waves(live, COLS, may_link, check, edges, waves=1)
+    last = lambda own, counts: _last_pairs(own, counts, lines, edits, may_link)
+    return spots.select("doc_id", "th", "line_no", "lid"), cross_waves(live, COLS, may_link, check, edges, last, waves=1)
 
 
 def _drop(batches):

@@ -16,12 +16,14 @@ Only components are wanted, so pairs that are linked already by others need no t
 group is first tested against the pivot of its shingles (the set in which that shingle is
 earliest), each member against its group's first; components are formed; and then, in
 further waves, only pairs across components that still share a prefix shingle, members of one
-group among them, are tested, first of components' pivots, at last every one of them. So no link between components is lost,
-while a group of thousands of near copies costs about one test per copy.
+group among them, are tested, first of components' pivots, at last every pair that may link at its first common shingle
+(_first_common). So no link between components is lost, while a group of thousands of near copies costs about one
+test per copy, and a passage that thousands of unlinked documents share costs none. Hot keys are salted.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a text of
 fewer than five words is one shingle; repeated rows are equal sets; an empty table gives
-an empty result; a null id never is the smallest id of a component that has others.
+an empty result; a null id never is the smallest id of a component that has others; very long texts are
+taken whole; equal ids are separate rows; other columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import arrow_limits, drop_rows, input_parts, pin, read, sweep, text_of
+from .common import HOT_KEYS, arrow_limits, drop_rows, input_parts, join_salted, pin, read, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -142,6 +144,41 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return size & ((100 + percent) * most >= percent * (n(x) + n(y)))
 
 
+#: Postings of a key and octave of sizes that one task pairs; more are dealt to several.
+BLOCK = 2_000
+
+
+def _first_common(own: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may link, made at their first common shingle.
+
+    Sets that link have a first common shingle, with none in common before it, so at most what stands from it on is common:
+    a filter that depends on each side's place and size. A set is open if one of its own size or larger could pass it. The
+    smaller set of a pair is open, and the larger is less than twice its size, so keys are (shingle, octave of the size) and
+    a shingle that thousands of sets have far behind in their order makes no pair at all. If the shingles just before this one
+    are equal, it is not the first common one; that leaves about one row for a pair.
+    """
+    octave = F.length(F.bin("n")) - 1
+    left = F.col("n") - F.col("pos")
+    before = F.lag("tok").over(Window.partitionBy("id").orderBy("pos", "tok"))
+    own = own.select("tok", "id", "n", "comp", left.alias("left"), before.alias("before"), octave.alias("octave"), ((100 + percent) * left >= 2 * percent * F.col("n")).alias("open"))
+    own = pin(own)
+    sizes = pin(own.groupBy("tok", "octave").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).select(F.col("tok").alias("st"), F.col("octave").alias("so"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    many = sizes.where("blocks > 1")
+    many = F.broadcast(many) if many.count() <= HOT_KEYS else many
+    larger = own.join(many, (F.col("tok") == F.col("st")) & (F.col("octave") == F.col("so")), "left")
+    larger = larger.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("st", "so", "blocks")
+    small = own.where("open").withColumn("octave", F.explode(F.array(F.col("octave"), F.col("octave") + 1)))
+    small = small.join(many, (F.col("tok") == F.col("st")) & (F.col("octave") == F.col("so")), "left")
+    small = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("st", "so", "blocks")
+    x, y = tagged(small, "x"), tagged(larger, "y")
+    c = F.col
+    size = (c("n_x") <= c("n_y")) & (100 * c("n_x") >= percent * c("n_y")) & ((c("n_x") < c("n_y")) | (c("id_x") < c("id_y")))
+    place = (100 + percent) * F.least("left_x", "left_y") >= percent * (c("n_x") + c("n_y"))
+    first = c("before_x").isNull() | c("before_y").isNull() | (c("before_x") != c("before_y"))
+    on = (c("tok_x") == c("tok_y")) & (c("octave_x") == c("octave_y")) & (c("block_x") == c("block_y"))
+    return x.join(y, on & (c("comp_x") != c("comp_y")) & size & place & first).select(c("id_x").alias("a"), c("id_y").alias("b"))
+
+
 def _row_key(id_col: str, text_col: str) -> list[Column]:
     """What tells rows apart: the id, and a hash of the text because ids may be null or clash."""
     return [F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))]
@@ -159,7 +196,7 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     signed = pin(rows.mapInArrow(tidy(_signatures(k, percent, shared)), SIGNATURE))
     shared.destroy()  # the checkpoint needs it no more
     del found
-    sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
+    sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("did"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
     sets = pin(sets)
     sweep(spark)
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
@@ -169,28 +206,38 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     check = lambda pairs: verified(pairs, sets, percent)
     # First wave: each group with the pivot it shares most shingles with, each member with its group's first.
     toks, pairs = star_pairs(posts.withColumnRenamed("gid", "id"), COLS, may_link)
-    # Two members of a group may link with each other and not with its first: one shingle of the prefix they share keeps them in the waves.
+    # Two members of a group may link with each other and not with its first: the first shingle of the prefix they share keeps them in the waves.
     crowded = groups.where("members > 2").select("gid", "n", "f", F.substring("head", 1, 8).alias("head"))
-    toks = toks.union(crowded.mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int").select("tok")).distinct()
-    reps = groups.select("gid", "rep")
-    pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("gid_x")).join(tagged(reps, "v"), F.col("b") == F.col("gid_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
-    inner = sets.select("sid", F.col("gid").alias("g")).join(reps, F.col("g") == F.col("gid")).where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    crowded = crowded.mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int").select(F.col("tok").alias("k"), F.lit(1).cast("long").alias("n"))
+    toks = pin(toks.union(crowded).groupBy("k").agg(F.max("n").alias("n")))
+    reps = groups.select(F.col("gid").alias("rg"), "rep")
+    sizes = groups.select(F.col("gid").alias("k"), F.col("members").alias("n"))
+    pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("rg_x")).join(tagged(reps, "v"), F.col("b") == F.col("rg_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
+    inner = join_salted(sets.select("sid", "gid"), reps, "gid", "rg", sizes).where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     edges = pin(check(pairs.union(inner)))
     sweep(spark)
     # Further waves: groups expand to their members where a shingle still joins different components.
-    live = tagged(posts, "m").join(toks, F.col("tok_m") == F.col("tok")).join(sets.select("gid", "sid"), F.col("gid_m") == F.col("gid"))
-    comps = cross_waves(live.select("tok", F.col("sid").alias("id"), *[F.col(f"{c}_m").alias(c) for c in COLS]), COLS, may_link, check, edges, any_key=True)
-    least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
+    live = join_salted(posts, toks.select(F.col("k").alias("tk")), "tok", "tk", toks).select("tok", F.col("gid").alias("pg"), *COLS)
+    live = join_salted(sets.select(F.col("sid").alias("id"), "gid"), live, "gid", "pg", sizes).select("tok", "id", *COLS)
+    comps = cross_waves(live, COLS, may_link, check, edges, lambda own, counts: _first_common(own, counts, percent))
+    least = sets.select(F.col("sid").alias("s"), "did", "copies").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", "copies", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
-    smallest = pin(least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least")))
-    return signed, pin(least.join(smallest, F.col("c") == F.col("cc")).select("s", "least"))
+    smallest = pin(least.groupBy(F.col("c").alias("k")).agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("n")))
+    return signed, pin(join_salted(least, smallest.select(F.col("k").alias("cc"), "least"), "c", "cc", smallest).select("s", "least", "copies"))
+
+
+def _named(signed: DataFrame, named: DataFrame) -> DataFrame:
+    """signed's rows that have a set, with least, the first of their component; sets of a great many copies are salted."""
+    own = signed.where("sid IS NOT NULL")
+    return join_salted(own, named.select("s", "least"), "sid", "s", named.select(F.col("s").alias("k"), F.col("copies").alias("n")))
 
 
 def near_join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) for every document."""
     signed, named = _linked(docs, **options)
-    out = signed.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("s"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.id", "doc_id").alias("component_id"))
+    met = _named(signed, named).select("doc_id", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"))
+    alone = signed.where("sid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return alone.unionByName(met)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -199,8 +246,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by id and text hash, so null and clashing ids are no harm; of repeated rows one stays.
     """
     signed, named = _linked(docs, **options)
-    rows = signed.where("sid IS NOT NULL").groupBy("doc_id", "th", "sid").agg(F.count(F.lit(1)).alias("c"))
-    rows = rows.join(named, F.col("sid") == F.col("s")).withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
+    rows = _named(signed, named).groupBy("doc_id", "th", "sid").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
+    rows = rows.withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
     gone = rows.where("NOT first OR c > 1").select(F.col("doc_id").alias("k0"), F.col("th").alias("k1"), F.col("first").alias("once"))
     return drop_rows(docs, _row_key(options.get("id_col", "doc_id"), options.get("text_col", "text")), gone)
 

@@ -118,6 +118,36 @@ def test_one_of_each_with_null_and_clashing_ids(spark):
     assert sorted(t.split()[0] for _, t in left) == ["a0", "b0", "c0", "d0"]
 
 
+def test_passage_that_unlinked_documents_share(spark):
+    passage = [f"p{k}" for k in range(80)]
+    rows = [(k, " ".join([*(f"d{k}x{j}" for j in range(20)), *passage])) for k in range(1500)]  # 76 of 121 shingles in common
+    rows += [(5000, " ".join([*(f"d7x{j}" for j in range(20)), *passage[:-1], "end"])), (5001, " ".join(f"w{k}" for k in range(100_000)) + " " + " ".join(passage))]
+    got = {r["doc_id"]: r["component_id"] for r in near_join(docs(spark, rows)).collect()}
+    assert got == {**{k: k for k, _ in rows}, 5000: 7}
+
+
+def test_lines_of_one_template(spark):
+    rng = random.Random(4)
+    lines = [f"Posted by {''.join(rng.choices('abcdefgh', k=6))} in the forum of the old town on day {rng.randrange(400)} of the year" for _ in range(500)]
+    lines += [x.replace("old", rng.choice(["odd", "new"]))[: 200 - k % 3] for k, x in enumerate(lines[:40])]
+    up = list(range(len(lines)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
+    for (i, j), near in zip(pairs, within([lines[i] for i, _ in pairs], [lines[j] for _, j in pairs], 2)):
+        if near:
+            up[find(i)] = find(j)
+    first = {}
+    for k in range(len(lines)):
+        first.setdefault(find(k), k)
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_repeated_lines(docs(spark, list(enumerate(lines)))).collect()}
+    assert got == {k: int(first[find(k)] != k) for k in range(len(lines))}
+
+
 def test_joins_of_nothing(spark):
     empty = docs(spark, [])
     assert near_join(empty).count() == 0 and drop_repeated_lines(empty).count() == 0 and remove_repeats(empty).count() == 0
