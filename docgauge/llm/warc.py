@@ -6,13 +6,14 @@ min_bytes long) becomes a revisit record that refers to the response with the sm
 read_archives() takes any selection of the index, groups it by file and block, sorts it,
 merges neighbouring ranges and reads each merged range once.
 
-Which digests repeat reaches the scan of the pages as a bitmap of fixed size; only pages
-it marks are shuffled to meet their group. A task attempt writes a file of its own name, and only
+Which digests repeat reaches the scan of the pages as a bitmap of bounded size; only pages
+it marks meet their group, by shuffle, or in place where a group is a good part of all pages. A task attempt writes a file of its own name, and only
 files in the pinned index are ever read, so a lost or repeated attempt does no harm.
 
 Defined cases: null html is an empty payload, null urls are empty; payloads below min_bytes are responses;
 repeated rows of the response's id are responses too; rows without an id can be responses only where
-none of the group has one; line breaks in URLs are escaped; an empty table gives an empty index.
+none of the group has one; line breaks in URLs are escaped;
+very long payloads are written whole; other columns of the input are ignored, whatever their names; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_parts, marked, pin, read, scratch, sketch
+from .common import input_parts, join_counted, marked, pin, read, scratch, sketch
 from .memory import tidy
 
 FILE_BYTES = 256 << 20
@@ -123,11 +124,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.sha1(payload).alias("sha1"), F.length(payload).cast("long").alias("n"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     groups = rows.where(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    groups = pin(groups.select(F.col("sha1").alias("g"), "first"))
-    rows = marked(rows, F.xxhash64("sha1"), sketch(groups, F.xxhash64("g")), "again")
+    groups = pin(groups.select(F.col("sha1").alias("g"), "first", "c"))
+    rows = marked(rows, F.xxhash64("sha1"), sketch(groups, F.xxhash64("g")), "again").withColumn("again", F.col("again") & (F.col("n") >= min_bytes))
     none = F.lit(None).cast("long")
     alone = rows.where("not again").select("page_id", "url", "sha1", "n", "html", F.lit("response").alias("kind"), none.alias("refers_to"))
-    met = rows.where("again").join(groups, (F.col("sha1") == F.col("g")) & (F.col("n") >= min_bytes), "left")
+    # Copies of a payload that very many pages have are decided where they are, and their html goes no further.
+    met = join_counted(rows.where("again"), groups, "sha1", "g", "c", "left")
     revisit = F.col("g").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     met = met.select("page_id", "url", "sha1", "n", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
