@@ -8,8 +8,9 @@ features; interleave() joins the two by digest and keeps positions and captions
 
 Defined cases: a null payload is empty and stored as one row of padding; equal payloads
 have equal digests, bytes and features; a reference whose digest is unknown keeps its
-place with null media columns; broken HTML gives what the parser could read; null HTML
-gives no segments; empty tables give empty results.
+place with null media columns; broken HTML gives what the parser could read, and tags that are never closed
+lose no text; null HTML gives no segments; very long texts and pages are taken whole; repeated rows have sequences of their
+own; columns of the input may have any name; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, discard, pin, read, scratch, text_of
+from .common import arrow_limits, discard, packed, pin, read, scratch, text_of
 from .memory import tidy
 
 ROW_BYTES = 576
@@ -127,14 +128,24 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Segments(HTMLParser):
-    """Collects text and images in order; a figcaption, else alt, is the image's caption."""
+    """Collects text and media in order; the figcaption of a figure, else alt, is the caption.
+
+    What stands in an element that isn't shown is taken back when that element ends. If it never ends, or an
+    element around it ends first, its tag was stray and its text stays.
+    """
 
     HIDDEN = {"script", "style", "template", "noscript"}
-    BREAKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "article", "section", "figure", "title", "body"}
+    AROUND = {"div", "article", "section", "figure", "body", "li", "td", "table", "ul", "ol"}
+    BREAKS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "title", "figcaption"} | AROUND
+    #: A caption holds none of these, so one that isn't closed ends here.
+    PAST_CAPTION = {"article", "section", "body", "figure", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6"}
+    MEDIA = {"img", "audio", "video", "source"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.held, self.hidden, self.figure, self.caption = [], [], 0, None, None
+        self.out, self.held, self.around = [], [], []
+        self.hidden: list[tuple] = []  # tag, how many segments and pieces of text stood before it, how many elements were around it
+        self.figure = self.caption = None  # where the figure began; where its caption began, and its text
 
     def cut(self):
         text = " ".join("".join(self.held).split())
@@ -142,40 +153,74 @@ class _Segments(HTMLParser):
         if text:
             self.out.append(["text", text, None, None])
 
+    def end_caption(self):
+        """What was collected since the caption began is its text."""
+        if self.caption is not None and self.caption[1] is None:
+            self.cut()
+            at = self.caption[0]
+            mine = [x for x in self.out[at:] if x[0] == "text"]
+            self.out[at:] = [x for x in self.out[at:] if x[0] != "text"]
+            self.caption = (at, " ".join(x[1] for x in mine))
+
+    def end_figure(self):
+        """The caption goes to every medium of the figure, before it or behind; without one it is text in its place."""
+        self.end_caption()
+        self.cut()
+        if self.figure is not None and self.caption is not None and self.caption[1]:
+            media = [x for x in self.out[self.figure :] if x[0] == "media"]
+            for x in media:
+                x[3] = self.caption[1]
+            if not media:
+                self.out.insert(self.caption[0], ["text", self.caption[1], None, None])
+        self.figure = self.caption = None
+
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag in ("img", "audio", "video", "source"):
+            self.hidden.append((tag, len(self.out), list(self.held), len(self.around)))
+            return
+        if tag in self.PAST_CAPTION:
+            self.end_caption()
+        if tag in self.MEDIA:
             a = dict(attrs)
             self.cut()
             self.out.append(["media", None, _digest(a.get("src") or ""), a.get("alt")])
-        elif tag == "figcaption":
-            self.cut()
-            self.caption = []
         elif tag in self.BREAKS:
             self.cut()
-            if tag == "figure":
-                self.figure = len(self.out)
+        if tag == "figure":
+            self.end_figure()
+            self.figure = len(self.out)
+        elif tag == "figcaption" and self.figure is not None and self.caption is None:
+            self.caption = (len(self.out), None)
+        if tag in self.AROUND:
+            self.around.append(tag)
 
     def handle_endtag(self, tag):
         if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            media = [x for x in self.out[self.figure if self.figure is not None else len(self.out) :] if x[0] == "media"]
-            for x in media:
-                x[3] = text
-            if text and not media:
-                self.out.append(["text", text, None, None])
+            for k in range(len(self.hidden) - 1, -1, -1):
+                if self.hidden[k][0] == tag:
+                    _, n, self.held, _ = self.hidden[k]
+                    del self.out[n:], self.hidden[k:]
+                    break
+            return
+        if tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_figure()
+        if tag in self.BREAKS:
             self.cut()
-            self.figure = None
-        elif tag in self.BREAKS:
-            self.cut()
+        if tag in self.around:
+            while self.around.pop() != tag:
+                pass
+            self.hidden = [x for x in self.hidden if x[3] <= len(self.around)]
 
     def handle_data(self, data):
-        if not self.hidden:
-            (self.held if self.caption is None else self.caption).append(data)
+        self.held.append(data)
+
+    def finished(self):
+        self.close()
+        self.end_figure()
+        self.cut()
+        return self.out
 
 
 def _digest(src: str) -> str | None:
@@ -194,44 +239,63 @@ def segments(html: str | None) -> list[dict]:
     """The page's segments in order."""
     parser = _Segments()
     parser.feed(html or "")
-    parser.close()
-    parser.cut()
-    return [{"position": k, "kind": a, "text": b, "digest": c, "caption": d} for k, (a, b, c, d) in enumerate(parser.out)]
+    return [{"position": k, "kind": a, "text": b, "digest": c, "caption": d} for k, (a, b, c, d) in enumerate(parser.finished())]
 
 
 def html_segments(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """The input with a column segments."""
+    """doc, the input's columns as a struct, and segments."""
     fn = F.pandas_udf(lambda s: s.map(segments), SEGMENT)
-    return pages.withColumn("segments", fn(F.coalesce(F.col(html_col), F.lit(""))))
+    return packed(pages, fn(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("segments"))
 
 
 def interleave(pages: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     """One row per segment: id, position, kind, text, digest, caption and the media's columns.
 
-    A digest that many pages refer to is a hot key of this join only on its narrow side, which
-    Spark may split; media has one row per digest.
+    Segments of text have a key of their own that no digest equals, so they are spread evenly. A digest that many
+    pages refer to is hot only on this narrow side, which Spark may split; media has one row per digest.
     """
-    flat = pages.select(id_col, F.explode("segments").alias("s")).select(id_col, "s.*")
+    flat = pages.select(F.col(f"doc.`{id_col}`").alias(id_col), F.explode("segments").alias("s")).select(id_col, "s.*")
+    flat = flat.withColumn("__key", F.coalesce("digest", F.xxhash64(id_col, "position").cast("string")))
     known = media.withColumnRenamed("digest", "__digest")
-    return flat.join(known, flat["digest"] == known["__digest"], "left").drop("__digest")
+    return flat.join(known, F.col("__key") == F.col("__digest"), "left").drop("__digest", "__key")
 
 
 def sequences(rows: DataFrame, id_col: str) -> DataFrame:
     """interleave()'s rows gathered again: one ordered array of segments per page."""
-    cols = [c for c in rows.columns if c != id_col and c != "position"]
+    cols = [c for c in rows.columns if c not in (id_col, "position")]
     return rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("position", *cols))).alias("sequence"))
 
 
+def _escaped(text: Column) -> Column:
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """A page for each document: its language, its text as a captioned figure, its source, and the source's name as a second medium.
+
+    page is an id for each row, as doc_id may be missing or given twice.
+    """
+    ref = lambda text: F.concat(F.lit("<img src='" + REF), F.sha2(text.cast("binary"), 256), F.lit("'"))
+    source = _escaped(F.col("source"))
+    html = F.concat(
+        F.lit("<article><h1>"), _escaped(F.col("lang")), F.lit("</h1><figure>"), ref(text_of()), F.lit("><figcaption>from "), source,
+        F.lit("</figcaption></figure><p>source: "), source, F.lit("</p>"), ref(text_of("source")), F.lit(" alt='"), source, F.lit("'></article>"),
+    )
+    return docs.select("doc_id", html.alias("html")).withColumn("page", F.struct(F.monotonically_increasing_id().alias("row"), "doc_id"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text as the media of a page of its own, stored, read back and joined by digest."""
+    """Each document's text as the first medium of a page, stored, read back, joined by digest and gathered into the page's sequence."""
     docs = read(spark, sf_dir, "documents")
     path = scratch(spark, "media")
-    store_media(docs, path)
+    names = docs.select(text_of("source").alias("text")).distinct()
+    store_media(docs.select("text").unionByName(names), path)
     media = pin(read_media(spark, path))
     discard(spark, path)
-    page = F.concat(
-        F.lit("<article><figure><img src='" + REF), F.sha2(text_of().cast("binary"), 256), F.lit("'><figcaption>"),
-        F.regexp_replace(F.coalesce(F.col("lang").cast("string"), F.lit("")), "[<>&]", " "), F.lit("</figcaption></figure></article>"),
-    )
-    rows = interleave(html_segments(docs.select("doc_id", page.alias("html"))), media, "doc_id")
-    return rows.where("kind = 'media'").select("doc_id", *[c.split()[0] for c in MEDIA.split(", ")[1:]], "position", "caption")
+    told = sequences(interleave(html_segments(document_pages(docs)), media, "page"), "page")
+    own = F.get(F.filter("sequence", lambda x: x["kind"] == "media"), F.lit(0))
+    out = told.select("page.doc_id", own.alias("own"), F.size("sequence").alias("n_segments"), F.sha2(F.to_json("sequence").cast("binary"), 256).alias("sequence_sha256"))
+    return out.select("doc_id", *[f"own.{c.split()[0]}" for c in MEDIA.split(", ")[1:]], "own.position", "own.caption", "n_segments", "sequence_sha256")

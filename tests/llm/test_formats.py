@@ -106,6 +106,41 @@ def test_media_by_digest(spark):
     assert {r["page_id"]: [x["position"] for x in r["sequence"]] for r in media.sequences(rows, "page_id").collect()}[1] == [0, 1, 2, 3]
 
 
+def plain(html):
+    return [(x["kind"], x["text"] or x["caption"]) for x in media.segments(html)]
+
+
+def test_segments_of_broken_pages():
+    assert plain("a<figcaption>b<p>c</p>d") == [("text", x) for x in "abcd"]
+    assert plain("<noscript>x<p>tail") == [("text", "x"), ("text", "tail")]
+    assert plain("<div><noscript>x</div>tail<noscript>gone<img src='u'></noscript>end") == [("text", "x"), ("text", "tailend")]
+    assert plain("<figure><figcaption>first</figcaption><img src='u' alt='no'><img src='v'></figure>z") == [("media", "first"), ("media", "first"), ("text", "z")]
+    assert plain("<figure>in<figcaption>alone</figure>z<p>y") == [("text", "in"), ("text", "alone"), ("text", "z"), ("text", "y")]
+    assert plain("<figure><img src='u'><figcaption>open<h2>head</h2>text") == [("media", "open"), ("text", "head"), ("text", "text")]
+    assert plain("<p>one<figure><img src='u'><figcaption>c <b>d</b><p>e</figcaption>more</figure>two") == [("text", "one"), ("media", "c d e"), ("text", "more"), ("text", "two")]
+
+
+def test_media_query_equals_brute_force(spark, tmp_path):
+    rows = [(1, "alpha", "en", "a<b & 'c'"), (2, None, None, None), (2, "alpha", "de", "src"), (None, "", "fr", "src"), (4, "w " * 50_000, "en", "alpha"), (1, "alpha", "en", "a<b & 'c'")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def stored(text):
+        full = media.padded((text or "").encode())
+        png = media.to_png(full)
+        return len((text or "").encode()), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), len(png), hashlib.sha256(png).hexdigest(), media.features(full)
+
+    want = []
+    for i, text, lang, source in rows:
+        before = int(bool(lang))
+        want.append((i, *stored(text), before, f"from {source or ''}".strip(), before + 3))
+    got = media.op6_media_columns(spark, str(tmp_path))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r)[:-1] for r in got.collect()), key=key) == sorted(want, key=key)
+    clash = spark.createDataFrame([(1, "<p>x", "kept")], "page_id long, html string, segments string")
+    out = media.html_segments(clash).collect()[0]
+    assert out["doc"]["segments"] == "kept" and out["segments"][0]["text"] == "x"
+
+
 # --- licenses ---------------------------------------------------------------
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
