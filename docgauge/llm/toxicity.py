@@ -23,17 +23,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, pin, read, text_of
 from .memory import tidy
 
 MAX_LABELLED = 12_000
-MAX_FEATURES = 3_000
-MIN_DOCS = 3
 #: Least chi-square of a feature with some category: chance alone reaches it about once in two million features.
-MIN_CHI2 = 25.0
+LEVEL = 25.0
 FOLDS = 5
 STEM = 5
 THRESHOLD = 0.5
@@ -162,7 +160,15 @@ def _indices(vocabulary: list[str], k: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Chain:
+def _speaks_for(y: Column, pos: float, n: int) -> Column:
+    """Whether a feature of n0 of n documents, y of them among the pos of a category, speaks for it at LEVEL (Yates)."""
+    seen = F.col("n0")
+    spread = seen * (n - seen) * F.lit(pos) * F.lit(n - pos)
+    more = y * F.lit(float(n)) - seen * F.lit(pos) - F.lit(n / 2)
+    return (spread > 0) & (more > 0) & (F.lit(float(n)) * more * more >= F.lit(LEVEL) * spread)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, max_labelled: int = MAX_LABELLED) -> Chain:
     """Fit the chain on at most max_labelled documents of labels (doc_id and the columns that categories name)."""
     categories = categories or CATEGORIES
     k = len(categories)
@@ -172,22 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # the documented bound
     # The broadcast has at most max_labelled rows.
     sample = docs.select(F.col("doc_id").alias("id"), text_of().alias("text")).join(F.broadcast(marked), F.col("id") == F.col("doc_id"))
-    sample = pin(sample.select("text", *ys, F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
+    sample = sample.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), *[F.first(y).alias(y) for y in ys])
+    sample = pin(sample.select("id", F.col("t.text").alias("text"), *ys, F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold")))
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
     n = totals["n"]
     counts = sample.select("text", *ys).mapInArrow(tidy(_counts(k)), ", ".join(["feature string", *(f"n{c} long" for c in range(k + 1))]))
-    counts = counts.groupBy("feature").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(k + 1)]).where(F.col("n0") >= MIN_DOCS)
-    gains = []
+    counts = counts.groupBy("feature").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(k + 1)])
+    speaks = F.lit(False)
     for c, y in enumerate(ys):
-        pos, seen, both = F.lit(float(totals[y])), F.col("n0"), F.col(f"n{c + 1}")
-        spread = seen * (n - seen) * pos * (n - pos)
-        more = both * F.lit(float(n)) - seen * pos  # only features that speak for a category
-        gains.append(F.when((spread > 0) & (more > 0), F.pow(more, F.lit(2.0)) / spread).otherwise(F.lit(0.0)))
-    counts = counts.withColumn("gain", F.greatest(*gains) if k > 1 else gains[0]).where(F.col("gain") * n >= MIN_CHI2)
-    best = counts.orderBy(F.desc("gain"), "feature").limit(max_features)
-    vocabulary = [r["feature"] for r in best.select("feature").collect()]
+        speaks = speaks | _speaks_for(F.col(f"n{c + 1}"), float(totals[y]), n)
+    # As many as the sample's texts give; a word of a bounded sample is the unit here, not a document.
+    vocabulary = sorted(r["feature"] for r in counts.where(speaks).select("feature").collect())
     kinds = ", ".join(["at array<int>", *(f"{y} int" for y in ys), "fold int"])
-    rows = sample.select("text", *ys, "fold").mapInArrow(tidy(_indices(vocabulary, k)), kinds).toArrow()
+    rows = sample.orderBy("id").select("text", *ys, "fold").mapInArrow(tidy(_indices(vocabulary, k)), kinds).toArrow()
     at = [np.array(x, np.int64) for x in rows.column("at").to_pylist()]
     y = np.column_stack([rows.column(y).to_numpy() for y in ys]) if n else np.zeros((0, k))
     models, oof = fit_chain(at, y, rows.column("fold").to_numpy(), len(vocabulary))
@@ -198,7 +201,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     """doc_id and a probability p_<category> for every document."""
     arrow_limits(docs.sparkSession)
     names = [f"p_{c}" for c in chain.names]
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most MAX_FEATURES rows of weights
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # a row of weights for each feature of the sample
 
     def run(batches):
         model = shared.value

@@ -43,6 +43,76 @@ def test_chain_finds_held_out_toxic_documents(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in rows.items() if r["p_toxic"] < 0.5}
 
 
+def brute_chain(docs, labels, folds):
+    """The chain in plain loops and dense matrices: {doc: [probabilities]} for docs (id, text), labels {id: (quality, toxic)}."""
+    sets = {}
+    for i, t in docs:
+        w = set(re.findall(r"\w+", (t or "").lower()))
+        sets[i] = w | {x[:5] + "*" for x in w if len(x) > 5}
+    ids = sorted(i for i in labels if i in sets)
+    ys = [[int(labels[i][0] == 0) for i in ids], [int(labels[i][1] == 1) for i in ids], [int(labels[i] == (0, 1)) for i in ids]]
+    n, vocabulary = len(ids), []
+    for f in sorted(set().union(*(sets[i] for i in ids))):
+        seen = sum(f in sets[i] for i in ids)
+        for y in ys:
+            pos, both = sum(y), sum(v for i, v in zip(ids, y) if f in sets[i])
+            spread, more = seen * (n - seen) * pos * (n - pos), both * n - seen * pos - n / 2
+            if spread > 0 and more > 0 and n * more * more / spread >= 25:
+                vocabulary.append(f)
+                break
+    x = np.array([[float(f in sets[i]) for f in vocabulary] for i in ids])
+    every = np.array([[float(f in sets[i]) for f in vocabulary] for i in sets])
+    fold = np.array([folds[i] for i in ids])
+    prev, prev_all, out = np.zeros((n, 0)), np.zeros((len(sets), 0)), []
+
+    def train(a, y):
+        rate = min(max(y.mean(), 0.5 / (len(y) + 1)), 1 - 0.5 / (len(y) + 1))
+        w, b = np.zeros(a.shape[1]), float(np.log(rate / (1 - rate)))
+        m, v = np.zeros(a.shape[1] + 1), np.zeros(a.shape[1] + 1)
+        for t in range(1, 251):
+            r = (1 / (1 + np.exp(-(a @ w + b))) - y) / len(y)
+            g = np.append(a.T @ r + 5e-5 * w, r.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            step = 0.12 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+            w, b = w - step[:-1], b - step[-1]
+        return w, b
+
+    for y in map(np.array, ys):
+        a, z = np.column_stack([x, prev]), np.zeros(n)
+        for f in set(fold):
+            w, b = train(a[fold != f], y[fold != f])
+            z[fold == f] = a[fold == f] @ w + b
+        w, b = train(a, y)
+        told = np.clip(np.column_stack([every, prev_all]) @ w + b, -12, 12)
+        out.append(1 / (1 + np.exp(-told)))
+        prev, prev_all = np.column_stack([prev, np.clip(z, -12, 12)]), np.column_stack([prev_all, told])
+    return dict(zip(sets, zip(*out))), vocabulary
+
+
+def test_toxicity_query_equals_brute_force(spark, tmp_path):
+    docs, labels = corpus(spark, 240)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    folds = {r["doc_id"]: r["f"] for r in docs.selectExpr("doc_id", f"CAST(pmod(xxhash64('fold', doc_id), {toxicity.FOLDS}) AS INT) AS f").collect()}
+    told = {}
+    for r in labels.dropna().collect():
+        old = told.get(r["doc_id"], (1, 0))
+        told[r["doc_id"]] = (min(old[0], r["quality"]), max(old[1], r["toxic"]))
+    want, vocabulary = brute_chain(rows, told, folds)
+    got = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
+    assert vocabulary and len(got) == len(rows)
+    for r in got:
+        p = [r["p_low_quality"], r["p_toxic"], r["p_toxic_low_quality"]]
+        assert np.allclose(p, want[r["doc_id"]], atol=2e-3) and r["is_toxic"] == (p[1] >= 0.5), r["doc_id"]
+
+
+def test_repeated_ids_do_not_exceed_the_bound(spark):
+    docs, labels = corpus(spark, 60)
+    many = docs.unionByName(docs.where("doc_id = 8").crossJoin(spark.range(300)).drop("id"))
+    assert len(toxicity.fit(many, labels, max_labelled=20).labels) <= 20
+
+
 def test_chain_without_labels_and_documents(spark):
     docs, labels = corpus(spark, 40)
     flat = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()
