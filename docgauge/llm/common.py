@@ -158,32 +158,15 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, table_key: str, n:
     return near.unionByName(far)
 
 
-#: A key with at most so many rows is never hot.
-LEAST_HOT = 200
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, table_key: str) -> DataFrame:
+    """The inner join of rows and table by whole numbers, so planned that Spark can split a hot key at run time.
 
-
-def join_salted(rows: DataFrame, table: DataFrame, key: str, table_key: str, counts: DataFrame) -> DataFrame:
-    """The inner join of rows and table by a key, with the rows of hot keys dealt out evenly.
-
-    counts (k, n) has the number of rows of each key. A key with more than one in HOT_KEYS of them is hot;
-    there are fewer than HOT_KEYS such keys, so their table is broadcast. Their rows get a salt, their part of
-    table one copy for each salt. Without such keys it is a plain join.
+    Adaptive execution splits a partition only if both sides are dealt out for this very join. A checkpoint
+    remembers how it was dealt, and a side that lies right already could not be split; so the keys are
+    expressions, of which nobody knows how they lie.
     """
-    on = F.col(key) == F.col(table_key)
-    seen = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
-    limit = max((seen["total"] or 0) / HOT_KEYS, LEAST_HOT)
-    if (seen["most"] or 0) <= limit:
-        return rows.join(table, on)
-    hot = F.broadcast(pin(counts.where(F.col("n") > limit).select(F.col("k").alias("__hot"), F.ceil(F.col("n") / limit).cast("int").alias("__salts"))))
-    salts = F.coalesce("__salts", F.lit(1))
-    left = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("__hot", "__salts")
-    right = table.join(hot, F.col(table_key) == F.col("__hot"), "left").withColumn("__of", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__hot", "__salts")
-    return left.join(right, on & (F.col("__salt") == F.col("__of"))).drop("__salt", "__of")
-
-
-def counted(rows: DataFrame, key: str) -> DataFrame:
-    """k and n, the number of rows, of each value of a column."""
-    return rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("long")
+    return rows.join(table, F.col(key).bitwiseXOR(zero) == F.col(table_key).bitwiseXOR(zero))
 
 
 def drop_rows(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:

@@ -7,23 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, join_salted, pin, sweep
+from .common import dealt_join, pin, sweep
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every end of edges (a, b); comp is the component's smallest node.
 
     Each round takes the smallest label among neighbours and then the label of that label, so
-    a chain of n nodes takes about log n rounds and a star two. Hubs, and labels that many nodes have, are salted.
+    a chain of n nodes takes about log n rounds and a star two. Hubs, and labels that many nodes have, may be split.
     """
     both = pin(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    degree = pin(counted(both, "b"))
     labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     while True:
-        near = join_salted(both, labels, "b", "node", degree).groupBy("a").agg(F.min("comp").alias("near"))
+        near = dealt_join(both, labels, "b", "node").groupBy("a").agg(F.min("comp").alias("near"))
         new = pin(labels.join(near, F.col("node") == F.col("a"), "left").select("node", "comp", F.least("comp", "near").alias("next")))
         jump = new.select(F.col("node").alias("j"), F.col("next").alias("jump"))
-        new = pin(join_salted(new, jump, "next", "j", counted(new, "next")).select("node", "comp", F.least("next", "jump").alias("next")))
+        new = pin(dealt_join(new, jump, "next", "j").select("node", "comp", F.least("next", "jump").alias("next")))
         changed = new.where("comp <> next").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
         if not changed:
@@ -40,16 +39,15 @@ def tagged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def star_pairs(posts: DataFrame, cols: list[str], may_link: Callable[[str, str], Column], best_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """For postings (tok, id, cols...): keys that need more than these pairs, with the number of their postings, and pairs of ids with pivots: (k, n), (a, b).
+    """For postings (tok, id, cols...): keys that need more than these pairs, and pairs of ids with pivots: (k), (a, b).
 
     A key's pivot is its smallest posting by cols. With best_only an id meets the pivot it shares most keys with,
     otherwise every pivot that it may link with; keys of two postings are then done.
     """
     pivots = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v")).where("c > 1")
     pivots = pin(tagged(pivots.select("tok", "c", "v.*"), "v"))
-    counts = pivots.select(F.col("tok_v").alias("k"), F.col("c_v").alias("n"))
-    star = join_salted(tagged(posts, "x"), pivots, "tok_x", "tok_v", counts).where((F.col("id_x") != F.col("id_v")) & may_link("x", "v"))
-    toks = counts.where(F.col("n") > (1 if best_only else 2))
+    star = dealt_join(tagged(posts, "x"), pivots, "tok_x", "tok_v").where((F.col("id_x") != F.col("id_v")) & may_link("x", "v"))
+    toks = pivots.where(F.col("c_v") > (1 if best_only else 2)).select(F.col("tok_v").alias("k"))
     if not best_only:
         return toks, star.select(F.col("id_x").alias("a"), F.col("id_v").alias("b")).distinct()
     best = star.groupBy("id_x", "id_v").agg(F.count(F.lit(1)).alias("s")).groupBy("id_x").agg(F.max(F.struct("s", "id_v")).alias("m"))
@@ -70,13 +68,13 @@ def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str]
         stats = pin(own.groupBy(F.col("tok").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")))
         if not stats.where("lo <> hi").limit(1).count():
             break
-        own = pin(join_salted(own, stats.select("k", (F.col("lo") != F.col("hi")).alias("live")), "tok", "k", stats).where("live").drop("k", "live"))
+        own = pin(dealt_join(own, stats.select("k", (F.col("lo") != F.col("hi")).alias("live")), "tok", "k").where("live").drop("k", "live"))
         if wave < waves - 1:
             by_comp = own.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v"))
-            hubs = by_comp.groupBy("tok").agg(F.max(F.struct("c", "comp", "v")).alias("h"), F.count(F.lit(1)).alias("comps"))
-            hubs = pin(tagged(hubs.select("tok", "comps", F.col("h.comp").alias("comp"), "h.v.*"), "h"))
+            hubs = by_comp.groupBy("tok").agg(F.max(F.struct("c", "comp", "v")).alias("h"))
+            hubs = tagged(hubs.select("tok", F.col("h.comp").alias("comp"), "h.v.*"), "h")
             left = tagged(by_comp.select("tok", "comp", "v.*"), "x")
-            meet = join_salted(left, hubs, "tok_x", "tok_h", hubs.select(F.col("tok_h").alias("k"), F.col("comps_h").alias("n")))
+            meet = dealt_join(left, hubs, "tok_x", "tok_h")
             pairs = meet.where((F.col("comp_x") != F.col("comp_h")) & may_link("x", "h")).select(F.col("id_x").alias("a"), F.col("id_h").alias("b"))
         else:
             pairs = last(own, stats.where("lo <> hi").select("k", "n"))

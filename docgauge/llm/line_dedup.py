@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import arrow_limits, input_parts, join_salted, marked, pin, read, sketch, sweep, text_of
+from .common import arrow_limits, dealt_join, input_parts, marked, pin, read, sketch, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -338,7 +338,7 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHA
     toks, pairs = star_pairs(posts, COLS, may_link, best_only=False)
     edges = pin(check(pairs))
     sweep(spark)
-    live = join_salted(posts, toks.select(F.col("k").alias("t")), "tok", "t", toks).drop("t")
+    live = dealt_join(posts, toks, "tok", "k").drop("k")
     # Every pivot has been tried, and candidates are few: one wave over what still joins different classes is enough.
     last = lambda own, counts: _last_pairs(own, counts, lines, edits, may_link)
     return spots.select("doc_id", "th", "line_no", "lid"), cross_waves(live, COLS, may_link, check, edges, last, waves=1)

@@ -18,7 +18,7 @@ earliest), each member against its group's first; components are formed; and the
 further waves, only pairs across components that still share a prefix shingle, members of one
 group among them, are tested, first of components' pivots, at last every pair that may link at its first common shingle
 (_first_common). So no link between components is lost, while a group of thousands of near copies costs about one
-test per copy, and a passage that thousands of unlinked documents share costs none. Hot keys are salted.
+test per copy, and a passage that thousands of unlinked documents share costs none. Hot keys may be split (common.dealt_join).
 
 Defined cases: null or wordless texts have an empty set and link with nothing; a text of
 fewer than five words is one shingle; repeated rows are equal sets; an empty table gives
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import HOT_KEYS, arrow_limits, drop_rows, input_parts, join_salted, pin, read, sweep, text_of
+from .common import HOT_KEYS, arrow_limits, dealt_join, drop_rows, input_parts, pin, read, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -130,8 +130,8 @@ def _verify(percent: int):
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are similar enough."""
     items = sets.select("sid", "items")
-    right = pairs.join(tagged(items, "b"), F.col("b") == F.col("sid_b")).select("a", "b", "items_b")
-    both = right.join(tagged(items, "a"), F.col("a") == F.col("sid_a")).select("a", "b", "items_a", "items_b")
+    right = dealt_join(pairs, tagged(items, "b"), "b", "sid_b").select("a", "b", "items_b")
+    both = dealt_join(right, tagged(items, "a"), "a", "sid_a").select("a", "b", "items_a", "items_b")
     return both.mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
@@ -196,7 +196,7 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     signed = pin(rows.mapInArrow(tidy(_signatures(k, percent, shared)), SIGNATURE))
     shared.destroy()  # the checkpoint needs it no more
     del found
-    sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("did"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
+    sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("did"), *[F.first(c).alias(c) for c in ("n", "gid", "f", "p", "items")])
     sets = pin(sets)
     sweep(spark)
     head = F.expr("substring(items, 8 * f + 1, 8 * (p - f))")
@@ -208,28 +208,26 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     toks, pairs = star_pairs(posts.withColumnRenamed("gid", "id"), COLS, may_link)
     # Two members of a group may link with each other and not with its first: the first shingle of the prefix they share keeps them in the waves.
     crowded = groups.where("members > 2").select("gid", "n", "f", F.substring("head", 1, 8).alias("head"))
-    crowded = crowded.mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int").select(F.col("tok").alias("k"), F.lit(1).cast("long").alias("n"))
-    toks = pin(toks.union(crowded).groupBy("k").agg(F.max("n").alias("n")))
+    crowded = crowded.mapInArrow(tidy(_postings), "tok long, gid long, n long, pos int, q int").select(F.col("tok").alias("k"))
+    toks = toks.union(crowded).distinct()
     reps = groups.select(F.col("gid").alias("rg"), "rep")
-    sizes = groups.select(F.col("gid").alias("k"), F.col("members").alias("n"))
     pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("rg_x")).join(tagged(reps, "v"), F.col("b") == F.col("rg_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
-    inner = join_salted(sets.select("sid", "gid"), reps, "gid", "rg", sizes).where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    inner = dealt_join(sets.select("sid", "gid"), reps, "gid", "rg").where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     edges = pin(check(pairs.union(inner)))
     sweep(spark)
     # Further waves: groups expand to their members where a shingle still joins different components.
-    live = join_salted(posts, toks.select(F.col("k").alias("tk")), "tok", "tk", toks).select("tok", F.col("gid").alias("pg"), *COLS)
-    live = join_salted(sets.select(F.col("sid").alias("id"), "gid"), live, "gid", "pg", sizes).select("tok", "id", *COLS)
+    live = dealt_join(posts, toks, "tok", "k").select("tok", F.col("gid").alias("pg"), *COLS)
+    live = dealt_join(sets.select(F.col("sid").alias("id"), "gid"), live, "gid", "pg").select("tok", "id", *COLS)
     comps = cross_waves(live, COLS, may_link, check, edges, lambda own, counts: _first_common(own, counts, percent))
-    least = sets.select(F.col("sid").alias("s"), "did", "copies").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", "copies", F.coalesce("comp", "s").alias("c"))
+    least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
-    smallest = pin(least.groupBy(F.col("c").alias("k")).agg(F.min("did").alias("least"), F.count(F.lit(1)).alias("n")))
-    return signed, pin(join_salted(least, smallest.select(F.col("k").alias("cc"), "least"), "c", "cc", smallest).select("s", "least", "copies"))
+    smallest = least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least"))
+    return signed, pin(dealt_join(least, smallest, "c", "cc").select("s", "least"))
 
 
 def _named(signed: DataFrame, named: DataFrame) -> DataFrame:
-    """signed's rows that have a set, with least, the first of their component; sets of a great many copies are salted."""
-    own = signed.where("sid IS NOT NULL")
-    return join_salted(own, named.select("s", "least"), "sid", "s", named.select(F.col("s").alias("k"), F.col("copies").alias("n")))
+    """signed's rows that have a set, with least, the first of their component."""
+    return dealt_join(signed.where("sid IS NOT NULL"), named, "sid", "s")
 
 
 def near_join(docs: DataFrame, **options) -> DataFrame:
