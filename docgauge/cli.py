@@ -55,17 +55,16 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from .plans import bundle, gate, review, signing
+    from .plans import bundle, gate, inquiry, ledger, signing
     from .sources.directory import read_directory, validate
 
     a = parser().parse_args(argv)
     if a.command == "keygen":
         signing.Signer.generate(a.keyid).save_pem(a.private, a.public)
     elif a.command == "scan":
-        spark = _spark()
-        docs = validate(read_directory(spark, a.corpus, a.provenance))
+        docs = validate(read_directory(_spark(), a.corpus, a.provenance))
         m = bundle.build(
-            a.out or a.corpus, docs, corpus_id=a.corpus_id, version_id=a.version_id, signers=[signing.Signer.from_pem(a.key, a.keyid)],
+            a.out or a.corpus, docs, bundle.Origin(a.corpus_id, a.version_id), signers=[signing.Signer.from_pem(a.key, a.keyid)],
             policy=a.policy or gate.DEFAULT_POLICY, config={"markings": {"ceiling": a.ceiling}} if a.ceiling else None,
         )
         print(f"{m['corpus']['document_count']} documents, root {m['corpus']['merkle_root']}")
@@ -74,23 +73,25 @@ def main(argv: list[str] | None = None) -> int:
         for f in m["findings"]:
             print(f"{f['finding_id']} {f['status']} {f['severity']}: {f['gate']['reason']}")
     elif a.command == "verify":
-        rep = bundle.verify(_spark(), a.root, [signing.Verifier.from_pem(a.key, a.keyid)], a.corpus)
-        for k, v in rep.checks.items():
+        report = bundle.verify(_spark(), a.root, [signing.Verifier.from_pem(a.key, a.keyid)], a.corpus)
+        for k, v in report.checks.items():
             print(f"{'ok  ' if v else 'FAIL'} {k}")
         for kind in ("changed", "added", "removed"):
-            for x in getattr(rep, kind)[:5]:
+            for x in getattr(report, kind)[:5]:
                 print(f"{kind}: {x}")
-        return 0 if rep.ok else 1
-    elif a.command == "triage":
-        found, run = review.run_scripted(review.Investigation(_spark(), a.root, a.corpus), [[(t, x) for t, x in turn] for turn in json.loads(Path(a.script).read_text())])
-        print(review.submit(a.root, found, run)["proposal_id"])
-    elif a.command == "proposals":
-        for p in review.list_proposals(a.root):
-            print(p["proposal_id"], p["status"], p["payload"].get("finding_id"), p["payload"].get("assessment"))
-    elif a.command == "approve":
-        review.approve(a.root, a.proposal_id, a.approver, [signing.Signer.from_pem(a.key, a.keyid)], [signing.Verifier.from_pem(a.public, a.keyid)])
+        return 0 if report.ok else 1
     else:
-        review.reject(a.root, a.proposal_id, a.approver, a.reason)
+        book = ledger.Ledger(_spark(), a.root)
+        if a.command == "triage":
+            turns = json.loads(Path(a.script).read_text())
+            print(book.submit(inquiry.play(inquiry.Bundle(book.spark, a.root, a.corpus), turns)))
+        elif a.command == "proposals":
+            for r in book.table().toLocalIterator():
+                print(r["proposal_id"], r["state"], r["finding_id"], r["assessment"])
+        elif a.command == "approve":
+            book.approve(a.proposal_id, a.approver, [signing.Signer.from_pem(a.key, a.keyid)], [signing.Verifier.from_pem(a.public, a.keyid)])
+        else:
+            book.reject(a.proposal_id, a.approver, a.reason)
     return 0
 
 

@@ -74,14 +74,11 @@ def records(m: Measured) -> DataFrame:
     return m.docs.select(*cols, metrics.alias("metrics")).orderBy("doc_hash", F.split("envelope.source_locator", "/"))
 
 
-def evidence(m: Measured, flag: str, limit: int) -> list[str]:
-    """The first hashes, in record order, of documents with the flag."""
-    rows = m.docs.where(F.col(flag)).select("doc_hash").distinct().orderBy("doc_hash").limit(limit)
-    return [r["doc_hash"] for r in rows.collect()]
-
-
 def ranked_evidence(docs: DataFrame, flags: list[str], limit: int) -> DataFrame:
-    """flag, doc_hash, place: the same for many flags at once."""
+    """flag, doc_hash, place: the first hashes, in record order, of documents with each flag.
+
+    Distinct hashes are cut to limit within their own partition before they meet.
+    """
     rows = docs.select("doc_hash", F.explode(flag_array(flags)).alias("flag")).distinct()
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("flag").orderBy("doc_hash"))).where(F.col("place") <= limit)
 

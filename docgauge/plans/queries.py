@@ -16,8 +16,8 @@ from ..operators.near import BANDS, PRIME, ROWS, SHINGLE, SLOTS, THRESHOLD, coef
 from ..operators.quantiles import distribution
 from ..sources.tables import DEFECT_SQL, read_documents, read_table
 from . import gate
-from .bundle import compare
-from .measure import evidence, flag_array, measure, ranked_evidence
+from .bundle import assess, compare
+from .measure import extend, flag_array, measure, ranked_evidence, select_families
 from .merkle import merkle_root
 
 CEILING = "CUI"
@@ -146,33 +146,32 @@ def sidecar_anti_join(spark, d):
     return side.join(read_documents(spark, d).select(F.col("source_locator").alias("locator")), "locator", "left_anti")
 
 
-RULES = ("DUP-001", "PROV-001", "PROV-002", "INT-001", "INT-003", "INT-004", "INT-006", "MARK-001", "MARK-002", "MARK-003")
+#: Every flag of the families.
+FLAGS = ("exact_duplicate", "near_duplicate", "empty", "near_empty", "truncated", "mojibake", "control_chars", "markup_residue", "large", "unmarked", "marking_conflict", "ceiling_breach", "redaction_residue", "undated", "duplicate_source_id")
+SETTINGS = {"markings": {"ceiling": CEILING}}
 
 
 def gate_findings(spark, d):
-    """The default policy's rules that SQL can state, judged over all families; near duplicates aside."""
-    m = measure(read_documents(spark, d, defects=True), ["integrity", "markings", "provenance"], {"markings": {"ceiling": CEILING}})
-    dup = m.docs.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("x")).first()
-    results = [*m.results, {"metric_id": "dup.exact_rate", "value": round(dup["x"] / dup["n"], 6), "unit": "fraction"}]
-    policy = gate.load_policy()
-    policy["rules"] = [r for r in policy["rules"] if r["rule_id"] in RULES]
-    found = gate.evaluate(policy, results, lambda flag, n: evidence(m, flag, n) if flag in m.flags else [])
+    """The default policy over all families."""
+    m = measure(read_documents(spark, d, defects=True), config=SETTINGS)
+    found = assess(m, gate.load_policy())
     m.docs.unpersist()
     rows = [(f["finding_id"], f["status"], f["severity"], float(f["observed"]), len(f.get("evidence", []))) for f in found]
     return spark.createDataFrame(rows, "finding_id string, status string, severity string, observed double, evidence long")
 
 
+def _flagged(spark, d):
+    return extend(read_documents(spark, d, defects=True), select_families(config=SETTINGS))
+
+
 def evidence_topk(spark, d):
     """The first five hashes of each flag, in record order."""
-    docs = read_documents(spark, d, defects=True)
-    docs = docs.withColumns({k: v for k, v in Integrity().columns().items() if k in ("control_chars", "markup_residue", "near_empty")})
-    return ranked_evidence(docs, ["control_chars", "markup_residue", "near_empty"], 5).withColumn("place", F.col("place").cast("long"))
+    return ranked_evidence(_flagged(spark, d), list(FLAGS), 5).withColumn("place", F.col("place").cast("long"))
 
 
 def record_flags(spark, d):
-    docs = Provenance().extend(read_documents(spark, d, defects=True))
-    docs = docs.withColumns({k: v for k, v in Integrity().columns().items() if k in ("control_chars", "markup_residue", "near_empty", "empty")})
-    return docs.select("doc_id", F.coalesce(F.array_join(flag_array(["control_chars", "duplicate_source_id", "empty", "markup_residue", "near_empty", "undated"]), ","), F.lit("")).alias("flags"))
+    """Every flag of every document."""
+    return _flagged(spark, d).select("doc_id", F.coalesce(F.array_join(flag_array(list(FLAGS)), ","), F.lit("")).alias("flags"))
 
 
 def first_per_hash(spark, d):
@@ -268,61 +267,78 @@ _MARK = f"""(SELECT *, greatest(top, ptop) AS doc_top, (nl > 1 OR coalesce(top <
     FROM (SELECT doc_id, regexp_split_to_array(t, '{_Q(tx.LINE_BREAK)}') AS rows FROM {_BAD} b) l) k) z)"""
 _WORDS_RANK = "CASE regexp_extract(x, '" + _BAN + "', 1) " + " ".join(f"WHEN '{k}' THEN {mk.LEVELS.index(v) + 1}" for k, v in mk.LEVEL_WORDS.items()) + " END"
 _MARK = _MARK.replace("lv(x)", f"({_WORDS_RANK})")
+
+
+def _marks(rows: str) -> str:
+    """The parsed marks of a table (doc_id, t)."""
+    return _MARK.replace(f"FROM {_BAD} b", f"FROM {rows} b")
+
+
 _PENV, _BENV = _ENV.format(_PLAIN + " e"), _ENV.format(_BAD + " e")
 _IDS = "(source_id IS NOT NULL AND min(doc_hash) OVER (PARTITION BY source, source_id) <> max(doc_hash) OVER (PARTITION BY source, source_id))"
 
 
-def _near_sql() -> str:
+def _near_pairs(env: str) -> str:
+    """CTEs ending in p, the hashes with a near neighbour."""
     ab = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(coefficients()))
     need = int(-(-THRESHOLD * SLOTS // 1))
-    return f"""WITH d AS (SELECT doc_hash, any_value(t) AS t FROM {_PENV} x GROUP BY 1),
+    return f"""d AS (SELECT doc_hash, any_value(t) AS t FROM {env} x GROUP BY 1),
 w AS (SELECT doc_hash, regexp_extract_all(lower(t), '{_W}') AS ws FROM d),
 s AS (SELECT DISTINCT doc_hash, CAST('0x' || substr(sha1(array_to_string(ws[i : i + {SHINGLE - 1}], ' ')), 1, 7) AS BIGINT) AS h FROM w, unnest(range(1, len(ws) - {SHINGLE - 2})) AS u(i)),
 m AS (SELECT doc_hash, k, min((a * h + b) % {PRIME}) AS v FROM s, (VALUES {ab}) AS c(k, a, b) GROUP BY 1, 2),
 g AS (SELECT doc_hash, list(v ORDER BY k) AS sig FROM m GROUP BY 1),
 b AS (SELECT doc_hash, sig, band, sig[band * {ROWS} + 1 : band * {ROWS} + {ROWS}] AS key FROM g, unnest(range(0, {BANDS})) AS u(band)),
 p AS (SELECT DISTINCT x.doc_hash FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.doc_hash <> y.doc_hash
-  WHERE len(list_filter(range(1, {SLOTS + 1}), lambda i: x.sig[i] = y.sig[i])) >= {need})
-SELECT doc_id FROM {_PENV} x WHERE doc_hash IN (SELECT doc_hash FROM p)"""
+  WHERE len(list_filter(range(1, {SLOTS + 1}), lambda i: x.sig[i] = y.sig[i])) >= {need})"""
+
+
+def _flags_sql(rows: str, env: str) -> str:
+    """WITH ... f: documents with their envelope, doc_top, conflict, residue and each of FLAGS."""
+    more = {
+        "exact_duplicate": "count(*) OVER (PARTITION BY doc_hash) > 1", "near_duplicate": "doc_hash IN (SELECT doc_hash FROM p)", "unmarked": "doc_top IS NULL", "marking_conflict": "conflict",
+        "ceiling_breach": f"coalesce(doc_top > {mk.LEVELS.index(CEILING) + 1}, false)", "redaction_residue": "residue", "undated": "collected_at IS NULL", "duplicate_source_id": _IDS,
+    } | _FLAGS
+    cols = ", ".join(f"{more[x]} AS {x}" for x in FLAGS)
+    return f"WITH {_near_pairs(env)},\nf AS (SELECT e.*, doc_top, {cols} FROM {env} e JOIN {_marks(rows)} m USING (doc_id))"
 
 
 def _gate_sql() -> str:
-    policy = gate.load_policy()
-    rows = []
-    for r in policy["rules"]:
-        if r["rule_id"] in RULES:
-            cell = lambda k: (f"'{r[k]['op']}', {r[k]['value']}, '{r['severity'][k]}'" if k in r else "NULL, NULL, NULL")  # noqa: E731, B023
-            rows.append(f"('{r['rule_id']}', '{r['metric_id']}', {cell('flag')}, {cell('fail')})")
-    n = "count(*)"
-    metrics = {
-        "dup.exact_rate": ("sum((copies > 1)::INT)", n, "copies > 1"), "prov.undated_rate": ("sum((collected_at IS NULL)::INT)", n, "collected_at IS NULL"),
-        "prov.duplicate_id_rate": ("sum(dup_id::INT)", "count(source_id)", "dup_id"), "int.empty_rate": ("sum(empty::INT)", n, "empty"),
-        "int.control_char_rate": ("sum(control_chars::INT)", n, "control_chars"), "int.near_empty_rate": ("sum(near_empty::INT)", n, "near_empty"),
-        "int.markup_residue_rate": ("sum(markup_residue::INT)", n, "markup_residue"), "mark.conflict_rate": ("sum(conflict::INT)", n, "conflict"),
-        "mark.ceiling_breach": ("sum(breach::INT)", None, "breach"), "mark.redaction_residue_rate": ("sum(residue::INT)", n, "residue"),
-    }
-    values = " UNION ALL ".join(
-        f"SELECT '{k}' AS metric_id, {f'round_even({a}::DOUBLE / {b}, 6)' if b else f'{a}::DOUBLE'} AS v, {0 if k == 'dup.exact_rate' else f'(SELECT count(DISTINCT doc_hash) FROM f WHERE {c})'} AS hashes FROM f" for k, (a, b, c) in metrics.items()
-    )
-    flags = ", ".join(f"{_FLAGS[x]} AS {x}" for x in ("empty", "near_empty", "control_chars", "markup_residue"))
+    rules, metrics = [], {}
+    share = {"dup.exact_rate": "exact_duplicate", "dup.near_rate": "near_duplicate", "prov.undated_rate": "undated", "int.empty_rate": "empty", "int.mojibake_rate": "mojibake", "int.control_char_rate": "control_chars",
+             "int.near_empty_rate": "near_empty", "int.truncation_rate": "truncated", "int.markup_residue_rate": "markup_residue", "mark.conflict_rate": "marking_conflict", "mark.redaction_residue_rate": "redaction_residue"}
+    for k, flag in share.items():
+        metrics[k] = (f"round_even(sum({flag}::INT)::DOUBLE / count(*), 6)", flag)
+    metrics["prov.duplicate_id_rate"] = ("round_even(sum(duplicate_source_id::INT)::DOUBLE / count(source_id), 6)", "duplicate_source_id")
+    metrics["mark.ceiling_breach"] = ("sum(ceiling_breach::INT)::DOUBLE", "ceiling_breach")
+    for r in gate.load_policy().rules:
+        cell = {t.level: f"'{t.op}', {t.value}, '{t.severity}'" for t in r.thresholds}
+        rules.append(f"('{r.rule_id}', '{r.metric_id}', {cell.get('flag', 'NULL, NULL, NULL')}, {cell.get('fail', 'NULL, NULL, NULL')})")
+    values = " UNION ALL ".join(f"SELECT '{k}' AS metric_id, {v} AS v, (SELECT count(DISTINCT doc_hash) FROM f WHERE {flag}) AS hashes FROM f" for k, (v, flag) in metrics.items())
     hit = lambda k: f"(({k}_op = '>' AND v > {k}_v) OR ({k}_op = '<' AND v < {k}_v))"
-    return f"""WITH f AS (SELECT e.*, {flags}, conflict, residue, coalesce(doc_top > {mk.LEVELS.index(CEILING) + 1}, false) AS breach,
-  count(*) OVER (PARTITION BY doc_hash) AS copies, {_IDS} AS dup_id FROM {_BENV} e JOIN {_MARK} m USING (doc_id)),
+    return f"""{_flags_sql(_BAD, _BENV)},
 v AS ({values}),
-r(finding_id, metric_id, flag_op, flag_v, flag_s, fail_op, fail_v, fail_s) AS (VALUES {', '.join(rows)}),
+r(finding_id, metric_id, flag_op, flag_v, flag_s, fail_op, fail_v, fail_s) AS (VALUES {', '.join(rules)}),
 j AS (SELECT finding_id, v, hashes, CASE WHEN {hit('fail')} THEN 'fail' WHEN {hit('flag')} THEN 'flag' ELSE 'pass' END AS status, flag_s, fail_s FROM r JOIN v USING (metric_id))
 SELECT finding_id, status, CASE status WHEN 'fail' THEN fail_s WHEN 'flag' THEN flag_s ELSE 'none' END AS severity, v AS observed,
   CASE WHEN status = 'pass' THEN 0 ELSE least(hashes, 50) END AS evidence FROM j"""
 
 
-_RECORD_FLAGS = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in (("control_chars", _FLAGS["control_chars"]), ("duplicate_source_id", _IDS), ("empty", _FLAGS["empty"]), ("markup_residue", _FLAGS["markup_residue"]), ("near_empty", _FLAGS["near_empty"]), ("undated", "collected_at IS NULL")))
+def _topk_sql() -> str:
+    each = (f"SELECT '{n}' AS flag, doc_hash, place FROM (SELECT doc_hash, row_number() OVER (ORDER BY doc_hash) AS place FROM (SELECT DISTINCT doc_hash FROM f WHERE {n})) WHERE place <= 5" for n in FLAGS)
+    return f"{_flags_sql(_BAD, _BENV)} {' UNION ALL '.join(each)}"
+
+
+def _record_flags_sql() -> str:
+    return f"{_flags_sql(_BAD, _BENV)} SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN {n} THEN '{n}' END" for n in sorted(FLAGS))}) AS flags FROM f"
+
+
 _DIST = "list_sort(list(v))[1 + floor({p}::DOUBLE * (count(*) - 1))::BIGINT]"
 
 ORACLES = {
     "vol_totals": f"SELECT count(*) AS total_docs, sum(k)::BIGINT AS total_tokens, sum((c > 1)::INT)::BIGINT AS exact_count, round_even(sum((c > 1)::INT)::DOUBLE / count(*), 6) AS exact_rate FROM (SELECT {_TOK} AS k, count(*) OVER (PARTITION BY sha256(t)) AS c FROM {_PLAIN} p)",
     "token_distribution": f"SELECT min(v) AS min, {_DIST.format(p=0.05)} AS p5, {_DIST.format(p=0.5)} AS p50, {_DIST.format(p=0.95)} AS p95, max(v) AS max, round_even(avg(v), 6) AS mean, round_even(var_pop(v), 2) AS var FROM (SELECT {_TOK} AS v FROM {_PLAIN} p)",
     "exact_duplicates": f"SELECT doc_hash, count(*) AS copies, min(doc_id) AS first_id FROM {_PENV} x GROUP BY 1 HAVING count(*) > 1",
-    "near_duplicates": _near_sql(),
+    "near_duplicates": f"WITH {_near_pairs(_PENV)} SELECT doc_id FROM {_PENV} x WHERE doc_hash IN (SELECT doc_hash FROM p)",
     "integrity_rates": "SELECT count(*) AS docs, " + ", ".join(f"sum(({c})::INT)::BIGINT AS {n}" for n, c in _FLAGS.items()) + f" FROM {_BAD} b",
     "boilerplate_share": f"SELECT doc_id, {_BOILER} AS share FROM {_BAD} b",
     "intra_doc_repetition": f"SELECT doc_id, {_INTRA} AS share FROM {_BAD} b",
@@ -343,8 +359,8 @@ ORACLES = {
     "sidecar_left_join": "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "sidecar_anti_join": "SELECT CAST(doc_id + CASE WHEN doc_id % 2 = 0 THEN 1000000000 ELSE 0 END AS VARCHAR) AS locator FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id + CASE WHEN l.doc_id % 2 = 0 THEN 1000000000 ELSE 0 END)",
     "gate_findings": _gate_sql(),
-    "evidence_topk": " UNION ALL ".join(f"SELECT '{n}' AS flag, doc_hash, place FROM (SELECT doc_hash, row_number() OVER (ORDER BY doc_hash) AS place FROM (SELECT DISTINCT sha256(t) AS doc_hash FROM {_BAD} b WHERE {_FLAGS[n]})) WHERE place <= 5" for n in ("control_chars", "markup_residue", "near_empty")),
-    "record_flags": f"SELECT doc_id, concat_ws(',', {_RECORD_FLAGS}) AS flags FROM {_BENV} x",
+    "evidence_topk": _topk_sql(),
+    "record_flags": _record_flags_sql(),
     "first_per_hash": f"SELECT doc_hash, min(doc_id) AS doc_id FROM {_PENV} x GROUP BY 1",
     "verify_diff": "SELECT CAST(doc_id AS VARCHAR) AS locator, CASE WHEN doc_id % 23 = 0 THEN 'removed' ELSE 'changed' END AS state FROM documents WHERE doc_id % 23 = 0 OR doc_id % 29 = 0 UNION ALL SELECT 'new-' || doc_id, 'added' FROM documents WHERE doc_id % 31 = 0",
     "language_counts": f"SELECT lang, count(*) AS docs, sum({_TOK})::BIGINT AS tokens FROM {_PLAIN} p GROUP BY 1",

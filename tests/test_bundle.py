@@ -7,7 +7,7 @@ import pytest
 from docgauge import cli
 from docgauge.operators.catalog import catalog, metric
 from docgauge.operators.quantiles import distribution
-from docgauge.plans import bundle, gate, merkle, review, signing
+from docgauge.plans import bundle, envelope, gate, inquiry, ledger, manifest, merkle, signing
 from docgauge.plans.measure import measure
 from docgauge.sources.directory import BUNDLE_DIR, ProvenanceError, read_directory, validate
 
@@ -31,7 +31,7 @@ def corpus(tmp_path):
 @pytest.fixture
 def built(spark, corpus):
     key = signing.Signer(bytes(range(32)), "dev")
-    m = bundle.build(corpus, validate(read_directory(spark, corpus)), corpus_id="c", version_id="1", signers=[key], config={"markings": {"ceiling": "CUI"}})
+    m = bundle.build(corpus, validate(read_directory(spark, corpus)), bundle.Origin("c", "1"), signers=[key], config={"markings": {"ceiling": "CUI"}})
     return corpus, key, m
 
 
@@ -116,32 +116,60 @@ def test_verify_and_tampering(spark, built):
     assert not rep.checks["records hash"] and not rep.checks["records count"] and not rep.checks["merkle root"]
 
 
-def test_review_and_approval(spark, built):
+def test_tools_check_what_they_are_given(spark, built):
+    root, _, _ = built
+    b = inquiry.Bundle(spark, root, root)
+    h, other = (hashlib.sha256(FILES[f"b/report{x}.md"].encode()).hexdigest() for x in ("", "-2"))
+    diff, well = b.call("diff_documents", {"first": h, "second": other})
+    assert well and {(c["before"], c["after"]) for c in diff["changes"]} == {("June.", "July.")} and 0 < diff["similarity"] < 1
+    assert b.call("read_document", {"doc_hash": h, "max_chars": 10})[0] == {"doc_hash": h, "text": FILES["b/report.md"][:10], "of_chars": len(FILES["b/report.md"]), "whole": False}
+    assert {f["finding_id"] for f in b.call("list_findings", {})[0]} == {f["finding_id"] for f in b.manifest["findings"]}
+    assert "text" not in b.call("get_record", {"doc_hash": h})[0]
+    draft = {"finding_id": "DUP-002", "assessment": "real", "narrative": "n", "evidence": []}
+    for name, args, what in (
+        ("get_record", {"doc_hash": "0"}, "nothing is recorded"), ("nothing", {}, "no tool"), ("propose", draft | {"status": "pass"}, "status is not a parameter"), ("propose", draft | {"evidence": ["0"]}, "nothing is recorded"),
+        ("propose", draft | {"assessment": "maybe"}, "must be one of"), ("read_document", {"doc_hash": h, "max_chars": "9"}, "must be int"), ("get_finding", {}, "finding_id is missing"), ("get_finding", {"finding_id": "X"}, "no finding"),
+    ):
+        out, well = b.call(name, args)
+        assert not well and what in out["error"], (name, out)
+    assert not b.drafts and len(b.log) == 12 and all(set(x) == {"tool", "args_hash", "result_hash"} for x in b.log)
+    assert set(inquiry.TOOLS) == {"list_findings", "get_finding", "get_record", "read_document", "diff_documents", "propose"}
+    assert inquiry.TOOLS["propose"].schema()["properties"]["assessment"]["enum"] == ["real", "artifact", "inconclusive"]
+    (root / "b/report.md").write_text("other")
+    assert "has changed" in b.call("read_document", {"doc_hash": h})[0]["error"]
+
+
+def test_ledger_and_approval(spark, built):
     root, key, _ = built
-    inv = review.Investigation(spark, root, root)
     h = hashlib.sha256(FILES["b/report.md"].encode()).hexdigest()
-    other = hashlib.sha256(FILES["b/report-2.md"].encode()).hexdigest()
-    diff = inv.diff_documents(h, other)
-    assert {(c["a"], c["b"]) for c in diff["changes"]} == {("June.", "July.")} and diff["similarity"] < 1
-    assert inv.read_document(h, 10)["text"] == FILES["b/report.md"][:10]
-    for name, args, what in (("get_record", {"doc_hash": "0"}, "no record"), ("nothing", {}, "no tool"), ("propose", {"finding_id": "DUP-002", "assessment": "real", "narrative": "n", "evidence": [], "status": "pass"}, "may not set"), ("propose", {"finding_id": "DUP-002", "assessment": "real", "narrative": "n", "evidence": ["0"]}, "no record")):
-        out, failed, entry = inv.call(name, args)
-        assert failed and what in out["error"] and set(entry) == {"tool", "args_hash", "result_hash"}
-    found, run = review.run_scripted(inv, [[("get_finding", {"finding_id": "DUP-002"})], [("propose", {"finding_id": "DUP-002", "assessment": "real", "narrative": "copies", "evidence": [h, h]})]])
-    assert run["conclusion"] == "proposed" and found["evidence"] == [{"doc_hash": h}]
-    p = review.submit(root, found, run)
-    with pytest.raises(review.ProposalError, match="identity"):
-        review.approve(root, p["proposal_id"], " ", [key], [key.verifier()])
-    m = review.approve(root, p["proposal_id"], "Ana", [key], [key.verifier()])
+    turns = [[("get_finding", {"finding_id": "DUP-002"})], [("propose", {"finding_id": "DUP-002", "assessment": "real", "narrative": "copies", "evidence": [h, h]})], [("list_findings", {})]]
+    outcome = inquiry.play(inquiry.Bundle(spark, root, root), turns)
+    assert outcome.run["conclusion"] == "drafted" and outcome.proposal.evidence == (h,) and len(outcome.run["tool_calls"]) == 2
+    book = ledger.Ledger(spark, root)
+    assert book.table().count() == 0
+    name = book.submit(outcome)
+    assert name.startswith("prop-") and len(name) == 17 and book.get(name)["state"] == "pending"
+    with pytest.raises(ledger.LedgerError, match="who they are"):
+        book.approve(name, " ", [key], [key.verifier()])
+    m = book.approve(name, "Ana", [key], [key.verifier()])
     f = next(f for f in m["findings"] if f["finding_id"] == "DUP-002")
-    assert (f["assessment"], f["approved_by"]) == ("real", "Ana") and m["agent_runs"][0]["proposal_ids"] == [p["proposal_id"]]
+    assert (f["assessment"], f["approved_by"], f["status"]) == ("real", "Ana", "fail") and m["agent_runs"][0]["proposal_ids"] == [name]
     assert bundle.verify(spark, root, [key.verifier()], root).ok
-    with pytest.raises(review.ProposalError, match="already"):
-        review.reject(root, p["proposal_id"], "Ana")
-    again = review.submit(root, *review.run_scripted(review.Investigation(spark, root), [[]]))
-    assert review.reject(root, again["proposal_id"], "Bo", "no")["status"] == "rejected" and len(review.list_proposals(root)) == 2
-    with pytest.raises(ValueError, match="cannot be amended"):
-        bundle.amend(root, patches={"DUP-002": {"status": "pass"}}, agent_runs=[], signers=[key], verifiers=[key.verifier()])
+    with pytest.raises(ledger.LedgerError, match="approved already"):
+        book.reject(name, "Ana")
+    second = book.submit(inquiry.play(inquiry.Bundle(spark, root), [[("propose", {"finding_id": "DUP-002", "assessment": "artifact", "narrative": "no", "evidence": []})]]))
+    with pytest.raises(ledger.LedgerError, match="approved a conclusion before"):
+        book.approve(second, "Bo", [key], [key.verifier()])
+    idle = book.submit(inquiry.play(inquiry.Bundle(spark, root), [[]]))
+    assert book.get(idle)["content"]["proposal"]["assessment"] == "inconclusive"
+    book.reject(idle, "Bo", "nothing in it")
+    assert {r["proposal_id"]: (r["state"], r["by"]) for r in book.table().collect()} == {name: ("approved", "Ana"), second: ("pending", "scripted"), idle: ("rejected", "Bo")}
+    with pytest.raises(ledger.LedgerError, match="somebody else"):
+        book._add(idle, 1, "pending", {"state": "approved", "by": "Cy"})
+    with pytest.raises(TypeError):
+        manifest.Conclusion("DUP-002", status="pass")
+    with pytest.raises(KeyError, match="X-1"):
+        bundle.amend(root, [manifest.Conclusion("X-1", "real")], [], signers=[key], verifiers=[key.verifier()])
 
 
 def test_amend_starts_from_what_was_signed(built):
@@ -150,17 +178,53 @@ def test_amend_starts_from_what_was_signed(built):
     forged = json.loads(path.read_text())
     forged["findings"][0]["status"] = "pass"
     path.write_text(json.dumps(forged))
-    m = bundle.amend(root, patches={"DUP-001": {"assessment": "real"}}, agent_runs=[], signers=[key], verifiers=[key.verifier()])
+    m = bundle.amend(root, [manifest.Conclusion("DUP-001", "real")], [], signers=[key], verifiers=[key.verifier()])
     assert m["findings"][0]["status"] == "fail"
 
 
+def test_derived_corpus_and_moved_files(spark, built, tmp_path):
+    root, key, m = built
+    docs = read_directory(spark, root).where("source_locator LIKE 'a/%'")
+    out = tmp_path / "derived"
+    origin = bundle.Origin("c", "2", bundle.derived(manifest.BundleFolder(root), "subset", "only a"), ["U"])
+    d = bundle.build(out, docs, origin, signers=[key], policy=None, families=["volume"])
+    assert d["corpus"]["derived_from"] == {"parent_merkle_root": m["corpus"]["merkle_root"], "parent_manifest_hash": manifest.BundleFolder(root).digest(), "relation": "subset", "description": "only a"}
+    assert d["corpus"]["markings"] == ["U"] and d["corpus"]["document_count"] == 2 and d["findings"] == [] and d["run"]["policy_version"] == "none"
+    with pytest.raises(manifest.ManifestError, match="relation"):
+        bundle.build(tmp_path / "bad", docs, bundle.Origin("c", "3", {"parent_merkle_root": "0" * 64, "relation": "copy"}), signers=[key], policy=None, families=["volume"])
+    moved = tmp_path / "moved"
+    (root / "a").rename(moved)
+    report = bundle.verify(spark, out, [key.verifier()], moved, locate=lambda rows: rows.selectExpr("doc_hash", "substring(source_locator, 3) AS source_locator"))
+    assert report.ok and not bundle.verify(spark, out, [key.verifier()], moved).ok
+
+
+def test_manifest_shape(built):
+    _, _, m = built
+    assert not list(manifest.problems(m))
+    for path, value, what in ((("corpus", "merkle_root"), "x", "corpus/merkle_root"), (("records_count",), -1, "records_count"), (("findings", 0, "severity"), "bad", "findings/0/severity"), (("results", 2, "more"), 1, "results/2/more: unknown"), (("run", "pins", "p"), 1, "pins/p")):
+        bad = json.loads(json.dumps(m))
+        at = bad
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = value
+        assert [x for x in manifest.problems(bad) if what in x], path
+    del m["results"][0]["value"]
+    assert list(manifest.problems(m)) == ["manifest/results/0/value: missing"]
+
+
 def test_ed25519_vectors():
     seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
     public = "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
     sig = "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"
     assert signing.public_of(seed).hex() == public and signing.sign_bytes(seed, b"").hex() == sig
     assert signing.verify_bytes(bytes.fromhex(public), b"", bytes.fromhex(sig)) and not signing.verify_bytes(bytes.fromhex(public), b"x", bytes.fromhex(sig))
-    assert signing.pae("t", b"ab") == b"DSSEv1 1 t 2 ab"
+    e = envelope.Envelope(b"ab", "t")
+    assert e.signed_bytes == b"DSSEv1 1 t 2 ab"
+    one, two = signing.Signer(seed, "one"), signing.Signer(bytes(32), "two")
+    again = envelope.Envelope.loads(e.sign(one, two).dumps())
+    assert again == e and again.signers_among([two.verifier(), signing.Signer(bytes(32), "one").verifier()]) == ["two"]
+    with pytest.raises(envelope.BadSignature):
+        again.open([signing.Verifier(one.verifier().public, "other")])
 
 
 def test_merkle(spark, monkeypatch):
@@ -171,6 +235,9 @@ def test_merkle(spark, monkeypatch):
         root = merkle.root_of(leaves)
         assert all(merkle.proves(x, merkle.proof(leaves, x), root) for x in leaves)
         assert n < 2 or not merkle.proves("0" * 64, merkle.proof(leaves, leaves[0]), root)
+        for path in [merkle.proof(leaves, leaves[-1])] if n > 1 else []:
+            flipped = [{**path[0], "side": {"left": "right", "right": "left"}[path[0]["side"]]}, *path[1:]]
+            assert not merkle.proves(leaves[-1], flipped, root) and not merkle.proves(leaves[-1], path[1:], root) and not merkle.proves(leaves[-1], [{**path[0], "hash": "1" * 64}, *path[1:]], root)
     df = spark.createDataFrame([(x,) for x in leaves + leaves[:5]], "doc_hash string")
     assert merkle.merkle_root(df) == root
 
@@ -186,23 +253,35 @@ def test_quantile_rule(spark):
     assert distribution(spark.createDataFrame([], "v long"), "v", {"p50": 0.5}) is None
 
 
-def test_policies(tmp_path):
-    assert len(gate.load_policy()["rules"]) == 13 and len(gate.load_policy(gate.POLICIES / "marked.yaml")["rules"]) == 5
+def test_policies(spark, tmp_path):
+    assert len(gate.load_policy().rules) == 13 and len(gate.load_policy(gate.POLICIES / "marked.yaml").rules) == 5
     p = tmp_path / "p.yaml"
-    rule = "{rule_id: R, clause: c, title: t, metric_id: m, fail: {op: '>', value: 0}, severity: {fail: %s}}"
-    p.write_text(f"policy_id: 7\npolicy_version: 1.0\nframework: f\nevidence_limit: 0\nrules: [{rule % 'high'}]")
+    rule = "{rule_id: R, clause: c, title: t, metric_id: m, fail: {op: '>', value: 2}, flag: {op: '>=', value: 1}, severity: {fail: %s, flag: low}, evidence_flag: x}"
+    p.write_text(f"policy_id: 7\npolicy_version: 1.0\nframework: f\nevidence_limit: 1\nrules: [{rule % 'high'}]")
     policy = gate.load_policy(p)
-    assert gate.policy_version(policy) == "7/1.0" and gate.policy_hash(policy) == hashlib.sha256(p.read_bytes()).hexdigest()
-    policy["rules"][0]["evidence_flag"] = "x"
-    found = gate.evaluate(policy, [{"metric_id": "m", "value": 3, "unit": "docs"}], lambda *a: ["h"])
-    assert found[0]["gate"]["reason"] == "3 docs > 0" and "evidence" not in found[0]
-    assert gate.evaluate(policy, [{"metric_id": "m", "value": {"a": 1}}], lambda *a: [])[0]["status"] == "inconclusive"
-    for text in (rule % "awful", rule.replace("severity: {fail: %s}", "severity: {}"), "{rule_id: R}"):
+    assert policy.label == "7/1.0" and policy.digest == hashlib.sha256(p.read_bytes()).hexdigest()
+    marks = spark.createDataFrame([("x", "h1", 1), ("x", "h2", 2), ("y", "h0", 1)], "flag string, doc_hash string, place int")
+
+    def judged(results, policy=policy):
+        (f,) = gate.findings(policy, gate.judge(policy, gate.result_table(spark, results), marks))
+        return f
+
+    f = judged([{"metric_id": "m", "value": 3, "unit": "docs"}])
+    assert (f["status"], f["severity"], f["gate"]["reason"], f["observed"], f["evidence"]) == ("fail", "high", "3 docs > 2", 3, [{"doc_hash": "h1"}])
+    assert judged([{"metric_id": "m", "value": 1.5}])["gate"]["reason"] == "1.5 >= 1" and judged([{"metric_id": "m", "value": 1.5}])["severity"] == "low"
+    f = judged([{"metric_id": "m", "value": 0.5}])
+    assert f["status"] == "pass" and f["severity"] == "none" and "evidence" not in f and f["narrative"] == "t is 0.5."
+    for results, what in (([{"metric_id": "m", "value": {"a": 1}}], "no number"), ([{"metric_id": "m", "value": None}], "undefined"), ([{"metric_id": "m", "value": 3, "scope": "part"}], "no such result"), ([], "no such result")):
+        f = judged(results)
+        assert f["status"] == f["gate"]["verdict"] == "inconclusive" and what in f["gate"]["reason"] and "observed" not in f
+    p.write_text(p.read_text().replace("evidence_limit: 1", "evidence_limit: 0"))
+    assert "evidence" not in judged([{"metric_id": "m", "value": 3}], gate.load_policy(p))
+    for text in (rule % "awful", "{rule_id: R, clause: c, title: t, metric_id: m, fail: {op: '>', value: 0}, severity: {}}", "{rule_id: R}", (rule % "low").replace("'>'", "'~'"), (rule % "low").replace("title", "titel")):
         p.write_text(f"policy_id: a\npolicy_version: '1'\nframework: f\nrules: [{text}]")
         with pytest.raises(gate.PolicyError, match="rules/0"):
             gate.load_policy(p)
     p.write_text("[1]")
-    with pytest.raises(gate.PolicyError, match="not a policy"):
+    with pytest.raises(gate.PolicyError, match="a mapping"):
         gate.load_policy(p)
 
 
@@ -229,7 +308,7 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     script = tmp_path / "s.json"
     script.write_text(json.dumps([[["propose", {"finding_id": "INT-001", "assessment": "real", "narrative": "n", "evidence": []}]]]))
     assert cli.main(["triage", str(corpus), str(script)]) == 0
-    name = review.list_proposals(corpus)[0]["proposal_id"]
+    name = ledger.Ledger(spark, corpus).table().first()["proposal_id"]
     assert cli.main(["approve", str(corpus), name, "--approver", "A", "--key", key, "--public", pub]) == 0
     assert cli.main(["proposals", str(corpus)]) == 0 and "approved" in capsys.readouterr().out
     (corpus / "short.log").write_text("x")

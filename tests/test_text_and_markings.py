@@ -85,7 +85,7 @@ MARKED = [
     ("UNCLASSIFIED\n(S) x", "U", "S", "S", True, False, ""),
     ("SECRET\n(U) x", "S", "U", "S", True, False, ""),
     ("SECRET\nCUI\n", "S", None, "S", True, False, ""),
-    ("- (C) x\n1. (CUI//SP-PRVCY) y\n• (U) z", None, "C", "C", False, False, ""),
+    ("- (C) x\n1. (CUI//SP-PRVCY) y\n• (U) z", None, "C", "C", False, True, ""),  # the inline mark of the second line is residue
     ("secret\nSECRET stuff", None, None, None, False, False, ""),
     ("see [redacted] and", None, None, None, False, True, ""),
     ("(b)(6) gone", None, None, None, False, True, ""),
