@@ -25,13 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         new = pin(dealt_join(new, jump, "next", "j").select("node", "comp", F.least("next", "jump").alias("next")))
         changed = new.where("comp <> next").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
+        near = jump = new = None
+        sweep(edges.sparkSession)
         if not changed:
-            near = jump = new = both = None
-            sweep(edges.sparkSession)
             return labels
 
 
-WAVES = 3
+WAVES = 2
 
 
 def tagged(df: DataFrame, tag: str) -> DataFrame:
@@ -68,6 +68,8 @@ def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str]
         stats = pin(own.groupBy(F.col("tok").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")))
         if not stats.where("lo <> hi").limit(1).count():
             break
+        posts = None
+        sweep(own.sparkSession)
         own = pin(dealt_join(own, stats.select("k", (F.col("lo") != F.col("hi")).alias("live")), "tok", "k").where("live").drop("k", "live"))
         if wave < waves - 1:
             by_comp = own.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*cols, "id")).alias("v"))

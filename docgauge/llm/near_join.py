@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import HOT_KEYS, arrow_limits, dealt_join, drop_rows, input_parts, pin, read, sweep, text_of
+from .common import arrow_limits, dealt_join, drop_rows, input_parts, pin, read, sweep, text_of
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -144,11 +144,7 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return size & ((100 + percent) * most >= percent * (n(x) + n(y)))
 
 
-#: Postings of a key and octave of sizes that one task pairs; more are dealt to several.
-BLOCK = 2_000
-
-
-def _first_common(own: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+def _first_common(own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components that may link, made at their first common shingle.
 
     Sets that link have a first common shingle, with none in common before it, so at most what stands from it on is common:
@@ -162,20 +158,13 @@ def _first_common(own: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     before = F.lag("tok").over(Window.partitionBy("id").orderBy("pos", "tok"))
     own = own.select("tok", "id", "n", "comp", left.alias("left"), before.alias("before"), octave.alias("octave"), ((100 + percent) * left >= 2 * percent * F.col("n")).alias("open"))
     own = pin(own)
-    sizes = pin(own.groupBy("tok", "octave").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).select(F.col("tok").alias("st"), F.col("octave").alias("so"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    many = sizes.where("blocks > 1")
-    many = F.broadcast(many) if many.count() <= HOT_KEYS else many
-    larger = own.join(many, (F.col("tok") == F.col("st")) & (F.col("octave") == F.col("so")), "left")
-    larger = larger.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("st", "so", "blocks")
     small = own.where("open").withColumn("octave", F.explode(F.array(F.col("octave"), F.col("octave") + 1)))
-    small = small.join(many, (F.col("tok") == F.col("st")) & (F.col("octave") == F.col("so")), "left")
-    small = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("st", "so", "blocks")
-    x, y = tagged(small, "x"), tagged(larger, "y")
+    x, y = tagged(small, "x"), tagged(own, "y")
     c = F.col
     size = (c("n_x") <= c("n_y")) & (100 * c("n_x") >= percent * c("n_y")) & ((c("n_x") < c("n_y")) | (c("id_x") < c("id_y")))
     place = (100 + percent) * F.least("left_x", "left_y") >= percent * (c("n_x") + c("n_y"))
     first = c("before_x").isNull() | c("before_y").isNull() | (c("before_x") != c("before_y"))
-    on = (c("tok_x") == c("tok_y")) & (c("octave_x") == c("octave_y")) & (c("block_x") == c("block_y"))
+    on = (c("tok_x") == c("tok_y")) & (c("octave_x") == c("octave_y"))
     return x.join(y, on & (c("comp_x") != c("comp_y")) & size & place & first).select(c("id_x").alias("a"), c("id_y").alias("b"))
 
 
@@ -218,7 +207,7 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     # Further waves: groups expand to their members where a shingle still joins different components.
     live = dealt_join(posts, toks, "tok", "k").select("tok", F.col("gid").alias("pg"), *COLS)
     live = dealt_join(sets.select(F.col("sid").alias("id"), "gid"), live, "gid", "pg").select("tok", "id", *COLS)
-    comps = cross_waves(live, COLS, may_link, check, edges, lambda own, counts: _first_common(own, counts, percent))
+    comps = cross_waves(live, COLS, may_link, check, edges, lambda own, _: _first_common(own, percent))
     least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
     smallest = least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least"))
@@ -252,3 +241,17 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(read(spark, sf_dir, "documents"))
+
+
+#: Links by counting common shingles, components by reaching along links.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.rid JOIN n y ON b = y.rid WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT x.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(y.doc_id) AS component_id
+FROM r JOIN d x ON x.rid = r.a JOIN d y ON y.rid = r.b LEFT JOIN n ON n.rid = r.a GROUP BY x.rid, x.doc_id
+"""

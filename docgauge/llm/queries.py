@@ -7,7 +7,7 @@ from .license_scan import OP8_SQL, op8_license_scan
 from .line_dedup import op4_line_dedup
 from .media import op6_media_columns
 from .mixing import op7_mixing
-from .near_join import op3_ngram_jaccard_join
+from .near_join import OP3_SQL, op3_ngram_jaccard_join
 from .packing import op9_packing
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .toxicity import op2_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_license_scan": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_license_scan": OP8_SQL, "op10_substring_dedup": OP10_SQL}
