@@ -197,13 +197,19 @@ def merkle(spark, d):
     return _one(spark, {"root": merkle_root(docs), "leaves": docs.select("doc_hash").distinct().count()})
 
 
-def all_metrics(spark, d):
-    """The full run: every family's results."""
-    import json
+def _flat(prefix: str, value) -> list[tuple]:
+    """(key, number, text) of a result's value or distribution, nested keys joined by points."""
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in _flat(f"{prefix}.{k}", v)]
+    return [(prefix, round(float(value), 4) if isinstance(value, (int, float)) else None, value if isinstance(value, str) else None)]
+
 
-    m = measure(read_documents(spark, d), config={"markings": {"ceiling": CEILING}})
+def all_metrics(spark, d):
+    """The full run: every family's results, one row for each number in them."""
+    m = measure(read_documents(spark, d), config=SETTINGS)
     m.docs.unpersist()
-    return spark.createDataFrame([(r["metric_id"], json.dumps(r["value"], sort_keys=True), json.dumps(r.get("distribution"), sort_keys=True)) for r in m.results], "metric_id string, value string, distribution string")
+    rows = [(r["metric_id"], *x) for r in m.results for x in _flat("value", r["value"]) + (_flat("distribution", r["distribution"]) if r.get("distribution") else [])]
+    return spark.createDataFrame(rows, "metric_id string, key string, number double, text string")
 
 
 QUERIES = {
@@ -334,6 +340,51 @@ def _record_flags_sql() -> str:
 
 _DIST = "list_sort(list(v))[1 + floor({p}::DOUBLE * (count(*) - 1))::BIGINT]"
 
+_MERKLE = f"""WITH RECURSIVE leaves AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT sha256(t) AS h FROM {_PLAIN} p)),
+t AS (SELECT h, i, n FROM leaves
+  UNION ALL SELECT CASE WHEN count(*) = 2 THEN sha256(unhex(min_by(h, i)) || unhex(max_by(h, i))) ELSE min(h) END, i // 2, any_value((n + 1) // 2) FROM t WHERE n > 1 GROUP BY i // 2)
+SELECT coalesce((SELECT h FROM t WHERE n = 1), sha256('')) AS root, (SELECT count(*) FROM leaves) AS leaves"""
+
+
+def _all_metrics_sql() -> str:
+    """One row for each number of each result, as _flat() gives them."""
+    rows = []
+
+    def add(metric: str, value: str, key: str = "value", source: str = "f", text: bool = False) -> None:
+        number, told = ("NULL", value) if text else (f"round(({value})::DOUBLE, 4)", "NULL")
+        rows.append(f"SELECT '{metric}' AS metric_id, {key if '||' in key else f"'{key}'"} AS key, {number}::DOUBLE AS number, {told}::VARCHAR AS text FROM {source}")
+
+    def rate(metric: str, flag: str) -> None:
+        add(metric, f"round_even(sum(({flag})::INT)::DOUBLE / count(*), 6)")
+
+    for metric, flag in (("dup.exact", "exact_duplicate"), ("dup.near", "near_duplicate"), ("int.empty", "empty"), ("int.large", "large")):
+        add(f"{metric}_count", f"sum({flag}::INT)")
+        rate(f"{metric}_rate", flag)
+    add("vol.total_docs", "count(*)")
+    add("vol.total_tokens", f"sum({_TOK})")
+    for metric, flag in (("int.near_empty_rate", "near_empty"), ("int.truncation_rate", "truncated"), ("int.mojibake_rate", "mojibake"), ("int.control_char_rate", "control_chars"), ("int.markup_residue_rate", "markup_residue"),
+                         ("mark.coverage", "NOT unmarked"), ("mark.conflict_rate", "marking_conflict"), ("mark.redaction_residue_rate", "redaction_residue"), ("prov.undated_rate", "undated"),
+                         ("prov.custody_complete_rate", "doc_id % 2 = 0"), ("prov.derived_share", "doc_id % 10 = 0")):
+        rate(metric, flag)
+    add("mark.ceiling_breach", "sum(ceiling_breach::INT)")
+    spread = {"min": "min(v)", "p5": _DIST.format(p=0.05), "p50": _DIST.format(p=0.5), "p95": _DIST.format(p=0.95), "max": "max(v)", "mean": "avg(v)", "var": "var_pop(v)"}
+    shares = {"cnt.token_count": f"(SELECT {_TOK} AS v FROM f)", "int.boilerplate_share": f"(SELECT {_BOILER} AS v FROM f)", "int.intra_doc_repetition": f"(SELECT {_INTRA} AS v FROM f)", "int.ngram_repetition": "(SELECT share AS v FROM reps)"}
+    for metric, source in shares.items():
+        rows.append(f"SELECT '{metric}', 'value', NULL, NULL")
+        for key, value in spread.items():
+            if metric == "cnt.token_count" or key not in ("p5", "var"):
+                add(metric, value, f"distribution.{key}", f"{source} v")
+    for key, value in (("docs", "count(*)"), ("bytes", "sum(size_bytes)")):
+        add("prov.source_histogram", value, f"'value.' || source || '.{key}'", "f GROUP BY source")
+    add("prov.reliability_histogram", "count(*)", "'value.' || rating", "f GROUP BY rating")
+    for key, value in (("min", "min(collected_at)"), ("max", "max(collected_at)")):
+        add("prov.date_range", value, f"value.{key}", text=True)
+    add("prov.date_range", "count(collected_at)", "value.dated")
+    add("prov.duplicate_id_count", "sum(duplicate_source_id::INT)")
+    add("prov.duplicate_id_rate", "round_even(sum(duplicate_source_id::INT)::DOUBLE / count(source_id), 6)")
+    return f"{_flags_sql(_PLAIN, _PENV)}, reps AS ({_NGRAM.format(w=_W, src=_PLAIN)}) {' UNION ALL '.join(rows)}"
+
+
 ORACLES = {
     "vol_totals": f"SELECT count(*) AS total_docs, sum(k)::BIGINT AS total_tokens, sum((c > 1)::INT)::BIGINT AS exact_count, round_even(sum((c > 1)::INT)::DOUBLE / count(*), 6) AS exact_rate FROM (SELECT {_TOK} AS k, count(*) OVER (PARTITION BY sha256(t)) AS c FROM {_PLAIN} p)",
     "token_distribution": f"SELECT min(v) AS min, {_DIST.format(p=0.05)} AS p5, {_DIST.format(p=0.5)} AS p50, {_DIST.format(p=0.95)} AS p95, max(v) AS max, round_even(avg(v), 6) AS mean, round_even(var_pop(v), 2) AS var FROM (SELECT {_TOK} AS v FROM {_PLAIN} p)",
@@ -363,5 +414,7 @@ ORACLES = {
     "record_flags": _record_flags_sql(),
     "first_per_hash": f"SELECT doc_hash, min(doc_id) AS doc_id FROM {_PENV} x GROUP BY 1",
     "verify_diff": "SELECT CAST(doc_id AS VARCHAR) AS locator, CASE WHEN doc_id % 23 = 0 THEN 'removed' ELSE 'changed' END AS state FROM documents WHERE doc_id % 23 = 0 OR doc_id % 29 = 0 UNION ALL SELECT 'new-' || doc_id, 'added' FROM documents WHERE doc_id % 31 = 0",
+    "merkle_root": _MERKLE,
+    "all_metrics": _all_metrics_sql(),
     "language_counts": f"SELECT lang, count(*) AS docs, sum({_TOK})::BIGINT AS tokens FROM {_PLAIN} p GROUP BY 1",
 }
