@@ -418,3 +418,6 @@ ORACLES = {
     "all_metrics": _all_metrics_sql(),
     "language_counts": f"SELECT lang, count(*) AS docs, sum({_TOK})::BIGINT AS tokens FROM {_PLAIN} p GROUP BY 1",
 }
+
+#: Parts of the SQL that other modules' queries are stated with.
+PLAIN_SQL, TOKENS_SQL, FLAG_SQL, MERKLE_SQL = _PLAIN, _TOK, _FLAGS, _MERKLE

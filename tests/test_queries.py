@@ -4,7 +4,11 @@ import sys
 import duckdb
 import pytest
 
-from docgauge.plans.queries import ORACLES, QUERIES
+from docgauge.plans.file_queries import FILE_ORACLES, FILE_QUERIES
+from docgauge.plans.queries import ORACLES as TABLE_ORACLES
+from docgauge.plans.queries import QUERIES as TABLE_QUERIES
+
+QUERIES, ORACLES = TABLE_QUERIES | FILE_QUERIES, TABLE_ORACLES | FILE_ORACLES
 
 SF = "/root/testdata/sf0.001"
 
