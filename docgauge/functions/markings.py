@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LINE_BREAK, SPACE, strip
@@ -34,13 +34,6 @@ def level_at(rank: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in LEVELS]), rank.cast("int"))
 
 
-def _level(line: Column) -> Column:
-    word, out = F.regexp_extract(line, BANNER, 1), F.lit(None).cast("string")
-    for k, v in LEVEL_WORDS.items():
-        out = F.when(word == k, v).otherwise(out)
-    return out
-
-
 def above(level: Column, ceiling: str | None) -> Column:
     """Strictly above the ceiling; false where either is missing."""
     if ceiling is None:
@@ -48,43 +41,65 @@ def above(level: Column, ceiling: str | None) -> Column:
     return F.coalesce(_rank(level) > LEVELS.index(ceiling), F.lit(False))
 
 
-def parse(text: Column, source_markings: Column | None = None) -> Column:
-    """A struct: banner, banners, controls, portions, portion_max, level, marked, conflict, redaction_residue."""
-    rows = F.split(text, LINE_BREAK)
-    # Most texts have no mark at all; this test spares them the work per line.
-    some = text.rlike(rf"{_WORDS}|\((?:U|CUI|C|S|TS)(?://|\))|(?iu:\[(?:REDACTED|DELETED|WITHHELD|REMOVED)\]|\(b\)\(|[█■]{{3}}|X{{6}})")
-    rows = F.when(some, rows).otherwise(F.array().cast("array<string>"))
-    from_text = F.transform(F.filter(rows, lambda x: x.rlike(BANNER)), strip)
-    if source_markings is not None:
-        told = F.coalesce(source_markings, F.array().cast("array<string>"))
-        from_text = F.concat(from_text, F.transform(F.filter(told, lambda x: x.rlike(BANNER)), strip))
-    banners = F.array_distinct(from_text)
-    others = F.filter(rows, lambda x: ~x.rlike(BANNER))
-    marks = F.filter(F.transform(others, lambda x: F.regexp_extract(x, PORTION, 1)), lambda x: x != "")
-    levels = F.array_distinct(F.transform(banners, _level))
-    top = F.array_max(F.transform(levels, _rank))
-    portion_top = F.array_max(F.transform(marks, _rank))
-    parts = F.flatten(F.transform(banners, lambda x: F.transform(F.split(F.regexp_extract(x, BANNER, 2), "//"), strip)))
-    counts = F.filter(
-        F.array(*[F.struct(F.lit(v).alias("level"), F.size(F.filter(marks, _is(v))).cast("long").alias("n")) for v in LEVELS]),
-        lambda x: x["n"] > 0,
+#: Whatever a mark of any kind must contain; a line without it needs no other test.
+HINT = rf"{_WORDS}|\((?:U|CUI|C|S|TS)(?://|\))|(?iu:\[(?:REDACTED|DELETED|WITHHELD|REMOVED)\]|\(b\)\(|[█■]{{3}}|X{{6}})"
+
+
+def _marks(rows: Column) -> Column:
+    """What each line has: the word and the rest of a banner, or a portion mark and residue. Each pattern is tried once."""
+
+    def one(x: Column) -> Column:
+        word = F.regexp_extract(x, BANNER, 1)
+        return F.struct(word.alias("word"), F.regexp_extract(x, BANNER, 2).alias("more"), strip(x).alias("line"), F.regexp_extract(x, PORTION, 1).alias("portion"), (x.rlike(REDACTION) | x.rlike(INLINE)).alias("residue"))
+
+    return F.transform(rows, one)
+
+
+def _once(docs: DataFrame, **columns: Column) -> DataFrame:
+    """More columns, each computed once however often it is used: a generator of one row, which the optimizer doesn't see through."""
+    for name, c in columns.items():
+        docs = docs.select("*", F.explode(F.array(c)).alias(name))
+    return docs
+
+
+def with_marks(docs: DataFrame, out: str, text_col: str = "text", markings_col: str | None = None) -> DataFrame:
+    """docs with a struct: banner, banners, controls, portions, portion_max, level, marked, conflict, redaction_residue.
+
+    Texts without a hint of a mark are not split; of the others only lines with one are looked at.
+    """
+    text, none = F.col(text_col), F.array().cast("array<string>")
+    hinted = F.when(text.rlike(HINT), F.filter(F.split(text, LINE_BREAK), lambda x: x.rlike(HINT))).otherwise(none)
+    told = F.coalesce(F.col(markings_col), none) if markings_col else none
+    rows = _once(docs, __marks=F.concat(_marks(hinted), _marks(F.filter(told, lambda x: x.rlike(BANNER)))))
+    banner = lambda m: m["word"] != ""
+    banners, others = F.filter("__marks", banner), F.filter("__marks", lambda m: ~banner(m))
+    level_of = F.create_map(*[F.lit(x) for k, v in LEVEL_WORDS.items() for x in (k, LEVELS.index(v))])
+    place_of = F.create_map(*[F.lit(x) for k, v in enumerate(LEVELS) for x in (v, k)])
+    rows = _once(
+        rows,
+        __lines=F.array_distinct(F.transform(banners, lambda m: m["line"])),
+        __levels=F.array_distinct(F.transform(banners, lambda m: F.element_at(level_of, m["word"]))),
+        __portions=F.transform(F.filter(others, lambda m: m["portion"] != ""), lambda m: F.element_at(place_of, m["portion"])),
     )
-    residue = F.exists(others, lambda x: x.rlike(REDACTION) | x.rlike(INLINE))
+    top, portion_top = F.array_max("__levels"), F.array_max("__portions")
     doc_top = F.greatest(top, portion_top)
-    return F.struct(
+    parts = F.flatten(F.transform(banners, lambda m: F.transform(F.split(m["more"], "//"), strip)))
+    counts = [F.struct(F.lit(v).alias("level"), F.size(F.filter("__portions", _is(k))).cast("long").alias("n")) for k, v in enumerate(LEVELS)]
+    parsed = F.struct(
         level_at(top).alias("banner"),
-        banners.alias("banners"),
+        F.col("__lines").alias("banners"),
         F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))).alias("controls"),
-        F.map_from_entries(counts).alias("portions"),
+        F.map_from_entries(F.filter(F.array(*counts), lambda x: x["n"] > 0)).alias("portions"),
         level_at(portion_top).alias("portion_max"),
         level_at(doc_top).alias("level"),
         doc_top.isNotNull().alias("marked"),
-        F.coalesce((F.size(levels) > 1) | (top != portion_top), F.size(levels) > 1).alias("conflict"),
-        residue.alias("redaction_residue"),
+        F.coalesce((F.size("__levels") > 1) | (top != portion_top), F.size("__levels") > 1).alias("conflict"),
+        F.exists(others, lambda m: m["residue"]).alias("redaction_residue"),
     )
+    return rows.withColumn(out, parsed).drop("__marks", "__lines", "__levels", "__portions")
 
 
-def _is(value: str):
+def _is(value: int):
     """A predicate of array functions, which take functions of the element alone."""
 
     def same(x: Column) -> Column:

@@ -70,7 +70,11 @@ def is_near_empty(text: Column) -> Column:
 
 
 def is_truncated(text: Column, banner: str) -> Column:
-    """Not near-empty, and what is left without closing banner lines and markup doesn't end in punctuation."""
+    """Not near-empty, and what is left without closing banner lines and markup doesn't end in punctuation.
+
+    Closing lines are banners only in texts that have their words, and markup only where its last characters are; all
+    other texts, nearly every one, are judged by their last character alone.
+    """
     own = F.split(strip(text), LINE_BREAK)
     kept = F.filter(own, lambda x: x.rlike(rf"[^{SPACE}]"))
     body = F.aggregate(
@@ -79,9 +83,11 @@ def is_truncated(text: Column, banner: str) -> Column:
         lambda acc, x: F.when(acc["on"] | ~x.rlike(banner), F.struct(F.lit(True).alias("on"), F.concat(acc["rows"], F.array(x)).alias("rows"))).otherwise(acc),
         lambda acc: F.array_join(F.reverse(acc["rows"]), "\n"),
     )
-    has_banner = F.exists(kept, lambda x: x.rlike(banner))
-    body = F.when(has_banner, body).otherwise(F.array_join(kept, "\n"))
-    tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, TAG, ""), ENTITY, ""), rf"[{SPACE}]+$", "")
+    marked = F.contains(text, F.lit("SECRET")) | F.contains(text, F.lit("CONFIDENTIAL")) | F.contains(text, F.lit("CUI")) | F.contains(text, F.lit("CLASSIFIED"))
+    end = rf"[{SPACE}]+$"
+    body = F.when(marked, body).otherwise(text)
+    clean = F.when(F.contains(text, F.lit(">")) | F.contains(text, F.lit(";")), F.regexp_replace(F.regexp_replace(body, TAG, ""), ENTITY, "")).otherwise(body)
+    tail = F.regexp_replace(clean, end, "")
     return ~is_near_empty(text) & (tail != "") & ~F.contains(F.lit(TERMINAL), F.right(tail, F.lit(1)))
 
 

@@ -120,7 +120,7 @@ class Markings(Family):
         return replace(self, ceiling=ceiling, pins={"markings": f"ceiling={ceiling}"})
 
     def extend(self, docs: DataFrame) -> DataFrame:
-        out = docs.withColumn("markings_parsed", mk.parse(F.col("text"), F.col("markings")))
+        out = mk.with_marks(docs, "markings_parsed", "text", "markings")
         p = lambda f: F.col(f"markings_parsed.{f}")
         return out.withColumns({"unmarked": ~p("marked"), "marking_conflict": p("conflict"), "ceiling_breach": mk.above(p("level"), self.ceiling), "redaction_residue": p("redaction_residue")})
 

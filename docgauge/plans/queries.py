@@ -90,7 +90,7 @@ def control_chars(spark, d):
 
 
 def markings_parsed(spark, d):
-    rows = read_documents(spark, d, defects=True).select("doc_id", mk.parse(F.col("text")).alias("m"))
+    rows = mk.with_marks(read_documents(spark, d, defects=True).select("doc_id", "text"), "m")
     return rows.select("doc_id", "m.banner", "m.portion_max", "m.level", "m.marked", "m.conflict", "m.redaction_residue", F.array_join("m.controls", ",").alias("controls"))
 
 
@@ -101,13 +101,12 @@ def markings_metrics(spark, d):
 
 
 def redaction_residue(spark, d):
-    rows = read_documents(spark, d, defects=True).select("doc_id", mk.parse(F.col("text"))["redaction_residue"].alias("r"))
-    return rows.where("r").select("doc_id")
+    return mk.with_marks(read_documents(spark, d, defects=True).select("doc_id", "text"), "m").where("m.redaction_residue").select("doc_id")
 
 
 def ceiling_breach(spark, d):
-    rows = read_documents(spark, d, defects=True).select("doc_id", mk.above(mk.parse(F.col("text"))["level"], CEILING).alias("b"))
-    return rows.where("b").select("doc_id")
+    rows = mk.with_marks(read_documents(spark, d, defects=True).select("doc_id", "text"), "m")
+    return rows.where(mk.above(F.col("m.level"), CEILING)).select("doc_id")
 
 
 def source_histogram(spark, d):

@@ -99,11 +99,11 @@ MARKED = [
 
 def test_markings(spark):
     df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(MARKED)], "k int, text string")
-    m = mk.parse(F.col("text"))
-    rows = df.select("k", m.alias("m")).select("k", "m.banner", "m.portion_max", "m.level", "m.conflict", "m.redaction_residue", F.array_join("m.controls", ","), "m.marked").orderBy("k").collect()
+    rows = mk.with_marks(df, "m").select("k", "m.banner", "m.portion_max", "m.level", "m.conflict", "m.redaction_residue", F.array_join("m.controls", ","), "m.marked").orderBy("k").collect()
     for r, want in zip(rows, MARKED):
         assert tuple(r)[1:7] == want[1:] and r["marked"] is (want[3] is not None), want
-    one = spark.createDataFrame([("(S) a\n(S) b\n(U) c", ["CUI", "nothing"])], "text string, m array<string>").select(mk.parse(F.col("text"), F.col("m")).alias("m")).first()["m"]
+    one = spark.createDataFrame([("(S) a\n(S) b\n(U) c", ["CUI", "nothing"])], "text string, told array<string>")
+    one = mk.with_marks(one, "m", "text", "told").first()["m"]
     assert one["portions"] == {"S": 2, "U": 1} and one["banners"] == ["CUI"] and one["conflict"]
 
 
