@@ -54,22 +54,34 @@ def signatures(texts: DataFrame) -> DataFrame:
 def near_hashes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The hashes with at least one other hash in a shared band whose estimated similarity reaches the threshold.
 
-    That some neighbour exists is all the metric asks. Equal signatures collapse to one row first.
-    In each bucket everyone is compared with the bucket's first; only those still without a
-    neighbour are then compared with all of their buckets, so a bucket of n near copies costs about n tests.
+    That some neighbour exists is all the metric asks. Texts of equal signatures are neighbours of each other; one of
+    them stands for all. Bands are dealt out as (band, key, hash) alone; signatures, half a kilobyte each and more than
+    most texts, are fetched only for distinct pairs. In each bucket everyone is compared with the bucket's first; only
+    those still without a neighbour are then compared with all of their buckets, so a bucket of n near copies costs
+    about n tests.
     """
-    sigs = signatures(texts).groupBy("sig").agg(F.min("doc_hash").alias("h"), F.count(F.lit(1)).alias("n"), F.collect_list("doc_hash").alias("own"))
-    sigs = sigs.cache()
+    each = signatures(texts).persist()
+    sigs = each.groupBy("sig").agg(F.min("doc_hash").alias("h"), F.count(F.lit(1)).alias("n")).persist()
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).alias("key")) for b in range(BANDS)])
-    rows = sigs.select("h", "sig", F.explode(bands).alias("b")).select("h", "sig", "b.band", "b.key")
+    rows = sigs.select("h", F.explode(bands).alias("b")).select("h", "b.band", "b.key")
     alike = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    close = alike >= F.lit(int(-(-threshold * SLOTS // 1)))
-    hub = rows.groupBy("band", "key").agg(F.min(F.struct("h", "sig")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    hub = hub.select("band", "key", F.col("m.h").alias("h2"), F.col("m.sig").alias("sig2"))
-    met = rows.join(hub, ["band", "key"]).where("h <> h2").where(close)
-    first = met.select("h").union(met.select("h2")).distinct().cache()
-    left = rows.join(first, "h", "left_anti")
-    other = rows.select("band", "key", F.col("h").alias("h2"), F.col("sig").alias("sig2"))
-    more = left.join(other, ["band", "key"]).where("h <> h2").where(close)
-    found = first.union(more.select("h")).union(more.select("h2")).union(sigs.where("n > 1").select("h")).distinct()
-    return sigs.join(found, "h", "left_semi").select(F.explode("own").alias("doc_hash"))
+    own, other = sigs.select("h", "sig"), sigs.select(F.col("h").alias("h2"), F.col("sig").alias("sig2"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """Both ends of the pairs (h, h2) that are close."""
+        close = pairs.distinct().join(own, "h").join(other, "h2").where(alike >= F.lit(int(-(-threshold * SLOTS // 1))))
+        return close.select(F.explode(F.array("h", "h2")).alias("h")).distinct()
+
+    hub = rows.groupBy("band", "key").agg(F.min("h").alias("h2"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = rows.join(hub, ["band", "key"])
+    first = ends(met.where("h <> h2").select("h", "h2")).persist()
+    # Only buckets with company are looked at again.
+    left = met.join(first, "h", "left_anti").select("h", "band", "key")
+    more = left.join(rows.withColumnRenamed("h", "h2"), ["band", "key"]).where("h <> h2").select("h", "h2")
+    found = first.union(ends(more)).union(sigs.where("n > 1").select("h")).distinct()
+    near = sigs.join(found, "h", "left_semi").select("sig")
+    out = each.join(near, "sig", "left_semi").select("doc_hash").persist()
+    out.count()
+    for held in (first, sigs, each):
+        held.unpersist()
+    return out
