@@ -156,6 +156,71 @@ def test_pipeline_stages(spark, tmp_path):
     assert last.count() == now.count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from test_exact_and_mixing import fill
+    from test_joins import brute_components
+    from tokenizers import Tokenizer
+
+    from docgauge.llm.tokens import default_vocabulary
+
+    docs, labels = corpus(spark, 150)
+    base = [f"own{k}" for k in range(40)]
+    more = [(900 + k, " ".join([*base[:38], f"x{k}", f"y{k}"]), "en", "src1", 40) for k in range(4)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r["doc_id"]: (r["text"], r["source"]) for r in docs.collect()}
+    folds = {r["doc_id"]: r["f"] for r in docs.selectExpr("doc_id", f"CAST(pmod(xxhash64('fold', doc_id), {toxicity.FOLDS}) AS INT) AS f").collect()}
+    told = {}
+    for r in labels.dropna().collect():
+        old = told.get(r["doc_id"], (1, 0))
+        told[r["doc_id"]] = (min(old[0], r["quality"]), max(old[1], r["toxic"]))
+    p, _ = brute_chain([(i, t) for i, (t, _) in rows.items()], told, folds)
+    left = sorted(i for i in rows if p[i][1] < 0.5)
+    seen, wants = set(), [set(left)]
+    left = [i for i in left if (n := re.sub(r"[\x20\x09-\x0D]+", " ", rows[i][0] or "")) not in seen and not seen.add(n)]
+    wants.append(set(left))
+    left = [i for i, _, c in brute_components([(i, rows[i][0]) for i in left]) if i == c]
+    wants.append(set(left))
+    assert len(wants[0]) < len(rows) and len(wants[1]) < len(wants[0]) and len(wants[2]) < len(wants[1])
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), want in zip(corpus_pipeline.STAGES, wants):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        got = [r["doc_id"] for r in now.collect()]
+        assert len(got) == len(set(got)) and set(got) == want, name
+    size = Counter()
+    for i in left:
+        size[rows[i][1]] += len((rows[i][0] or "").split())
+    mixed = corpus_pipeline.STAGES[3][1](spark, now, str(tmp_path)).collect()
+    taken = Counter()
+    for r in mixed:
+        assert rows[r["doc_id"]] == (r["text"], r["source"])
+        taken[r["source"]] += len(r["text"].split())
+    for s, t in fill(size).items():
+        assert abs(taken[s] - t) <= max(3, 0.01 * t), (s, taken[s], t)
+    enc = Tokenizer.from_file(default_vocabulary())
+    tokens = sum(len(enc.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.groupBy().sum("length").first()[0] == tokens
+
+
+def test_pipeline_without_rows_and_with_clashing_names(spark, tmp_path):
+    docs, labels = corpus(spark, 30)
+    odd = docs.selectExpr("*", "1 AS size", "'a' AS doc", "true AS hit", "'k' AS __row", "2 AS k0")
+    for name, d, y in (("none", docs.limit(0), labels.limit(0)), ("unlabelled", odd, labels.limit(0))):
+        path = f"{tmp_path}/{name}"
+        d.write.parquet(f"{path}/documents.parquet")
+        y.write.parquet(f"{path}/labels.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, path)
+            assert k == 4 or out.columns == d.columns
+            out.write.parquet(f"{path}/{k}")
+            now = spark.read.parquet(f"{path}/{k}")
+        assert (now.count() == 0) == (name == "none")
+
+
 def test_registered_names():
     assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
