@@ -8,6 +8,11 @@ and read again as the next one's docs. All but the last return the columns of do
 3. near_dedup: of each component of the n-gram Jaccard join the smallest id stays.
 4. mixing: each source is brought to its target weight; a document stays as often as the mix takes it.
 5. packing: the documents become pieces of token sequences.
+
+Defined cases: null and empty texts are one text, of which the smallest id stays until mixing, which takes no words of it and so
+leaves it out; without labels nothing is rejected; null, clashing and repeated ids are separate rows, told apart by
+their texts, and of rows equal in id and text one stays; very long texts are read whole; columns of the input may
+have any name and are kept by all stages but the last; empty tables give an empty result.
 """
 
 from __future__ import annotations
