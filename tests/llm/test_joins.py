@@ -290,12 +290,22 @@ def test_words_over_chunks(monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(a, b))
 
 
-def test_sketch_never_misses(spark):
+@pytest.mark.parametrize("log_blocks", [5, 13])
+def test_sketch_never_misses(spark, log_blocks):
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**64, 20_000, np.uint64)
     keys[:500] = keys[500:1000]
-    rows = list(repeats.blocks([keys[:7000], keys[7000:]], 5))
+    keys[1000:1100] = keys[1100]
+    rows = list(repeats.blocks([keys[:7000], keys[7000:]], log_blocks))
     df = spark.createDataFrame(pa.Table.from_batches(rows).to_pandas(), repeats.BLOCK)
-    found = repeats.collect(df, 5, len(keys))
+    found = repeats.collect(df, log_blocks, len(keys))
     again = found.has(keys)
-    assert again[:1000].all() and again[1000:].mean() < 0.05
+    assert again[:1101].all() and again[1101:].mean() < 0.05
+    assert found.rank(keys)[1000] == 6 and (found.rank(keys[1101:]) == 6).mean() < 0.01
+
+
+def test_sketch_shapes():
+    assert [repeats.key_bytes(k) for k in (4, 11, 12, 19, 20, 22)] == [5, 5, 6, 6, 7, 7]
+    assert [repeats.shape_for(n) for n in (1, 32, 800_000, 10**9)] == [4, 7, 22, 22]
+    keys = np.array([1 << 63, 5, 1 << 63, 7], np.uint64)
+    assert all(np.array_equal(repeats._of_planes(repeats._planes(np.sort(keys), 8), 8), np.sort(keys)) for _ in range(1))
