@@ -31,6 +31,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def chains(links: DataFrame) -> DataFrame:
+    """(node, comp) for links (a, b), b following a, each node at most once on either side; comp is the chain's first node, a ring's smallest.
+
+    Pointers double each round, so a chain of n nodes takes log n rounds.
+    """
+    ends = links.select(F.col("b").alias("node"), F.col("a").alias("prev")).union(links.select("a", F.lit(None).cast("long")))
+    nodes = ends.groupBy("node").agg(F.max("prev").alias("prev"))
+    now = pin(nodes.select("node", F.coalesce("prev", "node").alias("ptr"), F.struct(F.col("prev").isNotNull().alias("inner"), F.col("node").alias("id")).alias("best")))
+    while True:
+        step = now.select(F.col("node").alias("j"), F.col("ptr").alias("far"), F.col("best").alias("more"))
+        new = pin(dealt_join(now, step, "ptr", "j").select("node", F.col("far").alias("ptr"), F.col("best").alias("old"), F.least("best", "more").alias("best")))
+        changed = new.where("old <> best").limit(1).count()
+        now, step = new.select("node", "ptr", "best"), None
+        sweep(links.sparkSession)
+        if not changed:
+            return now.select("node", F.col("best.id").alias("comp"))
+
+
 WAVES = 2
 
 

@@ -1,24 +1,30 @@
-"""Substring dedup over a De Bruijn graph of token k-mers.
+"""Substring dedup over a De Bruijn graph of token k-mers, compacted to its nonbranching paths.
 
 A window of K words is an edge from its first K - 1 words to its last. An edge that occurs
 twice anywhere is repeated, and all words it covers go. Steps:
 
-1. A sketch of bounded size tells which edges may repeat (it never misses one).
-2. Each document's maximal runs of such edges are cut where their minimizer (the smallest
-   hash of MINIMIZER words inside the window) changes: nonbranching pieces of a path, so equal
-   edges of all documents have the same minimizer. Pieces are kept with their source coordinates.
-3. Equal pieces compact to one by an aggregate on the piece's hash, before any of them is
-   grouped: thousands of copies of a passage become one row with a count.
-4. Distinct pieces meet by minimizer; an edge whose pieces occur at least twice in all is
-   confirmed. A join on the piece hands the confirmed edges back to every source coordinate.
-5. Confirmed coordinates meet the documents that have any (a bitmap of fixed size spares the others
-   the shuffle) and the covered words are removed.
-
-Edges and pieces are compared by 64-bit hashes of their whole word sequences.
+1. A sketch of bounded size tells which edges may repeat (it never misses one). Each document's
+   maximal runs of such edges are its walks.
+2. Walks are cut where the minimizer (the smallest hash of MINIMIZER words inside the window)
+   changes, only so that equal stretches of long walks become equal rows: pieces, kept with their
+   source coordinates. Thousands of copies of a passage become one piece with a count.
+3. The edges of distinct pieces are counted by an aggregate on both their nodes; those that occur
+   once are dropped. An aggregate by node then gives in- and out-degree.
+4. Pieces are cut at each node where the graph branches or ends or where some walk begins or ends. What
+   is left between two cuts are segments: disjoint, and told by their first edge.
+5. A node where one segment ends and one begins joins these two. Segments so linked are one path, found by the
+   doubling joins of `graph.chains`, and have its id.
+6. A join hands segments back to the source coordinates of their pieces; neighbours on one path are one long span.
+   Documents with a span meet the text (a bitmap of fixed size spares the others the shuffle), and the words
+   of the spans are removed there.
+
+A node is the 64-bit hash of its K - 1 words, so an edge is compared by 128 bits; pieces by 64.
 
 Defined cases: a null text has no words; a text of less than K words loses none; repeated
 rows count as occurrences like any other; windows are judged on the input, never on what is
-left; an empty table gives an empty result.
+left; an empty table gives an empty result. A passage that repeats itself is a cycle, which is a path like any other.
+Very long texts are hashed in chunks, and a piece has at most LONGEST_PIECE edges. Only id and text columns are read, so
+other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -31,13 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import SPACE, arrow_limits, input_parts, marked, n_words, pin, read, sketch, text_of
-from .memory import tidy, tidy_group
+from .common import SPACE, arrow_limits, dealt_join, input_parts, marked, n_words, pin, read, sketch, sweep, text_of
+from .graph import chains
+from .memory import tidy
 
 K = 35
 MINIMIZER = 8
 LONGEST_PIECE = 64
-PIECE = "doc_id long, th long, start int, piece long, minimizer long, edges binary"
+PIECE = "doc_id long, th long, start int, piece long, nodes binary, begins boolean, ends boolean"
+EDGE = "src long, dst long, n long, piece long, at int, begins boolean, ends boolean"
+SEGMENT = "piece long, at int, edges int, src long, second long, dst long"
+SPAN = "array<struct<start: int, edges: int, path: long>>"
 
 
 def _edges(texts: pa.Array, k: int):
@@ -86,36 +96,94 @@ def _pieces(k: int, m: int, shared):
                 new = np.append(True, (np.diff(at) != 1) | (small[1:] != small[:-1]) | (doc[1:] != doc[:-1]))
                 first = np.flatnonzero(new)
                 inner = np.arange(len(at)) - first[np.cumsum(new) - 1]
-                first = np.flatnonzero(new | (inner % LONGEST_PIECE == 0))
+                long = inner % LONGEST_PIECE == 0
+                first = np.flatnonzero(new | long)
                 end = np.append(first[1:], len(at))
+                apart = np.append(True, (np.diff(at) != 1) | (doc[1:] != doc[:-1])) | (long & (inner > 0))
+                begins, ends = apart[first], np.append(apart[first[1:]], True)
                 lo, hi = at[first], at[end - 1] + k  # the words the piece spans
-                up, down = wordhash._words.upto(len(h))
-                sums = np.append(np.zeros(1, np.uint64), np.cumsum(h * up))
-                piece = wordhash.mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+                piece = wordhash.spans(h, lo, hi)
                 d = doc[first]
-                edges = win[at].tobytes()
+                nodes = wordhash.windows(h, k - 1).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), pa.array((lo - firsts[d]).astype(np.int32)),
-                        pa.array(piece.view(np.int64)), pa.array(small[first].view(np.int64)), pa.array([edges[8 * a : 8 * z] for a, z in zip(first, end)], pa.binary()),
+                        pa.array(piece.view(np.int64)), pa.array([nodes[8 * a : 8 * (z - k + 2)] for a, z in zip(lo.tolist(), hi.tolist())], pa.binary()),
+                        pa.array(begins), pa.array(ends),
                     ],
-                    names=[x.split()[0] for x in PIECE.split(", ")],
+                    names=_names(PIECE),
                 )
 
     return run
 
 
-def _confirm(table: pa.Table) -> pa.Table:
-    """The pieces of a group with a bit for each edge that occurs twice or more in all."""
-    raw = [x.as_py() for x in table.column("edges")]
-    n = np.array([len(x) // 8 for x in raw])
-    keys = np.frombuffer(b"".join(raw), np.uint64)
-    weight = np.repeat(table.column("n").to_numpy(), n)
-    _, place = np.unique(keys, return_inverse=True)
-    again = np.bincount(place, weight)[place] >= 2
-    ends = np.cumsum(n)
-    keep = [(p, np.packbits(again[e - c : e]).tobytes()) for p, e, c in zip(table.column("piece").to_pylist(), ends, n) if again[e - c : e].any()]
-    return pa.table({"piece": pa.array([p for p, _ in keep], pa.int64()), "mask": pa.array([m for _, m in keep], pa.binary())})
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _nodes(column: pa.Array):
+    """(all nodes of a column of pieces, row of each, place in its piece, nodes of each piece)."""
+    raw = column.to_pylist()
+    n = np.array([len(x) // 8 for x in raw], np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.frombuffer(b"".join(raw), np.int64), of, np.arange(len(of)) - (np.cumsum(n) - n)[of], n
+
+
+def _piece_edges(batches):
+    """Each edge of each piece (piece, n, nodes, begins, ends)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, of, at, n = _nodes(batch.column(2))
+        src = np.flatnonzero(at < n[of] - 1)
+        row, place = of[src], at[src]
+        piece, count, begins, ends = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 3, 4))
+        cols = (nodes[src], nodes[src + 1], count, piece, place.astype(np.int32), begins & (place == 0), ends & (place == n[row] - 2))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_names(EDGE))
+
+
+def _inner_nodes(batches):
+    """(piece, at, node) of the nodes between two edges of a piece (piece, nodes)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, of, at, n = _nodes(batch.column(1))
+        inner = np.flatnonzero((at > 0) & (at < n[of] - 1))
+        cols = (batch.column(0).to_numpy()[of[inner]], at[inner].astype(np.int32), nodes[inner])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["piece", "at", "node"])
+
+
+def _segments(batches):
+    """Segments of pieces (piece, nodes, cuts): 2 p stands for a cut at node p, 2 e + 1 for an edge e that occurs once."""
+    for batch in batches:
+        out = [[] for _ in range(6)]
+        for piece, raw, cuts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            nodes = np.frombuffer(raw, np.int64)
+            cuts = cuts or ()
+            once = {c >> 1 for c in cuts if c & 1}
+            at = sorted({0, len(nodes) - 1, *(c >> 1 for c in cuts if not c & 1), *once, *(e + 1 for e in once)})
+            for a, z in zip(at, at[1:]):
+                if a not in once:
+                    for c, v in zip(out, (piece, a, z - a, nodes[a], nodes[a + 1], nodes[z])):
+                        c.append(v)
+        kinds = (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(out, kinds)], names=_names(SEGMENT))
+
+
+def _long_spans(batches):
+    """Segments of a document that follow each other on one path as one span."""
+    for batch in batches:
+        rows = []
+        for found in batch.column(2).to_pylist():
+            spans = []
+            for x in sorted(found, key=lambda x: x["start"]):
+                if spans and spans[-1]["path"] == x["path"] and spans[-1]["start"] + spans[-1]["edges"] == x["start"]:
+                    spans[-1]["edges"] += x["edges"]
+                else:
+                    spans.append(x)
+            rows.append(spans)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("edges", pa.int32()), ("path", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], names=["doc_id", "th", "found"])
 
 
 def _remove(k: int):
@@ -128,9 +196,8 @@ def _remove(k: int):
                     a, z = firsts[i], firsts[i + 1]
                     cover = np.zeros(z - a + 1, np.int64)
                     for x in found or ():
-                        at = x["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], np.uint8)))
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + k, -1)
+                        cover[x["start"]] += 1
+                        cover[x["start"] + x["edges"] + k - 1] -= 1
                     left = np.flatnonzero(np.cumsum(cover)[:-1] == 0) + a
                     kept = b" ".join([raw[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist())])
                     for c, v in zip(cols, (doc_id, z - a, z - a - len(left), kept)):
@@ -140,8 +207,39 @@ def _remove(k: int):
     return run
 
 
-def repeated_edges(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> DataFrame:
-    """doc_id, th (hash of the text) and found, an array of (start, mask): which windows from word start on are repeated.
+def compact_paths(pieces: DataFrame) -> DataFrame:
+    """Segments of the compacted graph where they stand in pieces: piece, at, edges, path.
+
+    pieces (piece, n, nodes, begins, ends) are distinct and pinned. A path is a maximal chain of repeated edges without a branch.
+    """
+    spark = pieces.sparkSession
+    edges = pieces.select("piece", "n", "nodes", "begins", "ends").mapInArrow(tidy(_piece_edges), EDGE)
+    # an edge of one occurrence stands in one piece, so the smallest place is its place
+    edges = pin(edges.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.min("piece").alias("piece"), F.min("at").alias("at"), F.max("begins").alias("begins"), F.max("ends").alias("ends")))
+    sweep(spark)
+    solid, one = F.col("n") > 1, (F.col("n") > 1).cast("int")
+    sides = edges.select(F.col("src").alias("node"), one.alias("o"), F.lit(0).alias("i"), (F.col("begins") | ~solid).alias("cut"))
+    sides = sides.union(edges.select("dst", F.lit(0), one, F.col("ends") | ~solid))
+    stops = pin(sides.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("cut").alias("cut")).where("cut OR o <> 1 OR i <> 1").select(F.col("node").alias("stop")))
+    inner = pieces.select("piece", "nodes").mapInArrow(tidy(_inner_nodes), "piece long, at int, node long")
+    inner = marked(inner, F.col("node"), sketch(stops, F.col("stop")), "maybe").where("maybe")
+    cuts = dealt_join(inner, stops, "node", "stop").select("piece", (F.col("at") * 2).alias("c"))
+    cuts = cuts.union(edges.where(~solid).select("piece", F.col("at") * 2 + 1))
+    cuts = cuts.groupBy(F.col("piece").alias("p")).agg(F.collect_set("c").alias("cuts"))
+    cut = pieces.select("piece", "nodes").join(cuts, F.col("piece") == F.col("p"), "left").select("piece", "nodes", "cuts")
+    parts = pin(cut.mapInArrow(tidy(_segments), SEGMENT).withColumn("segment", F.xxhash64("src", "second")))
+    edges = stops = None
+    sweep(spark)
+    distinct = pin(parts.groupBy("src", "second").agg(F.first("dst").alias("dst"), F.first("segment").alias("segment")))
+    begin = distinct.groupBy(F.col("src").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.first("segment").alias("b")).where("n = 1")
+    end = distinct.groupBy(F.col("dst").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.first("segment").alias("a")).where("n = 1")
+    paths = chains(begin.join(end, F.col("x") == F.col("y")).select("a", "b"))
+    met = parts.join(paths, F.col("segment") == F.col("node"), "left")
+    return met.select("piece", "at", "edges", F.coalesce("comp", "segment").alias("path"))
+
+
+def repeated_spans(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> DataFrame:
+    """doc_id, th (hash of the text) and found, an array of (start, edges, path): the windows that begin at the edges words from start on are repeated.
 
     docs has doc_id, th and text; only documents with a repeated window have a row.
     """
@@ -150,19 +248,21 @@ def repeated_edges(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> D
     log_blocks = repeats.shape_for(parts)
     keys = docs.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK)
     shared = spark.sparkContext.broadcast(repeats.collect(keys, log_blocks, repeats.expected(docs)))
+    del keys
     pieces = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_pieces(k, minimizer, shared)), PIECE))
     shared.destroy()  # the checkpoint needs it no more
-    compact = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("minimizer").alias("minimizer"), F.first("edges").alias("edges"))
-    groups = compact.withColumn("part", F.pmod("minimizer", F.lit(max(64, 8 * parts))))
-    masks = pin(groups.groupBy("part").applyInArrow(tidy_group(_confirm), "piece long, mask binary"))
-    spots = pieces.select("doc_id", "th", "start", "piece").join(masks.withColumnRenamed("piece", "p"), F.col("piece") == F.col("p"))
-    return spots.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
+    sweep(spark)
+    groups = pin(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("nodes").alias("nodes"), F.max("begins").alias("begins"), F.max("ends").alias("ends")))
+    segments = compact_paths(groups).groupBy(F.col("piece").alias("p")).agg(F.collect_list(F.struct("at", "edges", "path")).alias("segments"))
+    spots = dealt_join(pieces.select("doc_id", "th", "start", "piece"), pin(segments), "piece", "p")
+    spots = spots.select("doc_id", "th", F.explode(F.expr("transform(segments, s -> struct(start + s.at AS start, s.edges AS edges, s.path AS path))")).alias("s"))
+    return spots.groupBy("doc_id", "th").agg(F.collect_set("s").alias("found")).mapInArrow(tidy(_long_spans), f"doc_id long, th long, found {SPAN}")
 
 
 def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = pin(repeated_edges(rows, k))
+    found = pin(repeated_spans(rows, k))
     key = F.xxhash64("doc_id", "th")
     rows = marked(rows, key, sketch(found, key), "maybe")
     clean = F.trim(F.regexp_replace("text", rf"[\x09-\x0D][{SPACE}]*|\x20[{SPACE}]+", " "))

@@ -118,6 +118,13 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
+def spans(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The hash of hashes[lo:hi] for each pair of bounds, whatever its length."""
+    up, down = _words.upto(len(hashes))
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(hashes * up))
+    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
 def whole(hashes: np.ndarray) -> int:
     """The hash of a word sequence of any length."""
     return int(windows(hashes, len(hashes))[0]) if len(hashes) else 0

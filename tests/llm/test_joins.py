@@ -8,12 +8,13 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docgauge.llm import repeats, wordhash
 from docgauge.llm.graph import components
 from docgauge.llm.line_dedup import drop_repeated_lines, keys_of, within
 from docgauge.llm.near_join import near_join, one_of_each
-from docgauge.llm.substring_dedup import remove_repeats
+from docgauge.llm.substring_dedup import remove_repeats, repeated_spans
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -186,6 +187,56 @@ def test_substring_dedup_equals_brute_force(spark):
     assert sorted(got, key=key) == sorted(brute_windows(rows, 35), key=key)
 
 
+def brute_paths(rows, k):
+    """The path of each repeated edge, as its first edge (a cycle's smallest), by walking the graph from node to node."""
+    seen = defaultdict(int)
+    for _, t in rows:
+        w = split(t)
+        for a in range(len(w) - k + 1):
+            seen[tuple(w[a : a + k])] += 1
+    edges = {e for e, n in seen.items() if n > 1}
+    into, out = defaultdict(list), defaultdict(list)
+    for e in edges:
+        out[e[:-1]].append(e)
+        into[e[1:]].append(e)
+    head = {}
+    for e in edges:
+        at, walked = e, [e]
+        while len(into[at[:-1]]) == 1 == len(out[at[:-1]]) and into[at[:-1]][0] != e:
+            at = into[at[:-1]][0]
+            walked.append(at)
+        closed = len(into[at[:-1]]) == 1 == len(out[at[:-1]])
+        head[e] = min(walked) if closed else at
+    return head
+
+
+def test_compacted_paths_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocab, k = [f"v{i}" for i in range(30)], 6
+    passages = [rng.choices(vocab, k=n) for n in (5, 6, 20, 90, 200)]
+    rows = []
+    for i in range(40):
+        w = rng.choices(vocab, k=rng.randrange(0, 30))
+        for p in rng.sample(passages, rng.randrange(0, 3)):
+            a, z = sorted(rng.sample(range(len(p) + 1), 2)) if rng.random() < 0.5 else (0, len(p))
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p[a:z] if rng.random() < 0.7 else p[: len(p) // 2] + ["odd"] + p[len(p) // 2 :]
+        rows.append((i, " ".join(w)))
+    rows += [(100, "ring a b c d e f " * 30), (101, "same " * 90)]
+    df = docs(spark, rows).repartition(3).withColumn("th", F.xxhash64("text"))
+    got, text, spans = {}, dict(rows), 0
+    for r in repeated_spans(df, k, 2).collect():
+        w = text[r["doc_id"]].split()
+        for s in r["found"]:
+            spans += 1
+            for a in range(s["start"], s["start"] + s["edges"]):
+                assert got.setdefault(tuple(w[a : a + k]), s["path"]) == s["path"]
+    want = brute_paths(rows, k)
+    assert got.keys() == want.keys()
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[e], want[e]) for e in want})
+    assert spans < len(want)
+
+
 def distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
