@@ -40,3 +40,13 @@ def test_query(spark, name):
     assert len(mine) == len(theirs)
     for a, b in zip(mine, theirs):  # ties at the sixth place may be rounded either way
         assert all(x == y or (isinstance(x, float) and abs(x - y) < 1.5e-6) for x, y in zip(a, b)), (a, b)
+
+
+def test_plans_of_near_duplicates_do_not_show_each_other(spark):
+    """Spark keeps each plan's description in the driver's heap; gate_findings once left 45 million characters there."""
+    from docgauge.operators.near import near_hashes
+    from docgauge.sources.tables import read_documents
+
+    near = near_hashes(read_documents(spark, SF, defects=True).select("doc_hash", "text"))
+    assert near.count() > 0
+    assert len(near._jdf.queryExecution().toString()) < 10_000
