@@ -142,9 +142,9 @@ def shape_for(n_parts: int) -> int:
     return max(4, min(MOST_BLOCKS.bit_length() - 1, (max(1, n_parts) - 1).bit_length() + 2))
 
 
-def collect(rows: DataFrame, log_blocks: int, expected: int) -> Repeats:
-    """The sketch of all hashes in rows (of BLOCK). expected: about how many; the driver gets at most MOST_BITS / 8 + RANK_CELLS bytes."""
-    log_bits = max(log_blocks + 6, min(MOST_BITS.bit_length() - 1, max(1, 2 * expected).bit_length()))
+def collect(rows: DataFrame, log_blocks: int, expected: int, most: int = MOST_BITS) -> Repeats:
+    """The sketch of all hashes in rows (of BLOCK). expected: about how many; the driver gets at most most / 8 + RANK_CELLS bytes."""
+    log_bits = max(log_blocks + 6, min(most.bit_length() - 1, max(1, 2 * expected).bit_length()))
     found = rows.groupBy("block").applyInArrow(tidy_group(_count(log_blocks, log_bits)), "block int, bits binary, ranks binary, n long").select("block", "bits", "ranks")
     size, cells = 1 << (log_bits - log_blocks - 3), 1 << (_cell_bits(log_blocks) - log_blocks)
     bits, ranks = np.zeros(size << log_blocks, np.uint8), np.zeros(cells << log_blocks, np.uint8)
@@ -157,7 +157,7 @@ def collect(rows: DataFrame, log_blocks: int, expected: int) -> Repeats:
     return Repeats(log_blocks, log_bits, bits, ranks)
 
 
-def expected(docs: DataFrame) -> int:
+def expected(docs: DataFrame, most: int = MOST_BITS) -> int:
     """About how many words the input has, from the size that the plan tells; only the filter's size depends on it."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1 << 16, min(MOST_BITS, size // 3))
+    return max(1 << 16, min(most, size // 3))

@@ -3,8 +3,10 @@
 A window of K words is an edge from its first K - 1 words to its last. An edge that occurs
 twice anywhere is repeated, and all words it covers go. Steps:
 
-1. A sketch of bounded size tells which edges may repeat (it never misses one). Each document's
-   maximal runs of such edges are its walks.
+1. Of the PLACES stretches of K - PLACES + 1 words in a window, that with the smallest hash is its anchor. Equal windows have
+   equal anchors at different places, and windows side by side mostly share one, so anchors are a quarter as many. A sketch of
+   bounded size tells which anchors may occur twice (it never misses one), and so which edges may repeat. Each
+   document's maximal runs of such edges are its walks.
 2. Walks are cut where the minimizer (the smallest hash of MINIMIZER words inside the window)
    changes, only so that equal stretches of long walks become equal rows: pieces, kept with their
    source coordinates. Thousands of copies of a passage become one piece with a count.
@@ -44,19 +46,36 @@ from .memory import tidy
 K = 35
 MINIMIZER = 8
 LONGEST_PIECE = 64
+#: A window's anchor is one of so many stretches. More make fewer anchors, and let through more windows at the ends of a copied passage.
+PLACES = 8
+#: Bits of the sketch at most: 64 MiB. Anchors that occur twice number about a 70th of the words, so it holds those of 30 GB.
+MOST_BITS = 1 << 29
+#: The sketch is sized for one in so many of the words.
+WORDS_PER_ANCHOR = 8
 PIECE = "doc_id long, th long, start int, piece long, nodes binary, begins boolean, ends boolean"
 EDGE = "src long, dst long, n long, piece long, at int, begins boolean, ends boolean"
 SEGMENT = "piece long, at int, edges int, src long, second long, dst long"
 SPAN = "array<struct<start: int, edges: int, path: long>>"
 
 
-def _edges(texts: pa.Array, k: int):
-    """(hash of each window, whether it lies in one text, word's text, firsts, word hashes)."""
+def _places(texts: pa.Array, k: int):
+    """(start of each window that lies in one text, its text, firsts, word hashes)."""
     h, _, _, firsts, _ = wordhash.words(texts)
-    win = wordhash.windows(h, k)
     of = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    inside = np.arange(len(win)) + k <= firsts[of[: len(win)] + 1]
-    return win, inside, of, firsts, h
+    starts = np.arange(max(0, len(h) - k + 1))
+    at = starts[starts + k <= firsts[of[: len(starts)] + 1]]
+    return at, of[at], firsts, h
+
+
+def _anchors(h: np.ndarray, at: np.ndarray, k: int):
+    """(hashes of the anchors of the windows at, each place once; for each window, which of them is its)."""
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    places = min(PLACES, k)
+    x = wordhash.windows(h, k - places + 1)
+    place = _sliding_argmin(x, places)[at]
+    new = np.append(True, place[1:] != place[:-1])  # places never go back, and texts share none
+    return wordhash.mix(x[place[new]]), np.cumsum(new) - 1  # mixed again: the smallest of several hashes is a small one
 
 
 def _keys(k: int, log_blocks: int):
@@ -64,14 +83,25 @@ def _keys(k: int, log_blocks: int):
         def parts():
             for batch in batches:
                 for part in wordhash.slices(batch, 0):
-                    win, inside, *_ = _edges(part.column(0), k)
-                    yield win[inside]
+                    at, _, _, h = _places(part.column(0), k)
+                    yield _anchors(h, at, k)[0]
 
         yield from repeats.blocks(parts(), log_blocks)
 
     return run
 
 
+def _sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the first smallest value of x[i:i + width] stands, for each i with width values left."""
+    best, step = np.arange(len(x)), 1
+    first = lambda a, b: np.where(x[b] < x[a], b, a)
+    while 2 * step <= width:
+        best = first(best[: len(best) - step], best[step:])
+        step *= 2
+    n = len(x) - width + 1
+    return first(best[:n], best[width - step : width - step + n]) if step < width else best
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of x[i:i + width] for each i with width values left."""
     n, step = len(x), 1
@@ -86,13 +116,13 @@ def _pieces(k: int, m: int, shared):
         sketch_ = shared.value
         for batch in batches:
             for part in wordhash.slices(batch, 2):
-                win, inside, of, firsts, h = _edges(part.column(2), k)
-                at = np.flatnonzero(inside)
-                at = at[sketch_.has(win[at])]
+                at, doc, firsts, h = _places(part.column(2), k)
+                anchors, mine = _anchors(h, at, k)
+                again = sketch_.has(anchors)[mine]
+                at, doc = at[again], doc[again]
                 if not len(at):
                     continue
                 small = _sliding_min(wordhash.windows(h, m), k - m + 1)[at]
-                doc = of[at]
                 new = np.append(True, (np.diff(at) != 1) | (small[1:] != small[:-1]) | (doc[1:] != doc[:-1]))
                 first = np.flatnonzero(new)
                 inner = np.arange(len(at)) - first[np.cumsum(new) - 1]
@@ -221,14 +251,18 @@ def compact_paths(pieces: DataFrame) -> DataFrame:
     sides = edges.select(F.col("src").alias("node"), one.alias("o"), F.lit(0).alias("i"), (F.col("begins") | ~solid).alias("cut"))
     sides = sides.union(edges.select("dst", F.lit(0), one, F.col("ends") | ~solid))
     stops = pin(sides.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("cut").alias("cut")).where("cut OR o <> 1 OR i <> 1").select(F.col("node").alias("stop")))
+    sides = None
+    sweep(spark)
     inner = pieces.select("piece", "nodes").mapInArrow(tidy(_inner_nodes), "piece long, at int, node long")
     inner = marked(inner, F.col("node"), sketch(stops, F.col("stop")), "maybe").where("maybe")
     cuts = dealt_join(inner, stops, "node", "stop").select("piece", (F.col("at") * 2).alias("c"))
     cuts = cuts.union(edges.where(~solid).select("piece", F.col("at") * 2 + 1))
-    cuts = cuts.groupBy(F.col("piece").alias("p")).agg(F.collect_set("c").alias("cuts"))
+    cuts = pin(cuts.groupBy(F.col("piece").alias("p")).agg(F.collect_set("c").alias("cuts")))
+    edges = stops = inner = None  # else their files stay: a plan keeps all it reads
+    sweep(spark)
     cut = pieces.select("piece", "nodes").join(cuts, F.col("piece") == F.col("p"), "left").select("piece", "nodes", "cuts")
     parts = pin(cut.mapInArrow(tidy(_segments), SEGMENT).withColumn("segment", F.xxhash64("src", "second")))
-    edges = stops = None
+    pieces = cuts = cut = None
     sweep(spark)
     distinct = pin(parts.groupBy("src", "second").agg(F.first("dst").alias("dst"), F.first("segment").alias("segment")))
     begin = distinct.groupBy(F.col("src").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.first("segment").alias("b")).where("n = 1")
@@ -247,14 +281,19 @@ def repeated_spans(docs: DataFrame, k: int = K, minimizer: int = MINIMIZER) -> D
     arrow_limits(spark)
     log_blocks = repeats.shape_for(parts)
     keys = docs.select("text").mapInArrow(tidy(_keys(k, log_blocks)), repeats.BLOCK)
-    shared = spark.sparkContext.broadcast(repeats.collect(keys, log_blocks, repeats.expected(docs)))
+    expected = repeats.expected(docs, WORDS_PER_ANCHOR * MOST_BITS) // WORDS_PER_ANCHOR
+    shared = spark.sparkContext.broadcast(repeats.collect(keys, log_blocks, expected, MOST_BITS))
     del keys
     pieces = pin(docs.select("doc_id", "th", "text").mapInArrow(tidy(_pieces(k, minimizer, shared)), PIECE))
     shared.destroy()  # the checkpoint needs it no more
     sweep(spark)
     groups = pin(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.first("nodes").alias("nodes"), F.max("begins").alias("begins"), F.max("ends").alias("ends")))
-    segments = compact_paths(groups).groupBy(F.col("piece").alias("p")).agg(F.collect_list(F.struct("at", "edges", "path")).alias("segments"))
-    spots = dealt_join(pieces.select("doc_id", "th", "start", "piece"), pin(segments), "piece", "p")
+    pieces = pin(pieces.select("doc_id", "th", "start", "piece"))  # the nodes are in groups now
+    sweep(spark)
+    held, groups = [groups], None
+    segments = pin(compact_paths(held.pop()).groupBy(F.col("piece").alias("p")).agg(F.collect_list(F.struct("at", "edges", "path")).alias("segments")))
+    sweep(spark)
+    spots = dealt_join(pieces, segments, "piece", "p")
     spots = spots.select("doc_id", "th", F.explode(F.expr("transform(segments, s -> struct(start + s.at AS start, s.edges AS edges, s.path AS path))")).alias("s"))
     return spots.groupBy("doc_id", "th").agg(F.collect_set("s").alias("found")).mapInArrow(tidy(_long_spans), f"doc_id long, th long, found {SPAN}")
 
@@ -263,6 +302,7 @@ def remove_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     found = pin(repeated_spans(rows, k))
+    sweep(docs.sparkSession)
     key = F.xxhash64("doc_id", "th")
     rows = marked(rows, key, sketch(found, key), "maybe")
     clean = F.trim(F.regexp_replace("text", rf"[\x09-\x0D][{SPACE}]*|\x20[{SPACE}]+", " "))

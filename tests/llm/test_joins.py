@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -360,3 +360,24 @@ def test_sketch_shapes():
     assert [repeats.shape_for(n) for n in (1, 32, 800_000, 10**9)] == [4, 7, 22, 22]
     keys = np.array([1 << 63, 5, 1 << 63, 7], np.uint64)
     assert all(np.array_equal(repeats._of_planes(repeats._planes(np.sort(keys), 8), 8), np.sort(keys)) for _ in range(1))
+
+
+def test_anchors_never_miss_a_repeated_window_and_are_few():
+    """A filter of all repeated windows is full at 6 GB; anchors are a quarter as many, lie in their windows and depend on them alone."""
+    from docgauge.llm import substring_dedup as sd
+
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join(rng.choices("abcdefgh", k=400)) + " " + " ".join(passage) for _ in range(3)] + ["a " * 90, "a b c " * 40, "", "one two"]
+    texts.append(" ".join(f"w{i}" for i in range(3000)))
+    for k in (35, 8, 5, 1):
+        at, _, _, h = sd._places(pa.array(texts), k)
+        anchors, mine = sd._anchors(h, at, k)
+        counts = Counter(anchors.tolist())
+        windows = wordhash.windows(h, k)[at].tolist()
+        often = Counter(windows)
+        assert all(counts[anchors[m]] > 1 for w, m in zip(windows, mine.tolist()) if often[w] > 1)
+        seen = {}
+        assert all(seen.setdefault(w, anchors[m]) == anchors[m] for w, m in zip(windows, mine.tolist()))
+    at, _, _, h = sd._places(pa.array(texts[-1:]), 35)
+    assert len(sd._anchors(h, at, 35)[0]) < 0.3 * len(at)
