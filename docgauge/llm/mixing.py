@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, packed, pin, read, text_of
+from .common import n_words, packed, pin, read, sweep, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -133,6 +133,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 7,
     classes = chances(_with(sums, goals, ["source"], small), power)
     certain = F.sum(F.when(F.col("lam") >= 1, F.col("s")).otherwise(0)).over(Window.partitionBy("source"))
     classes = pin(classes.withColumn("base", certain).select("source", "octave", "source_size", "target", "whole", "goal", "lam", "base"))
+    sweep(docs.sparkSession)
     rows = _ranked(base, classes, small)
     first = pin(_crossing(rows, F.shiftright("rank", RANK_BITS - LOG_BINS)))
     inside = _with(rows, first, ["source"], small).where(F.shiftright("rank", RANK_BITS - LOG_BINS) == F.col("bin")).drop("bin", "base").withColumnRenamed("before", "base")
@@ -142,10 +143,12 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 7,
     running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "key", "rid").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where(F.shiftright("rank", RANK_BITS - 2 * LOG_BINS) == F.col("cut")).withColumn("upto", F.col("before") + running).where("upto <= goal")
     edge = pin(edge.select(F.col("rid").alias("erid")))
+    sweep(docs.sparkSession)
     rows = rows.join(edge, F.col("rid") == F.col("erid"), "left")
     below = F.col("cut").isNull() | (F.shiftright("rank", RANK_BITS - 2 * LOG_BINS) < F.col("cut"))
     head = F.col("sure") | (F.col("rank").isNotNull() & (below | F.col("erid").isNotNull()))
     rows = pin(rows.withColumn("head", F.coalesce(head, F.lit(False))).drop("erid", "before", "base", "lam"))
+    sweep(docs.sparkSession)
     for _ in range(CLOSING_ROUNDS):
         got = rows.groupBy("source").agg(F.first("goal").alias("goal_"), F.sum(F.when(F.col("head"), F.col("size")).otherwise(0)).alias("got"))
         gaps = pin(got.select("source", (F.col("goal_") - F.col("got")).alias("gap")).where("gap > 0"))
@@ -155,6 +158,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 7,
     rows = pin(rows)
     extras = rows.where("head AND rank IS NOT NULL AND cut IS NOT NULL").where(F.shiftright("rank", RANK_BITS - 2 * LOG_BINS) >= F.col("cut"))
     extras = pin(extras.groupBy("source", "rank", "key").agg(F.count(F.lit(1)).alias("more")))
+    sweep(docs.sparkSession)
     return Plan(classes, cuts.select("source", "cut"), extras, rows, small, extras.count() <= BROADCAST_ROWS)
 
 

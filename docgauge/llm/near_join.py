@@ -202,6 +202,7 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     reps = groups.select(F.col("gid").alias("rg"), "rep")
     pairs = pairs.join(tagged(reps, "x"), F.col("a") == F.col("rg_x")).join(tagged(reps, "v"), F.col("b") == F.col("rg_v")).select(F.col("rep_x").alias("a"), F.col("rep_v").alias("b"))
     inner = dealt_join(sets.select("sid", "gid"), reps, "gid", "rg").where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    sweep(spark)  # the pivots are pinned
     edges = pin(check(pairs.union(inner)))
     sweep(spark)
     # Further waves: groups expand to their members where a shingle still joins different components.
@@ -210,6 +211,7 @@ def _linked(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "
     comps = cross_waves(live, COLS, may_link, check, edges, lambda own, _: _first_common(own, percent))
     least = sets.select(F.col("sid").alias("s"), "did").join(comps, F.col("s") == F.col("node"), "left").select("s", "did", F.coalesce("comp", "s").alias("c"))
     least = pin(least)
+    sweep(spark)
     smallest = least.groupBy(F.col("c").alias("cc")).agg(F.min("did").alias("least"))
     return signed, pin(dealt_join(least, smallest, "c", "cc").select("s", "least"))
 
@@ -233,6 +235,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by id and text hash, so null and clashing ids are no harm; of repeated rows one stays.
     """
     signed, named = _linked(docs, **options)
+    sweep(docs.sparkSession)
     rows = _named(signed, named).groupBy("doc_id", "th", "sid").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
     rows = rows.withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
     gone = rows.where("NOT first OR c > 1").select(F.col("doc_id").alias("k0"), F.col("th").alias("k1"), F.col("first").alias("once"))
