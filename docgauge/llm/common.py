@@ -105,6 +105,13 @@ def n_words(col: Column) -> Column:
     return F.regexp_count(col, F.lit(WORD)).cast("long")
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string."""
+    byte = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    bit = "lambda p, q: xor(p >> 1, 3988292384 * (p & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {bit})), 4294967295)"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -6,6 +6,7 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .license_scan import OP8_SQL, op8_license_scan
 from .line_dedup import op4_line_dedup
 from .media import op6_media_columns
+from .merkle_manifest import OP12_SQL, op12_merkle_manifest
 from .mixing import op7_mixing
 from .near_join import OP3_SQL, op3_ngram_jaccard_join
 from .packing import op9_packing
@@ -24,5 +25,13 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+}
+ORACLES = {
+    "op1_warc": OP1_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
+    "op5_exact_dedup": OP5_SQL,
+    "op8_license_scan": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_license_scan": OP8_SQL, "op10_substring_dedup": OP10_SQL}
