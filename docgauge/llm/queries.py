@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import OP11_SQL, op11_conversation_repair
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .license_scan import OP8_SQL, op8_license_scan
 from .line_dedup import op4_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES = {
@@ -33,5 +35,6 @@ ORACLES = {
     "op5_exact_dedup": OP5_SQL,
     "op8_license_scan": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
 }

@@ -11,15 +11,15 @@ from .common import pin
 BROADCAST_ROWS = 50_000
 
 
-def beside(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns that a pinned table has for their keys, inner. The table is broadcast only if it is proven small.
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns that a pinned table has for their keys. The table is broadcast only if it is proven small.
 
     Otherwise both sides are dealt out by an expression, so that adaptive execution can split a hot key (see dealt_join).
     """
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), keys)
+        return rows.join(F.broadcast(table), keys, how)
     deal = lambda df: df.withColumn("__deal", F.xxhash64(*keys))
-    return deal(rows).join(deal(table), ["__deal", *keys]).drop("__deal")
+    return deal(rows).join(deal(table), ["__deal", *keys], how).drop("__deal")
 
 
 def in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
