@@ -11,6 +11,7 @@ from .merkle_manifest import OP12_SQL, op12_merkle_manifest
 from .mixing import op7_mixing
 from .near_join import OP3_SQL, op3_ngram_jaccard_join
 from .packing import op9_packing
+from .secrets import OP13_SQL, op13_secret_scan
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .toxicity import op2_toxicity
 from .warc import OP1_SQL, op1_warc
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLES = {
     "op1_warc": OP1_SQL,
@@ -37,4 +39,5 @@ ORACLES = {
     "op10_substring_dedup": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
+    "op13_secret_scan": OP13_SQL,
 }
