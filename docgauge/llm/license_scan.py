@@ -1,6 +1,6 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with templates.
 
-A block is a line, or in texts of several lines a run of words across them (notices are usually wrapped): runs
+A block is a run of words, across lines, as notices are usually wrapped: runs
 begin at every n-th word and have 3 n, n being the words of the longest template, so any 2 n words in a row
 lie in one. A block's set is its distinct words. A template is found in a block when the
 block holds at least CONTAINMENT of the template's distinct words. Words are ordered by how many
@@ -12,7 +12,7 @@ count. Everything runs in DataFrame functions. The template index is broadcast;
 the templates', not the corpus's.
 
 Defined cases: a null text is empty and has no words; repeated rows each get their result;
-very long lines are one block; an empty table gives an empty result; rows are matched back
+very long texts have many blocks, with line breaks or without; an empty table gives an empty result; rows are matched back
 by id and text hash, so clashing ids don't mix.
 """
 
@@ -78,6 +78,19 @@ def word_order(docs: DataFrame, words: dict[str, list[str]]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+#: Templates that a table may hold.
+MOST_TEMPLATES = 10_000
+
+
+def templates_of(table: DataFrame, label: str = "label", text: str = "text") -> dict[str, str]:
+    """The notices of a table, to be given to scan(); texts of any length, MOST_TEMPLATES at most. Labels must be unique."""
+    rows = table.select(label, text).limit(MOST_TEMPLATES + 1).collect()
+    out = {r[0]: r[1] for r in rows if r[1]}
+    if len(rows) > MOST_TEMPLATES or len({r[0] for r in rows}) < len(rows):
+        raise ValueError("too many templates, or a label given twice")
+    return out
+
+
 def find_templates(docs: DataFrame, templates: dict[str, str], containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, key, label, share): each block's templates with the share of template words it holds; repeats stay."""
     words = _template_words(templates)
@@ -92,17 +105,13 @@ def find_templates(docs: DataFrame, templates: dict[str, str], containment: floa
             index.append(F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(pos).alias("pos"), F.lit(len(own)).alias("n"), F.lit(need).alias("need"), _strings(own).alias("own")))
     table = docs.sparkSession.range(1).select(F.explode(F.array(*index)).alias("t")).select("t.*")
     least = min(math.ceil(containment * len(own) - 1e-9) for own in words.values())
-    broken = lambda t: F.contains(t, F.lit("\n")) | F.contains(t, F.lit("\r"))
-    whole = F.when(broken(F.col("text")), F.array("text")).otherwise(F.array().cast("array<string>"))
-    blocks = docs.where(_any_inside(F.col("text"), sorted(prefix_words))).select("doc_id", "key", F.explode(F.concat(F.split("text", "[\n\r]+"), whole)).alias("line"))
-    blocks = blocks.where(_any_inside(F.col("line"), sorted(prefix_words)))
-    # The explode of one element is a barrier here too: words is used twice.
-    blocks = blocks.select("doc_id", "key", broken(F.col("line")).alias("many"), F.explode(F.array(terms(F.col("line")))).alias("words"))
-    held = lambda words: F.array_intersect(_strings(order), words)
-    blocks = blocks.select("doc_id", "key", "many", "words", held(F.col("words")).alias("held")).where(F.size("held") >= least)
     step = max(len(t.split()) for t in templates.values())
+    held = lambda words: F.array_intersect(_strings(order), words)
+    # The explode of one element is a barrier here too: words is used twice.
+    blocks = docs.where(_any_inside(F.col("text"), sorted(prefix_words))).select("doc_id", "key", F.explode(F.array(terms(F.col("text")))).alias("words"))
+    blocks = blocks.where(F.size(held(F.col("words"))) >= least)
     runs = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step)), lambda at: held(F.slice("words", at + 1, F.lit(3 * step))))
-    sets = blocks.select("doc_id", "key", F.explode(F.when(F.col("many"), runs).otherwise(F.array("held"))).alias("held"))
+    sets = blocks.select("doc_id", "key", F.explode(runs).alias("held"))
     sets = sets.where(F.size("held") >= least)
     probe = sets.select("doc_id", "key", "held", F.explode(F.array_intersect("held", _strings(sorted(prefix_words, key=rank.get)))).alias("word"))
     pairs = probe.join(F.broadcast(table), "word")
@@ -165,7 +174,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    words = _template_words(TEMPLATES)
+    words, step = _template_words(TEMPLATES), max(len(t.split()) for t in TEMPLATES.values())
     t = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}], {math.ceil(CONTAINMENT * len(v) - 1e-9)})" for k, v in words.items())
     place = " UNION ALL ".join(
         f"SELECT rid, i - 1 AS spot, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) AS u(i) WHERE "
@@ -177,7 +186,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 w AS (SELECT rid, doc_id, regexp_extract_all(t, '{TERM}') AS words FROM d),
 p AS ({place}),
 b AS (SELECT rid, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_sort(list(DISTINCT label)) AS own FROM p GROUP BY rid),
-l AS (SELECT rid, list_distinct(regexp_extract_all(unnest(regexp_split_to_array(t, '[\n\r]+')), '{TERM}')) AS held FROM d),
+l AS (SELECT rid, list_distinct(list_slice(words, run + 1, run + {3 * step})) AS held FROM w, unnest(range(0, len(words), {step})) AS u(run)),
 t(label, own, need) AS (VALUES {t}),
 m AS (SELECT rid, label, len(list_intersect(held, own)) / len(own) AS share FROM l, t WHERE len(held) >= need AND len(list_intersect(held, own)) >= need),
 f AS (SELECT rid, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY rid)

@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docgauge.llm import media, packing, warc
+from docgauge.llm import license_scan, media, packing, warc
 from docgauge.llm.common import scratch
 from docgauge.llm.license_scan import BASE, CONTAINMENT, TEMPLATES, scan
 from docgauge.llm.tokens import Encoder, default_vocabulary
@@ -158,8 +159,9 @@ def brute_scan(text):
         spots += found
         own |= {label} if found else set()
     best, more = 0.0, set()
-    for line in re.split("[\n\r]+", text or ""):
-        held = set(words(line))
+    n = max(len(words(t)) for t in TEMPLATES.values())
+    for at in range(0, len(w), n):
+        held = set(w[at : at + 3 * n])
         for label, t in TEMPLATES.items():
             need = set(words(t))
             share = len(held & need) / len(need)
@@ -195,6 +197,34 @@ def test_wrapped_license_notices_are_found(spark):
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("gpl,gpl-program", 1.0), 3: ("mit", 1.0), 4: ("", 0.0)}
 
 
+def test_license_scan_of_long_lines_equals_sql_and_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    pool = sorted({x for t in TEMPLATES.values() for x in words(t)} | {f"w{k}" for k in range(400)})
+    long_line = " ".join(rng.choices(pool, k=100_000))
+    mit = TEMPLATES["mit"].split()
+    texts = [" ".join(rng.choices(pool, k=3000)), long_line, f"{long_line} {' '.join(mit)} {long_line}", "\n".join([" ".join(mit[:5]), " ".join(mit[5:9]), " ".join(mit[9:12]), " ".join(mit[12:])]), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(license_scan, "read", lambda *_: docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.op8_license_scan(spark, "").collect()}
+    assert got == {k: brute_scan(t) for k, t in enumerate(texts)}
+    assert got[0][5] == "" and got[3][5:] == ("mit", 1.0) and "mit" in got[2][5]
+    documents = docs.where("length(text) < 100000 OR text IS NULL").toArrow()  # noqa: F841
+    cur = duckdb.connect().execute(license_scan.OP8_SQL)
+    names = [x[0] for x in cur.description]
+    assert got.keys() - {1, 2} == {r[names.index("doc_id")] for r in (rows := cur.fetchall())}
+    assert {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) for r in rows}.items() <= got.items()
+
+
+def test_templates_of_a_table(spark):
+    full = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction " * 3
+    table = license_scan.templates_of(spark.createDataFrame([("own", full), ("short", "do not copy this"), ("none", None)], "label string, text string"))
+    assert set(table) == {"own", "short"}
+    docs = spark.createDataFrame([(1, f"x {full.upper()} y"), (2, "do\nnot copy -- this"), (3, "nothing")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in scan(docs, templates=table).collect()} == {1: "own", 2: "short", 3: ""}
+    with pytest.raises(ValueError, match="twice"):
+        license_scan.templates_of(spark.createDataFrame([("a", "x"), ("a", "y")], "label string, text string"))
+
+
 # --- packing ----------------------------------------------------------------
 
 
