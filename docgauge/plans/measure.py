@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..operators.families import REGISTRY, Family
+from ..operators.families import REGISTRY, WHOLE, Family, count
+from ..operators.quantiles import distributions
 
 
 @dataclass
 class Measured:
-    """docs: the input with all families' columns, cached. results: in the order of the families."""
+    """docs: the input with all families' columns and without texts, cached. results: in the order of the families."""
 
     docs: DataFrame
     families: list[Family]
@@ -43,10 +44,15 @@ def extend(docs: DataFrame, families: list[Family]) -> DataFrame:
 
 def measure(docs: DataFrame, names: list[str] | None = None, config: dict[str, dict] | None = None) -> Measured:
     families = select_families(names, config)
-    full = extend(docs, families).persist()
+    # Families with results() of their own may look at texts.
+    shared = all(type(f).results is Family.results for f in families)
+    full = extend(docs, families)
+    full = (full.drop("text") if shared else full).persist()
+    counts = count(families, full)
+    spreads = distributions(full, {m: s for f in families for m, s in f.spreads().items()}, WHOLE)
     results, pins = [], {}
     for f in families:
-        results += f.results(full)
+        results += f.report(counts[f.name], spreads, full) if type(f).results is Family.results else f.results(full)
         pins |= f.pins
         pins[f"family:{f.name}"] = f.version
     return Measured(full, families, results, pins)

@@ -13,7 +13,7 @@ from ..functions import markings as mk
 from ..functions import text as tx
 from ..operators.families import Integrity, Markings, Provenance
 from ..operators.near import BANDS, PRIME, ROWS, SHINGLE, SLOTS, THRESHOLD, coefficients, near_hashes
-from ..operators.quantiles import distribution
+from ..operators.quantiles import Spread, distributions
 from ..sources.tables import DEFECT_SQL, read_documents, read_table
 from . import gate
 from .bundle import assess, compare
@@ -41,7 +41,7 @@ def vol_totals(spark, d):
 
 def token_distribution(spark, d):
     rows = read_documents(spark, d).select(tx.token_estimate(F.col("text")).alias("v"))
-    found = distribution(rows, "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, with_var=True)
+    found = distributions(rows, {"v": Spread((("p5", 0.05), ("p50", 0.5), ("p95", 0.95)), var=True)}, ("v",))["v"]
     return _one(spark, found | {"var": round(found["var"], 2)})
 
 
@@ -71,12 +71,10 @@ def _share(fn):
 
 def share_distributions(spark, d):
     """The corpus distributions of the three document shares."""
-    docs = read_documents(spark, d).withColumns({k: v for k, v in Integrity().columns().items() if k.startswith("int.")}).persist()
-    rows = []
-    for m in ("int.boilerplate_share", "int.intra_doc_repetition", "int.ngram_repetition"):
-        found = distribution(docs.select(F.col(f"`{m}`").alias("v")), "v", {"p50": 0.5, "p95": 0.95})
-        rows.append((m, *[float(found[k]) for k in ("min", "p50", "p95", "max", "mean")]))
-    docs.unpersist()
+    names = ("int.boilerplate_share", "int.intra_doc_repetition", "int.ngram_repetition")
+    docs = read_documents(spark, d).withColumns({k: v for k, v in Integrity().columns().items() if k in names})
+    told = distributions(docs, {m: Spread((("p50", 0.5), ("p95", 0.95))) for m in names})
+    rows = [(m, *[float(found[k]) for k in ("min", "p50", "p95", "max", "mean")]) for m, found in told.items()]
     return spark.createDataFrame(rows, "metric_id string, min double, p50 double, p95 double, max double, mean double")
 
 
@@ -419,4 +417,5 @@ ORACLES = {
 }
 
 #: Parts of the SQL that other modules' queries are stated with.
-PLAIN_SQL, TOKENS_SQL, FLAG_SQL, MERKLE_SQL = _PLAIN, _TOK, _FLAGS, _MERKLE
+PLAIN_SQL, TOKENS_SQL, FLAG_SQL, MERKLE_SQL, DEFECT_ENVELOPES, BOILER_SQL, INTRA_SQL, NGRAM_SQL = _PLAIN, _TOK, _FLAGS, _MERKLE, _BENV, _BOILER, _INTRA, _NGRAM.format(w=_W, src=_BAD)
+marks_sql, DEFECTS = _marks, _BAD

@@ -31,12 +31,13 @@ def shared_folder(spark: SparkSession, what: str) -> Path:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and cut off from its plan.
+    """df, computed once, kept as a reliable checkpoint and cut off from its plan.
 
     Spark keeps a description of every plan it ran in the driver's heap, with those of all cached tables in it, so plans on top of
-    each other must not show each other. Without spark.checkpoint.dir only a local master, which loses no executor, can cut them.
+    each other must not show each other. The folder is spark.checkpoint.dir; only a local master may do without.
     """
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir():
-        return df.checkpoint()
-    return df.localCheckpoint() if sc.master.startswith("local[") or sc.master == "local" else df.persist()
+    if not sc.getCheckpointDir():
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(told or f"file://{shared_folder(df.sparkSession, 'cuts')}")
+    return df.checkpoint()

@@ -37,15 +37,15 @@ DEFECT_SQL = """(SELECT doc_id, source, lang,
   FROM documents)"""
 
 
-def read_documents(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFrame:
-    """DOCS, and doc_id: source_system is source, source_id doc_id div 40 with every fifth missing, collected_at a day
+def read_documents(spark: SparkSession, sf_dir: str, defects: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """DOCS, doc_id, and more columns of the table: source_system is source, source_id doc_id div 40 with every fifth missing, collected_at a day
     of 2026 with every 9th missing, custody for even ids, reliability for every third, a parent for every 10th."""
     i = F.col("doc_id")
     rows = read_table(spark, sf_dir, "documents").withColumn("text", defect_text() if defects else F.coalesce(F.col("text"), F.lit("")))
     none = lambda kind: F.lit(None).cast(kind)
     day = F.concat(F.lit("2026-"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))
     out = rows.select(
-        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("doc_hash"), "text", F.octet_length("text").cast("long").alias("size_bytes"),
+        "doc_id", *more, F.sha2(F.col("text").cast("binary"), 256).alias("doc_hash"), "text", F.octet_length("text").cast("long").alias("size_bytes"),
         F.col("source").alias("source_system"), i.cast("string").alias("source_locator"),
         F.when(i % 5 != 0, F.floor(i / 40).cast("string")).alias("source_id"), F.when(i % 9 != 0, day).alias("collected_at"),
         none("string").alias("media_type"), F.lit("2026-01-01T00:00:00Z").alias("ingested_at"),
@@ -54,4 +54,4 @@ def read_documents(spark: SparkSession, sf_dir: str, defects: bool = False) -> D
         F.when(i % 3 == 0, F.struct(F.get(F.array(*[F.lit(x) for x in "ABC"]), (i % 9 / 3).cast("int")).alias("source"), F.when(i % 2 == 0, "1").alias("information"))).alias("reliability"),
         F.struct(F.lit("table").alias("name"), F.lit("0.1.0").alias("version"), none("double").alias("extraction_confidence"), none("string").alias("path")).cast(ADAPTER).alias("adapter"),
     )
-    return out.select("doc_id", *[f.name for f in DOCS])
+    return out.select("doc_id", *more, *[f.name for f in DOCS])

@@ -3,10 +3,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docgauge import cli
 from docgauge.operators.catalog import catalog, metric
-from docgauge.operators.quantiles import distribution
+from docgauge.operators.quantiles import Spread, bucket, distributions
 from docgauge.plans import bundle, envelope, gate, inquiry, ledger, manifest, merkle, signing
 from docgauge.plans.measure import measure
 from docgauge.sources.directory import BUNDLE_DIR, ProvenanceError, read_directory, validate
@@ -246,11 +247,29 @@ def test_quantile_rule(spark):
     rng = random.Random(1)
     for n in (1, 2, 14, 101):
         v = [rng.randrange(20) for _ in range(n)]
-        got = distribution(spark.createDataFrame([(x,) for x in v], "v long"), "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, with_var=True)
+        got = distributions(spark.createDataFrame([(x,) for x in v], "v long"), {"v": Spread((("p5", 0.05), ("p50", 0.5), ("p95", 0.95)), var=True)}, ("v",))["v"]
         s = sorted(v)
         assert [got[k] for k in ("min", "p5", "p50", "p95", "max")] == [s[0], *[s[int(p * (n - 1))] for p in (0.05, 0.5, 0.95)], s[-1]]
         assert abs(got["var"] - sum((x - sum(v) / n) ** 2 for x in v) / n) < 1e-6
-    assert distribution(spark.createDataFrame([], "v long"), "v", {"p50": 0.5}) is None
+    assert distributions(spark.createDataFrame([], "v long"), {"v": Spread((("p50", 0.5),))}) == {"v": None}
+    wide = sorted([rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randrange(-40, 60) for _ in range(400)] + [0.0, -0.0, 1.0, 2.0, 1.9999999999999998, 5e-324, 1.7e308])
+    rows = spark.createDataFrame([(x, float(k)) for k, x in enumerate(wide)], "v double, w double")
+    cells = [r["b"] for r in rows.orderBy("w").select(bucket(F.col("v")).alias("b")).collect()]
+    assert cells == sorted(cells)
+    both = distributions(rows, {"v": Spread((("p3", 0.03), ("p50", 0.5), ("p99", 0.99))), "w": Spread((("p50", 0.5),))})
+    assert [both["v"][k] for k in ("min", "p3", "p50", "p99", "max")] == [wide[int(p * (len(wide) - 1))] for p in (0, 0.03, 0.5, 0.99, 1)] and both["w"]["p50"] == (len(wide) - 1) // 2
+
+
+def test_token_distribution_reads_documents_once(spark, monkeypatch):
+    from docgauge.operators import quantiles
+
+    plans = []
+    keep = quantiles.settled
+    monkeypatch.setattr(quantiles, "settled", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    from docgauge.plans.queries import token_distribution
+
+    token_distribution(spark, "/root/testdata/sf0.001").collect()
+    assert len(plans) == 1 and plans[0].count("FileScan parquet") == 1
 
 
 def test_policies(spark, tmp_path):

@@ -4,11 +4,13 @@ import sys
 import duckdb
 import pytest
 
+from docgauge.plans.corpus_queries import ORACLES as CORPUS_ORACLES
+from docgauge.plans.corpus_queries import QUERIES as CORPUS_QUERIES
 from docgauge.plans.file_queries import FILE_ORACLES, FILE_QUERIES
 from docgauge.plans.queries import ORACLES as TABLE_ORACLES
 from docgauge.plans.queries import QUERIES as TABLE_QUERIES
 
-QUERIES, ORACLES = TABLE_QUERIES | FILE_QUERIES, TABLE_ORACLES | FILE_ORACLES
+QUERIES, ORACLES = TABLE_QUERIES | CORPUS_QUERIES | FILE_QUERIES, TABLE_ORACLES | CORPUS_ORACLES | FILE_ORACLES
 
 SF = "/root/testdata/sf0.001"
 
