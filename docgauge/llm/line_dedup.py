@@ -33,7 +33,10 @@ from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
 MAX_EDITS = 2
-MIN_CHARS = 40
+#: Length of the grams that tell lines of a frequent segment apart, and buckets of their counts.
+GRAM, GRAM_BUCKETS = 3, 1 << 16
+#: Lines from this length on are joined within MAX_EDITS: the least at which near lines must share a gram.
+MIN_CHARS = GRAM * (MAX_EDITS + 1)
 OCCURRENCE = "doc_id long, th long, line_no int, lid long, line string, keys binary, roles binary"
 #: What orders and filters a posting: its role, the line's length, and how many of its characters fall into 16 bins.
 COLS = ["role", "len", "low", "high"]
@@ -246,8 +249,6 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return both.mapInArrow(tidy(_verify(edits)), "a long, b long")
 
 
-#: Length of the grams that tell lines of a frequent segment apart, and buckets of their counts.
-GRAM, GRAM_BUCKETS = 3, 1 << 16
 #: Up to so many lines of a segment are paired with each other.
 CROWD = 32
 
