@@ -244,7 +244,8 @@ def segments(html: str | None) -> list[dict]:
 
 def html_segments(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """doc, the input's columns as a struct, and segments."""
-    fn = F.pandas_udf(lambda s: s.map(segments), SEGMENT)
+    # The optimizer may not repeat a function that is not deterministic, so a page is parsed once whatever is asked of its segments.
+    fn = F.pandas_udf(lambda s: s.map(segments), SEGMENT).asNondeterministic()
     return packed(pages, fn(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("segments"))
 
 

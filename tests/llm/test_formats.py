@@ -107,6 +107,12 @@ def test_media_by_digest(spark):
     assert {r["page_id"]: [x["position"] for x in r["sequence"]] for r in media.sequences(rows, "page_id").collect()}[1] == [0, 1, 2, 3]
 
 
+def test_pages_are_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = media.interleave(media.html_segments(media.document_pages(spark.read.parquet(f"{tmp_path}/documents.parquet"))), spark.createDataFrame([], media.MEDIA), "page")
+    assert told._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def plain(html):
     return [(x["kind"], x["text"] or x["caption"]) for x in media.segments(html)]
 
@@ -211,7 +217,8 @@ def test_license_scan_of_long_lines_equals_sql_and_brute_force(spark, monkeypatc
     documents = docs.where("length(text) < 100000 OR text IS NULL").toArrow()  # noqa: F841
     cur = duckdb.connect().execute(license_scan.OP8_SQL)
     names = [x[0] for x in cur.description]
-    assert got.keys() - {1, 2} == {r[names.index("doc_id")] for r in (rows := cur.fetchall())}
+    rows = cur.fetchall()
+    assert got.keys() - {1, 2} == {r[names.index("doc_id")] for r in rows}
     assert {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) for r in rows}.items() <= got.items()
 
 
