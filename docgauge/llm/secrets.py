@@ -23,12 +23,12 @@ empty result; further columns, whatever their names, do no harm.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import matches
 from .common import LOWER, UPPER, pin, read, text_of
 
 DIGITS = "0123456789"
@@ -70,54 +70,6 @@ LIMIT_ONE, LIMIT_TWO = round(_normal.inv_cdf(1 - VETO / 3), 6), round(_normal.in
 LAST = -LOWEST * STEPS
 P_VALUES = [round(_normal.cdf(LOWEST + (k + 1) / STEPS), 12) for k in range(LAST)] + [1.0]
 
-BLOCK = 512
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it, also inside functions of each element."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
-def _before(lengths: Column) -> Column:
-    """The sums of all earlier lengths, by blocks: appending one by one copies what is there."""
-    zero = F.lit(0).cast("long")
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
-    blocks = _let(lengths, cut)
-
-    def sums(block: Column) -> Column:
-        start = F.struct(zero.alias("total"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(block, start, lambda a, v: F.struct((a["total"] + v).alias("total"), F.concat(a["out"], F.array(a["total"])).alias("out")))
-
-    start = F.struct(zero.alias("total"), F.array().cast("array<array<bigint>>").alias("out"))
-    joined = F.aggregate(
-        F.transform(blocks, sums), start,
-        lambda a, b: F.struct((a["total"] + b["total"]).alias("total"), F.concat(a["out"], F.array(F.transform(b["out"], lambda v: v + a["total"]))).alias("out")),
-    )
-    return F.flatten(joined["out"])
-
-
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches from left to right as structs: start and end in code points, and the group's string; null if there are none."""
-    found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), found(0).alias("found"), found(group).alias("told"))
-
-    def spans(p: Column) -> Column:
-        both = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["found"])), p["found"], lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-        return _let(
-            _before(both),
-            lambda before: F.transform(
-                p["found"],
-                lambda m, i: F.struct(
-                    (F.get(before, i) + F.length(F.get(p["gaps"], i))).alias("start"),
-                    (F.get(before, i) + F.length(F.get(p["gaps"], i)) + F.length(m)).alias("end"),
-                    F.get(p["told"], i).alias("found"),
-                ),
-            ),
-        )
-
-    return F.when(text.rlike(pattern), _let(parts, spans))
-
-
 def _base(text: Column) -> Column:
     """Spans (start, kind, end) of the base kinds; kind is its place in KINDS."""
 
