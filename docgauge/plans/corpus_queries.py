@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markings as mk
+from ..model import METRICS
 from ..operators import compliance as cp
 from ..operators import language as lg
 from ..operators import lexical as lx
+from ..operators.catalog import catalog
 from ..operators.scopes import scoped
 from ..sources.tables import read_documents, read_table
 from . import gate
@@ -17,10 +19,10 @@ from .queries import BOILER_SQL, CEILING, DEFECT_ENVELOPES, DEFECTS, FLAG_SQL, I
 SCOPES = [[], ["source"], ["lang"], ["source", "month"]]
 
 
-def _scoped(spark, d):
+def _scoped(spark, d, scopes=SCOPES):
     docs = read_documents(spark, d, defects=True, more=("lang",))
     docs = docs.withColumns({"source": F.col("source_system"), "month": F.substring("collected_at", 1, 7)})
-    return scoped(docs, select_families(config=SETTINGS), SCOPES)
+    return scoped(docs, select_families(config=SETTINGS), scopes)
 
 
 def scoped_metrics(spark, d):
@@ -34,6 +36,19 @@ def scoped_findings(spark, d):
     return judged.select("rule_id", "scope", "status", "severity", F.col("observed").cast("double").alias("observed"))
 
 
+def policy_rules(spark, d):
+    """The default policy's thresholds beside what the documents show; null where the corpus run has no such number."""
+    policy = gate.load_policy()
+    seen = _scoped(spark, d, [[]]).where("key = 'value'").select("metric_id", F.col("value").alias("observed"))
+    return policy.rule_table(spark).join(policy.limit_table(spark), "rule_id").join(seen, "metric_id", "left").select("rule_id", "metric_id", "level", "op", "limit", "severity", "observed")
+
+
+def metric_catalog(spark, d):
+    """The catalogue with what the documents show of each metric that is one number or has a median."""
+    seen = _scoped(spark, d, [[]]).where("key IN ('value', 'p50')").select("metric_id", F.round("value", 4).alias("shown"))
+    return catalog(spark).select("metric_id", "family", "unit").join(seen, "metric_id", "left")
+
+
 HELD_OUT = F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 1).isin("0", "1", "2")
 
 
@@ -81,7 +96,7 @@ def pii_categories(spark, d):
 
 
 QUERIES = {
-    "scoped_metrics": scoped_metrics, "scoped_findings": scoped_findings, "language_labels": language_labels, "language_held_out": language_held_out, "script_profile": script_profile,
+    "policy_rules": policy_rules, "metric_catalog": metric_catalog, "scoped_metrics": scoped_metrics, "scoped_findings": scoped_findings, "language_labels": language_labels, "language_held_out": language_held_out, "script_profile": script_profile,
     "lexical_diversity": lexical_diversity, "salient_terms": salient_terms, "pii_spans": pii_spans, "pii_categories": pii_categories}
 
 
@@ -215,7 +230,20 @@ k AS (SELECT rid, list_reduce(list_prepend({state("0::BIGINT", "0::BIGINT", "0",
 o AS (SELECT rid, doc_id, source, coalesce(out, []) AS out FROM d LEFT JOIN k USING (rid))"""
 
 
+def _catalog_sql() -> str:
+    family = "CASE split_part(metric_id, '.', 1) WHEN 'dup' THEN 'duplication' WHEN 'vol' THEN 'volume' WHEN 'cnt' THEN 'volume' WHEN 'int' THEN 'integrity' WHEN 'mark' THEN 'markings' ELSE 'provenance' END"
+    units = ", ".join(f"('{k}', {f"'{u}'" if u else 'NULL'})" for k, u in METRICS.items())
+    return f"{_scopes_sql()}, u(metric_id, unit) AS (VALUES {units}) SELECT metric_id, {family} AS family, unit, round(value, 4) AS shown FROM u LEFT JOIN (SELECT * FROM v WHERE scope = 'all' AND key IN ('value', 'p50')) w USING (metric_id)"
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{r.rule_id}', '{r.metric_id}', '{t.level}', '{t.op}', {t.value}::DOUBLE, '{t.severity}')" for r in gate.load_policy().rules for t in r.thresholds)
+    return f"""{_scopes_sql()}, r(rule_id, metric_id, level, op, "limit", severity) AS (VALUES {rows}) SELECT r.*, value AS observed FROM r LEFT JOIN (SELECT * FROM v WHERE scope = 'all' AND key = 'value') w USING (metric_id)"""
+
+
 ORACLES = {
+    "policy_rules": _rules_sql(),
+    "metric_catalog": _catalog_sql(),
     "scoped_metrics": f"{_scopes_sql()} SELECT scope, metric_id, key, round(value, 4) AS value FROM v",
     "scoped_findings": _scoped_findings_sql(),
     "language_labels": f"{_language_sql('true', 'true')} SELECT doc_id, label, round(confidence, 4) AS confidence, second, second_share, second_share > {lg.SECOND_SHARE} AS mixed, n::BIGINT AS trigrams FROM o",

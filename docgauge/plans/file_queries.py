@@ -12,8 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import METRICS
-from ..operators.catalog import catalog
 from ..sources.directory import read_directory, validate
 from ..sources.scratch import shared_folder
 from ..sources.tables import read_table
@@ -131,16 +129,6 @@ def derived_corpus(spark, d):
     return spark.createDataFrame([row], "parent_root string, relation string, document_count long, total_bytes long")
 
 
-def policy_rules(spark, d):
-    """The default policy's thresholds."""
-    policy = gate.load_policy()
-    return policy.rule_table(spark).join(policy.limit_table(spark), "rule_id").select("rule_id", "metric_id", "level", "op", "limit", "severity")
-
-
-def metric_catalog(spark, d):
-    return catalog(spark).select("metric_id", "family", "unit")
-
-
 def stream_flag_counts(spark: SparkSession, d: str) -> DataFrame:
     """Flags by hour of a stream of the documents; document n arrives n minutes after the new year."""
     rows = spark.readStream.schema(read_table(spark, d, "documents").schema).parquet(f"{d}/documents*.parquet")
@@ -151,7 +139,7 @@ def stream_flag_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(f"{name}_{folder.name[-32:]}").select(F.unix_seconds("start").alias("start"), F.col("docs"), F.col("tokens"), *STREAM_FLAGS)
 
 
-FILE_QUERIES = {f.__name__: f for f in (directory_scan, sidecar_scan, bundle_records, bundle_checks, investigation, derived_corpus, policy_rules, metric_catalog, stream_flag_counts)}
+FILE_QUERIES = {f.__name__: f for f in (directory_scan, sidecar_scan, bundle_records, bundle_checks, investigation, derived_corpus, stream_flag_counts)}
 
 _DOCS = f"(SELECT *, {_LOCATOR.replace('STRING', 'VARCHAR')} AS locator, sha256(t) AS doc_hash FROM {PLAIN_SQL} p)"
 _ROOT = f"(SELECT root FROM ({MERKLE_SQL}) z)"
@@ -166,8 +154,6 @@ def _oracles() -> dict[str, str]:
     import yaml
 
     rules = yaml.safe_load(gate.DEFAULT_POLICY.read_text())["rules"]
-    limits = ", ".join(f"('{r['rule_id']}', '{r['metric_id']}', '{k}', '{r[k]['op']}', {r[k]['value']}::DOUBLE, '{r['severity'][k]}')" for r in rules for k in ("flag", "fail") if k in r)
-    family = "CASE split_part(metric_id, '.', 1) WHEN 'dup' THEN 'duplication' WHEN 'vol' THEN 'volume' WHEN 'cnt' THEN 'volume' WHEN 'int' THEN 'integrity' WHEN 'mark' THEN 'markings' ELSE 'provenance' END"
     first = f"(SELECT {{0}} FROM {_DOCS} x ORDER BY doc_hash, string_split(locator, '/') LIMIT 1)"
     checks = ("signature", "manifest schema", "records hash", "records count", "merkle root", "statement subject", "corpus files match records")
     count, size = "(SELECT count(*) FROM documents)", f"(SELECT sum(strlen(t))::BIGINT FROM {PLAIN_SQL} p)"
@@ -179,8 +165,6 @@ def _oracles() -> dict[str, str]:
         "bundle_checks": _values([("merkle_root", _ROOT), ("document_count", count), ("total_bytes", size), ("hash_alg", "'sha256'"), ("records_count", count), ("policy", "'docgauge-default/0.1.0'"), *((f"before: {c}", "'True'") for c in checks), ("amended", "'real'"), ("other key", "'False'"), ("after: files", "'False'"), ("after: changed, added, removed", "'1, 1, 1'")]),
         "investigation": _values([("findings", len(rules)), ("clause", "'integrity.near_empty'"), ("locator", first.format("locator")), ("text", first.format("left(t, 50)")), ("chars", first.format("length(t)")), ("similarity", "'1.0'"), ("changes", "'0'"), ("refused", "'3'"), ("logged", "'8'"), ("tools", "'diff_documents,get_finding,get_record,list_findings,propose,read_document'"), ("states", "'approved,rejected'"), ("assessment", "'artifact'")]),
         "derived_corpus": f"SELECT {_ROOT} AS parent_root, 'filter' AS relation, count(*) AS document_count, coalesce(sum(strlen(t)), 0)::BIGINT AS total_bytes FROM {_DOCS} x WHERE lang = 'en'",
-        "policy_rules": f'SELECT * FROM (VALUES {limits}) AS v(rule_id, metric_id, level, op, "limit", severity)',
-        "metric_catalog": f"SELECT metric_id, {family} AS family, unit FROM (VALUES {', '.join(f"('{k}', {json.dumps(u).replace(chr(34), chr(39)) if u else 'NULL'})" for k, u in METRICS.items())}) AS v(metric_id, unit)",
         "stream_flag_counts": f"SELECT 1767225600 + (doc_id // 60) * 3600 AS start, count(*) AS docs, sum({TOKENS_SQL})::BIGINT AS tokens, {', '.join(f'sum(({FLAG_SQL[n]})::INT)::BIGINT AS {n}' for n in STREAM_FLAGS)} FROM {PLAIN_SQL} p GROUP BY 1",
     }
 

@@ -7,10 +7,12 @@ import pytest
 from docgauge.plans.corpus_queries import ORACLES as CORPUS_ORACLES
 from docgauge.plans.corpus_queries import QUERIES as CORPUS_QUERIES
 from docgauge.plans.file_queries import FILE_ORACLES, FILE_QUERIES
+from docgauge.plans.tree_queries import ORACLES as TREE_ORACLES
+from docgauge.plans.tree_queries import QUERIES as TREE_QUERIES
 from docgauge.plans.queries import ORACLES as TABLE_ORACLES
 from docgauge.plans.queries import QUERIES as TABLE_QUERIES
 
-QUERIES, ORACLES = TABLE_QUERIES | CORPUS_QUERIES | FILE_QUERIES, TABLE_ORACLES | CORPUS_ORACLES | FILE_ORACLES
+QUERIES, ORACLES = TABLE_QUERIES | CORPUS_QUERIES | TREE_QUERIES | FILE_QUERIES, TABLE_ORACLES | CORPUS_ORACLES | TREE_ORACLES | FILE_ORACLES
 
 SF = "/root/testdata/sf0.001"
 
