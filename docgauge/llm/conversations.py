@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import beside, in_order
 from .common import arrow_limits, join_counted, pin, read, sql_crc32, sweep
 from .memory import tidy
-from .ranks import beside, in_order
 
 #: log2 of the rows after which a conversation's signature is cut.
 SEGMENT = 9

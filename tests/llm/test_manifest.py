@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgauge.llm import merkle_manifest as mm
-from docgauge.llm.ranks import ranked
+from docgauge.operators.ranks import ranked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pos long, g string"
 
@@ -84,7 +84,7 @@ def test_manifest_against_brute_force(spark, monkeypatch, n, band):
 
 
 def test_proofs_hold_and_a_lost_broadcast_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr("docgauge.llm.ranks.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("docgauge.operators.ranks.BROADCAST_ROWS", 0)
     rows = [r[:5] for r in rows_of(60, 5)]
     got = mm.manifest(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), band=2)
     out = got.select("doc_id", "group", "leaf", "subroot", "root", mm.siblings(F.col("path")).alias("s"), mm.folded(F.col("path"), F.col("leaf")).alias("f")).collect()
