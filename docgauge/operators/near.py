@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.scratch import settled
+from .ranks import beside
 
 SLOTS, BANDS, ROWS, SHINGLE, THRESHOLD = 128, 25, 5, 5, 0.8
 PRIME = (1 << 31) - 1
@@ -52,36 +53,54 @@ def signatures(texts: DataFrame) -> DataFrame:
     return one.select("doc_hash", F.pandas_udf(_signatures, "array<bigint>")(tx.words(F.lower("text"))).alias("sig")).where("sig IS NOT NULL")
 
 
+def rare_pairs(sigs: DataFrame, left: DataFrame, need: int) -> DataFrame:
+    """(h, h2): pairs of a signature in left and one in sigs (h, sig) that may have need equal slots; none that have is missing.
+
+    Each signature's slots are ordered by how many signatures have their value, the rarest first. Two signatures with need equal
+    slots share one of the first SLOTS - need + 1 in this order (prefix filter). So signatures made from one template, whose common
+    values are frequent, meet only in values of their own.
+    """
+    cells = sigs.select("h", F.posexplode("sig").alias("slot", "v"))
+    often = settled(cells.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    ranked_cells = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "slot", "v")))
+    first = beside(cells, often, ["slot", "v"], "left").groupBy("h").agg(F.slice(ranked_cells, 1, SLOTS - need + 1).alias("first"))
+    # A value that no other signature has joins nothing.
+    posts = settled(first.select("h", F.explode("first").alias("x")).select("h", "x.*").where("c > 1").drop("c"))
+    own = posts.join(left.select("h"), "h", "left_semi")
+    return beside(own, posts.withColumnRenamed("h", "h2"), ["slot", "v"]).where("h <> h2").select("h", "h2").distinct()
+
+
 def near_hashes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The hashes with at least one other hash in a shared band whose estimated similarity reaches the threshold.
 
     That some neighbour exists is all the metric asks. Texts of equal signatures are neighbours of each other; one of
     them stands for all. Bands are dealt out as (band, key, hash) alone; signatures, half a kilobyte each and more than
-    most texts, are fetched only for distinct pairs. In each bucket everyone is compared with the bucket's first; only
-    those still without a neighbour are then compared with all of their buckets, so a bucket of n near copies costs
-    about n tests.
+    most texts, are fetched only for distinct pairs. In each bucket everyone is compared with the bucket's first, so a bucket of n near
+    copies costs about n tests; those still without a neighbour are compared with what shares their rare values (rare_pairs), not
+    with their whole buckets.
     """
+    need = int(-(-threshold * SLOTS // 1))
     each = settled(signatures(texts))
     sigs = settled(each.groupBy("sig").agg(F.min("doc_hash").alias("h"), F.count(F.lit(1)).alias("n")))
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).alias("key")) for b in range(BANDS)])
     rows = sigs.select("h", F.explode(bands).alias("b")).select("h", "b.band", "b.key")
     alike = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    shared = F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.slice("sig", b * ROWS + 1, F.lit(ROWS)) == F.slice("sig2", b * ROWS + 1, F.lit(ROWS)))
     own, other = sigs.select("h", "sig"), sigs.select(F.col("h").alias("h2"), F.col("sig").alias("sig2"))
 
     def ends(pairs: DataFrame) -> DataFrame:
         """Both ends of the pairs (h, h2) that are close."""
-        close = pairs.distinct().join(own, "h").join(other, "h2").where(alike >= F.lit(int(-(-threshold * SLOTS // 1))))
+        close = pairs.distinct().join(own, "h").join(other, "h2").where((alike >= need) & shared)
         return close.select(F.explode(F.array("h", "h2")).alias("h")).distinct()
 
     hub = rows.groupBy("band", "key").agg(F.min("h").alias("h2"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    met = rows.join(hub, ["band", "key"])
-    first = settled(ends(met.where("h <> h2").select("h", "h2")))
-    # Only buckets with company are looked at again.
-    left = met.join(first, "h", "left_anti").select("h", "band", "key")
-    more = left.join(rows.withColumnRenamed("h", "h2"), ["band", "key"]).where("h <> h2").select("h", "h2")
-    found = first.union(ends(more)).union(sigs.where("n > 1").select("h")).distinct()
-    near = sigs.join(found, "h", "left_semi").select("sig")
-    out = settled(each.join(near, "sig", "left_semi").select("doc_hash"))
-    for held in (first, sigs, each):
-        held.unpersist()
-    return out
+    met = settled(rows.join(hub, ["band", "key"]).select("h", "h2").distinct())
+    first = settled(ends(met.where("h <> h2")))
+    # Only signatures whose buckets have company are looked at again.
+    company = settled(own.join(met.select("h").distinct(), "h", "left_semi"))
+    left = settled(company.join(first, "h", "left_anti").select("h"))
+    found = first.union(sigs.where("n > 1").select("h"))
+    if left.limit(1).count():
+        found = found.union(ends(rare_pairs(company, left, need)))
+    near = sigs.join(found.distinct(), "h", "left_semi").select("sig")
+    return settled(each.join(near, "sig", "left_semi").select("doc_hash"))
