@@ -13,7 +13,8 @@ from ..operators.catalog import catalog
 from ..operators.scopes import scoped
 from ..sources.tables import read_documents, read_table
 from . import gate
-from .measure import select_families
+from .measure import Measured, extend, records, select_families
+from .record_shape import broken, field_names
 from .queries import BOILER_SQL, CEILING, DEFECT_ENVELOPES, DEFECTS, FLAG_SQL, INTRA_SQL, NGRAM_SQL, SETTINGS, TOKENS_SQL, marks_sql
 
 SCOPES = [[], ["source"], ["lang"], ["source", "month"]]
@@ -36,6 +37,27 @@ def scoped_findings(spark, d):
     return judged.select("rule_id", "scope", "status", "severity", F.col("observed").cast("double").alias("observed"))
 
 
+#: What is broken in which records, as expressions over doc_id: (field, every, column, value).
+DAMAGE = (
+    ("doc_hash", 97, "doc_hash", "upper(doc_hash)"), ("envelope/size_bytes", 89, "envelope.size_bytes", "-1L"), ("envelope/source_locator", 83, "envelope.source_locator", "cast(null as string)"),
+    ("envelope/hash_alg", 79, "envelope.hash_alg", "'md5'"), ("envelope/reliability", 73, "envelope.reliability", "named_struct('source', 'G', 'information', '1')"), ("envelope/parent_hash", 71, "envelope.parent_hash", "'none'"),
+    ("flags", 67, "flags", "array('no such flag')"), ("metrics/int.boilerplate_share", 61, "metrics.`int.boilerplate_share`", "1.5D"), ("metrics/cnt.token_count", 59, "metrics.`cnt.token_count`", "-1L"),
+)
+
+
+def record_validation(spark, d):
+    """How many of the documents' records break each condition, after some of them were damaged."""
+    families = select_families(["volume", "integrity"])
+    m = extend(read_documents(spark, d), families).drop("text")
+    rows = records(Measured(m, families, [], {})).withColumn("doc_id", F.col("envelope.source_locator").cast("long"))
+    for _, every, column, value in DAMAGE:
+        top, _, inner = column.partition(".")
+        hit = F.col("doc_id") % every == 0
+        told = F.when(hit, F.expr(value)).otherwise(F.col(column))
+        rows = rows.withColumn(top, F.col(top).withField(inner, told) if inner else told)
+    return broken(rows.drop("doc_id"), families)
+
+
 def policy_rules(spark, d):
     """The default policy's thresholds beside what the documents show; null where the corpus run has no such number."""
     policy = gate.load_policy()
@@ -96,7 +118,7 @@ def pii_categories(spark, d):
 
 
 QUERIES = {
-    "policy_rules": policy_rules, "metric_catalog": metric_catalog, "scoped_metrics": scoped_metrics, "scoped_findings": scoped_findings, "language_labels": language_labels, "language_held_out": language_held_out, "script_profile": script_profile,
+    "record_validation": record_validation, "policy_rules": policy_rules, "metric_catalog": metric_catalog, "scoped_metrics": scoped_metrics, "scoped_findings": scoped_findings, "language_labels": language_labels, "language_held_out": language_held_out, "script_profile": script_profile,
     "lexical_diversity": lexical_diversity, "salient_terms": salient_terms, "pii_spans": pii_spans, "pii_categories": pii_categories}
 
 
@@ -241,7 +263,18 @@ def _rules_sql() -> str:
     return f"""{_scopes_sql()}, r(rule_id, metric_id, level, op, "limit", severity) AS (VALUES {rows}) SELECT r.*, value AS observed FROM r LEFT JOIN (SELECT * FROM v WHERE scope = 'all' AND key = 'value') w USING (metric_id)"""
 
 
+def _validation_sql() -> str:
+    # A damaged doc_hash is no longer the envelope's either.
+    every = {f: f"doc_id % {n} = 0" for f, n, _, _ in DAMAGE}
+    every["envelope/doc_hash"] = every["doc_hash"]
+    columns = ["doc_hash", "envelope", "flags", "metrics"]
+    fields = field_names(select_families(["volume", "integrity"]), columns)
+    cells = ", ".join(f"{{'f': '{f}', 'n': count(*) FILTER ({every.get(f, 'false')})}}" for f in fields)
+    return f"SELECT u.f AS field, u.n AS records FROM (SELECT unnest([{cells}]) AS u FROM documents)"
+
+
 ORACLES = {
+    "record_validation": _validation_sql(),
     "policy_rules": _rules_sql(),
     "metric_catalog": _catalog_sql(),
     "scoped_metrics": f"{_scopes_sql()} SELECT scope, metric_id, key, round(value, 4) AS value FROM v",

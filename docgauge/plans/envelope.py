@@ -45,11 +45,11 @@ class Statement:
 
 @dataclass
 class Envelope:
-    """Bytes of a kind and who signed them. Signatures are kept by key id."""
+    """Bytes of a kind and who signed them: pairs of key id and signature. One key id may have several, any of which may hold."""
 
     body: bytes
     kind: str = DSSE_KIND
-    signatures: dict[str, bytes] = field(default_factory=dict)
+    signatures: list[tuple[str, bytes]] = field(default_factory=list)
 
     @property
     def signed_bytes(self) -> bytes:
@@ -61,12 +61,12 @@ class Envelope:
 
     def sign(self, *signers) -> Envelope:
         for s in signers:
-            self.signatures[s.keyid] = s.sign(self.signed_bytes)
+            self.signatures.append((s.keyid, s.sign(self.signed_bytes)))
         return self
 
     def signers_among(self, verifiers) -> list[str]:
         """The key ids whose signature holds."""
-        return [v.keyid for v in verifiers if v.keyid in self.signatures and v.verify(self.signed_bytes, self.signatures[v.keyid])]
+        return [v.keyid for v in verifiers if any(v.verify(self.signed_bytes, sig) for keyid, sig in self.signatures if keyid == v.keyid)]
 
     def open(self, verifiers) -> Statement:
         """The statement, which one known signer is enough to vouch for."""
@@ -76,9 +76,9 @@ class Envelope:
 
     def dumps(self) -> str:
         text = lambda b: base64.b64encode(b).decode()
-        return json.dumps({"payloadType": self.kind, "payload": text(self.body), "signatures": [{"keyid": k, "sig": text(v)} for k, v in self.signatures.items()]}, indent=1)
+        return json.dumps({"payloadType": self.kind, "payload": text(self.body), "signatures": [{"keyid": k, "sig": text(v)} for k, v in self.signatures]}, indent=1)
 
     @classmethod
     def loads(cls, text: str) -> Envelope:
         told = json.loads(text)
-        return cls(base64.b64decode(told["payload"]), told["payloadType"], {s["keyid"]: base64.b64decode(s["sig"]) for s in told["signatures"]})
+        return cls(base64.b64decode(told["payload"]), told["payloadType"], [(s["keyid"], base64.b64decode(s["sig"])) for s in told["signatures"]])

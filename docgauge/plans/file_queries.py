@@ -78,7 +78,10 @@ def _built(spark, d) -> tuple[Path, dict]:
 
 def bundle_records(spark, d):
     """The records that a bundle holds, read back from its file."""
-    root, _ = _built(spark, d)
+    root, _ = directory_of(spark, d)
+    build(root, read_directory(spark, root), Origin("documents", "1"), signers=[KEY], families=FAMILIES, parts=True)
+    if not (told := verify(spark, root, [KEY.verifier()])).ok:
+        raise ValueError(f"the bundle does not verify: {told.checks}")
     rows = spark.read.json(str(BundleFolder(root).records))
     return rows.select("doc_hash", F.col("envelope.source_locator").alias("source_locator"), F.array_join(F.coalesce("flags", F.array().cast("array<string>")), ",").alias("flags"), F.col("metrics").getField("cnt.token_count").alias("tokens"))
 

@@ -345,3 +345,49 @@ def test_stream_scoring(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("flags").orderBy("start").collect()
     assert [(r["docs"], r["control_chars"], r["near_empty"]) for r in got] == [(2, 1, 2)]
+
+
+def test_two_signatures_under_one_key_id():
+    from docgauge.plans.envelope import BadSignature, Envelope, Statement
+    from docgauge.plans.signing import Signer
+
+    good, other = Signer(bytes(range(32)), "k"), Signer(bytes(32), "k")
+    body = Statement("c@1", "0" * 64, {"corpus": {}}).encoded()
+    for order in ((good, other), (other, good)):
+        told = Envelope.loads(Envelope(body).sign(*order).dumps())
+        assert len(told.signatures) == 2 and told.open([good.verifier()]).name == "c@1" and told.open([other.verifier()]).name == "c@1"
+    with pytest.raises(BadSignature):
+        Envelope.loads(Envelope(body).sign(other).dumps()).open([good.verifier()])
+
+
+def test_records_in_parts_and_their_shape(spark, tmp_path):
+    from docgauge.plans.bundle import Origin, build, verify
+    from docgauge.plans.manifest import BundleFolder
+    from docgauge.plans.measure import extend, records, select_families, Measured
+    from docgauge.plans.record_shape import RecordError, broken, checked, conditions, field_names
+    from docgauge.plans.signing import Signer
+    from docgauge.sources.tables import read_documents
+
+    key = Signer(bytes(range(32)), "k")
+    docs = read_documents(spark, "/root/testdata/sf0.001", defects=True)
+    whole = build(tmp_path / "one", docs, Origin("c", "1"), signers=[key], families=["volume", "markings"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = build(tmp_path / "many", docs, Origin("c", "1"), signers=[key], families=["volume", "markings"], parts=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = BundleFolder(tmp_path / "many").records
+    files = sorted(folder.glob("part-*"))
+    assert len(files) > 1 and b"".join(f.read_bytes() for f in files) == BundleFolder(tmp_path / "one").records.read_bytes()
+    assert parts["records_count"] == whole["records_count"] and verify(spark, tmp_path / "many", [key.verifier()]).ok
+    files[0].write_bytes(files[0].read_bytes().replace(b'"size_bytes":', b'"size_bytes":1', 1))
+    (folder / f".{files[0].name}.crc").unlink(missing_ok=True)
+    assert not verify(spark, tmp_path / "many", [key.verifier()]).checks["records hash"]
+
+    families = select_families()
+    rows = records(Measured(extend(docs, families), families, [], {}))
+    assert list(conditions(families, rows.columns)) == field_names(families, rows.columns)
+    assert broken(rows, families).where("records > 0").count() == 0 and checked(rows, families) is rows
+    bad = rows.withColumn("markings_parsed", F.col("markings_parsed").withField("level", F.lit("XX")))
+    with pytest.raises(RecordError, match="markings_parsed/level"):
+        checked(bad, families)
