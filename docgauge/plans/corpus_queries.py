@@ -71,7 +71,7 @@ def metric_catalog(spark, d):
     return catalog(spark).select("metric_id", "family", "unit").join(seen, "metric_id", "left")
 
 
-HELD_OUT = F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 1).isin("0", "1", "2")
+HELD_OUT = "substring(sha2(cast(coalesce(text, '') AS binary), 256), 1, 1) IN ('0', '1', '2')"
 
 
 def language_labels(spark, d):
@@ -84,8 +84,8 @@ def language_labels(spark, d):
 def language_held_out(spark, d):
     """How many documents the model of the others names rightly; copies of a text are on one side."""
     docs = read_table(spark, d, "documents")
-    model = lg.fit(docs.where(~HELD_OUT))
-    held = docs.where(HELD_OUT & F.col("lang").isNotNull()).select(F.struct("doc_id", "lang").alias("of"), "text")
+    model = lg.fit(docs.where(f"NOT ({HELD_OUT})"))
+    held = docs.where(f"{HELD_OUT} AND lang IS NOT NULL").select(F.struct("doc_id", "lang").alias("of"), "text")
     found = lg.identify(held, model, "of").groupBy("doc_id.lang")
     return found.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("label") == F.col("doc_id.lang")).alias("right"), F.count_if(F.col("label") == lg.UNKNOWN).alias("unknown"))
 
