@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.directory import read_directory, validate
-from ..sources.scratch import shared_folder
+from ..sources.lines import numbered
+from ..sources.scratch import settled, shared_folder
 from ..sources.tables import read_table
 from ..streaming.score import FLAGS as STREAM_FLAGS
 from ..streaming.score import flag_counts
@@ -86,6 +87,17 @@ def bundle_records(spark, d):
     return rows.select("doc_hash", F.col("envelope.source_locator").alias("source_locator"), F.array_join(F.coalesce("flags", F.array().cast("array<string>")), ",").alias("flags"), F.col("metrics").getField("cnt.token_count").alias("tokens"))
 
 
+def record_order(spark, d):
+    """Where each record stands in a bundle's records: by hash, and then by the parts of its locator."""
+    root, _ = directory_of(spark, d)
+    build(root, read_directory(spark, root), Origin("documents", "1"), signers=[KEY], families=["volume"], policy=None, parts=True)
+    rows = settled(numbered(spark, str(BundleFolder(root).records)))
+    parts = rows.groupBy("file").agg(F.max("no").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    told = rows.join(parts.select("file", before.alias("before")), "file")
+    return told.select((F.col("no") + F.col("before")).alias("place"), F.get_json_object("value", "$.doc_hash").alias("doc_hash"), F.get_json_object("value", "$.envelope.source_locator").alias("source_locator"))
+
+
 def bundle_checks(spark, d):
     """What a manifest says, the checks of verification, an amendment, and the differences after files were changed."""
     root, m = _built(spark, d)
@@ -142,7 +154,7 @@ def stream_flag_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(f"{name}_{folder.name[-32:]}").select(F.unix_seconds("start").alias("start"), F.col("docs"), F.col("tokens"), *STREAM_FLAGS)
 
 
-FILE_QUERIES = {f.__name__: f for f in (directory_scan, sidecar_scan, bundle_records, bundle_checks, investigation, derived_corpus, stream_flag_counts)}
+FILE_QUERIES = {f.__name__: f for f in (directory_scan, sidecar_scan, bundle_records, record_order, bundle_checks, investigation, derived_corpus, stream_flag_counts)}
 
 _DOCS = f"(SELECT *, {_LOCATOR.replace('STRING', 'VARCHAR')} AS locator, sha256(t) AS doc_hash FROM {PLAIN_SQL} p)"
 _ROOT = f"(SELECT root FROM ({MERKLE_SQL}) z)"
@@ -165,6 +177,7 @@ def _oracles() -> dict[str, str]:
         "directory_scan": f"SELECT locator AS source_locator, doc_hash, strlen(t)::BIGINT AS size_bytes, CASE WHEN locator LIKE '%.md' THEN 'text/markdown' ELSE 'text/plain' END AS media_type, 'fs' AS source_system, length(t)::BIGINT AS chars FROM {_DOCS} x",
         "sidecar_scan": f"SELECT locator AS source_locator, CASE WHEN l.doc_id IS NULL THEN 'fs' ELSE 'labels-' || toxic END AS source_system, CAST(l.doc_id AS VARCHAR) AS source_id, CASE WHEN l.doc_id IS NOT NULL THEN '2026-01-02' END AS collected_at, CASE WHEN l.doc_id IS NOT NULL THEN 'B' END AS reliability FROM {_DOCS} x LEFT JOIN (SELECT DISTINCT ON (doc_id) doc_id, toxic FROM labels) l ON x.doc_id = l.doc_id",
         "bundle_records": f"SELECT doc_hash, locator AS source_locator, concat_ws(',', {flags}) AS flags, {TOKENS_SQL} AS tokens FROM {_DOCS} x",
+        "record_order": f"SELECT row_number() OVER (ORDER BY doc_hash, string_split(locator, '/')) AS place, doc_hash, locator AS source_locator FROM {_DOCS} x",
         "bundle_checks": _values([("merkle_root", _ROOT), ("document_count", count), ("total_bytes", size), ("hash_alg", "'sha256'"), ("records_count", count), ("policy", "'docgauge-default/0.1.0'"), *((f"before: {c}", "'True'") for c in checks), ("amended", "'real'"), ("other key", "'False'"), ("after: files", "'False'"), ("after: changed, added, removed", "'1, 1, 1'")]),
         "investigation": _values([("findings", len(rules)), ("clause", "'integrity.near_empty'"), ("locator", first.format("locator")), ("text", first.format("left(t, 50)")), ("chars", first.format("length(t)")), ("similarity", "'1.0'"), ("changes", "'0'"), ("refused", "'3'"), ("logged", "'8'"), ("tools", "'diff_documents,get_finding,get_record,list_findings,propose,read_document'"), ("states", "'approved,rejected'"), ("assessment", "'artifact'")]),
         "derived_corpus": f"SELECT {_ROOT} AS parent_root, 'filter' AS relation, count(*) AS document_count, coalesce(sum(strlen(t)), 0)::BIGINT AS total_bytes FROM {_DOCS} x WHERE lang = 'en'",

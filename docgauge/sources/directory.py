@@ -6,12 +6,14 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..model import ADAPTER, DOCS, SIDECAR
+from .lines import numbered
 
 BUNDLE_DIR = ".docgauge"
 ADAPTER_NAME, ADAPTER_VERSION = "plaintext", "0.1.0"
@@ -29,8 +31,7 @@ def now_iso() -> str:
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """locator and the sidecar's fields. Strict: any unusable line is an error that names it."""
-    raw = spark.read.option("wholetext", True).text(str(path)).select(F.posexplode(F.split("value", "\n")).alias("no", "value"))
-    rows = raw.where(F.trim("value") != "").select((F.col("no") + 1).alias("no"), "value")
+    rows = numbered(spark, path).where(F.trim("value") != "").select("no", "value")
     keys = rows.select("no", "value", F.json_object_keys("value").alias("keys"), F.get_json_object("value", "$.locator").alias("locator"))
     allowed = [f.name for f in SIDECAR]
     checked = keys.withColumn("unknown", F.array_except("keys", F.array(*[F.lit(x) for x in ("locator", *allowed)])))
@@ -49,20 +50,31 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     return checked.select("locator", F.from_json("value", SIDECAR).alias("s")).select("locator", "s.*")
 
 
-def _listed(root: Path) -> list[tuple[str, bytes]]:
-    """Files that Spark's binaryFile leaves out: those without bytes, and names with a leading dot or underscore."""
+def _listed(root: Path) -> list[tuple[str]]:
+    """The names of files that Spark's binaryFile leaves out: those without bytes, and names with a leading dot or underscore."""
     out = []
     for p in root.rglob("*"):
         rel = p.relative_to(root)
         if p.is_file() and BUNDLE_DIR not in rel.parts and (p.stat().st_size == 0 or any(x[0] in "._" for x in rel.parts)):
-            out.append((rel.as_posix(), p.read_bytes()))
+            out.append((rel.as_posix(),))
     return out
 
 
+def _contents(root: str):
+    """Reads named files where the task runs, one at a time."""
+
+    def run(batches):
+        for rows in batches:
+            for name in rows["locator"]:
+                yield pd.DataFrame({"locator": [name], "content": [Path(root, name).read_bytes()]})
+
+    return run
+
+
 def read_directory(spark: SparkSession, root: str | Path, provenance: str | None = None) -> DataFrame:
     """Every regular file below root but the bundle's, as DOCS. The sidecar's locators must all exist."""
     base = Path(root).resolve()
-    rest = spark.createDataFrame(_listed(base), "locator string, content binary")
+    rest = spark.createDataFrame(_listed(base), "locator string").mapInPandas(_contents(str(base)), "locator string, content binary")
     prefix = base.as_uri().rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), "^file:/+", "file:///")
     try:
