@@ -2,7 +2,7 @@
 
 Languages: a naive Bayes model of letter trigrams, counted over all documents whose language is known. Trigrams fall into
 BUCKETS cells by a polynomial of their code points, so a model is a table of languages times BUCKETS whole numbers, whatever the corpus;
-scoring looks cells up in it and joins nothing. Texts are scored in pieces of PIECE trigrams, which are added up to documents: a
+scoring looks cells up in it, joins nothing and moves no row. Texts are scored in pieces of PIECE trigrams, which are added up to documents: a
 document's label is the best of all its trigrams, its mixture what its pieces say one by one.
 
 Scripts: a text's letters fall into runs of one script; a code point's script is found among sorted ranges by a binary search written as
@@ -15,12 +15,17 @@ repeated row is a document of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import rate, result
+from ..sources.scratch import settled
 from .families import Family
 
 BUCKETS, FIRST, SECOND = 4093, 1021, 31
@@ -43,13 +48,12 @@ def letters(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
-def trigrams(text: Column) -> Column:
-    return F.regexp_extract_all(letters(text), F.lit("(?s)(?=(...))"), F.lit(1))
-
-
-def cell(gram: Column) -> Column:
-    code = lambda k: F.ascii(F.substring(gram, k, 1))
-    return F.pmod(code(1) * FIRST + code(2) * SECOND + code(3), F.lit(BUCKETS))
+def cells(told: str) -> Iterator[np.ndarray]:
+    """The cells of a text's trigrams, given its letters(), in order; each array but the last one is a whole number of pieces."""
+    step = PIECE * 4096
+    for at in range(0, max(len(told) - 2, 0), step):
+        codes = np.frombuffer(told[at : at + step + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        yield (codes[:-2] * FIRST + codes[1:-1] * SECOND + codes[2:]) % BUCKETS
 
 
 @dataclass(frozen=True)
@@ -59,15 +63,11 @@ class Model:
     languages: tuple[str, ...]
     table: tuple[tuple[int, ...], ...] = field(repr=False)
 
-    def row(self, k: int) -> Column:
-        """One language's cells as an array; one literal to Spark."""
-        return F.split(F.lit(",".join(map(str, self.table[k]))), ",").cast("array<int>")
-
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """A model of all documents with a language. What comes to the driver is a count for each language and cell."""
-    grams = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.coalesce(F.col(text), F.lit("")))).alias("g"))
-    counts = grams.groupBy("lang", cell(F.col("g")).alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letters(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    counts = settled(rows.mapInArrow(_counted, "lang string, cell int, c long").groupBy("lang", "cell").agg(F.sum("c").alias("c")))
     names = sorted(r["lang"] for r in docs.select(lang).distinct().where(F.col(lang).isNotNull()).limit(MOST + 1).toDF("lang").collect())
     if len(names) > MOST:
         raise ValueError(f"a model has at most {MOST} languages")
@@ -84,41 +84,58 @@ def _weight(c: Column, n: Column) -> Column:
     return F.round(F.log((c + 1.0) / (n + float(BUCKETS))) * 1000).cast("int")
 
 
-def _best(names: tuple[str, ...], scores: list[Column]) -> Column:
-    """The name of the highest score; the first of equal ones."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    out = F.lit(names[-1])
-    for n, s in reversed(list(zip(names, scores))[:-1]):
-        out = F.when(s == top, n).otherwise(out)
-    return out
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: dict[str, np.ndarray] = {}
+        for lang, told in zip(batch["lang"].to_pylist(), batch["t"].to_pylist()):
+            sums = found.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for part in cells(told):
+                sums += np.bincount(part, minlength=BUCKETS)
+        for lang, sums in found.items():
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["lang", "cell", "c"])
+
+
+def _judged(model: Model):
+    names, table = model.languages, np.array(model.table, np.int64).reshape(len(model.languages), BUCKETS)
+
+    def one(told: str) -> tuple:
+        scores, shares, n = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), 0
+        for part in cells(told):
+            if names:
+                pieces = np.add.reduceat(table[:, part], np.arange(0, len(part), PIECE), axis=1)
+                scores += pieces.sum(axis=1)
+                sizes = np.diff(np.append(np.arange(0, len(part), PIECE), len(part)))
+                shares += np.bincount(pieces.argmax(axis=0), sizes, len(names)).astype(np.int64)
+            n += len(part)
+        if not n or not names:
+            return UNKNOWN, 0.0, None, 0.0, n
+        best = int(scores.argmax())
+        sure = round(float(1 / np.exp((scores - scores[best]) / 1000.0 / np.sqrt(n)).sum()), 6)
+        shares[best] = 0
+        other = int(shares.argmax())
+        second = (names[other], round(int(shares[other]) / n, 6)) if shares[other] else (None, 0.0)
+        return names[best] if n >= LEAST and sure >= SURE else UNKNOWN, sure, *second, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*map(one, batch["t"].to_pylist()))) or [()] * 5
+            kinds = (pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, k) for c, k in zip(found, kinds)]], names=["doc_id", "label", "confidence", "second", "second_share", "trigrams"])
+
+    return run
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, label, confidence, second and second_share, trigrams, for every row.
 
     confidence is the best label's share of the likelihoods, their logarithms divided by the square root of the trigrams' number (neighbouring
-    trigrams are no independent witnesses). second is the language of most trigrams in pieces whose own label is another one.
+    trigrams are no independent witnesses). second is the language of most trigrams in pieces whose own label is another one. A document is
+    judged by itself, a batch of texts at a time: exploded trigrams would be many times the text.
     """
-    names = model.languages
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    if not names:
-        none = F.lit(None)
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("label"), F.lit(0.0).alias("confidence"), none.cast("string").alias("second"), F.lit(0.0).alias("second_share"), F.size(trigrams(F.col("t"))).cast("long").alias("trigrams"))
-    grams = rows.select("rid", "doc_id", F.posexplode_outer(trigrams(F.col("t"))).alias("pos", "g")).select("rid", "doc_id", F.floor(F.col("pos") / PIECE).alias("piece"), cell(F.col("g")).alias("cell"))
-    scores = [F.coalesce(F.sum(F.get(model.row(k), F.col("cell"))), F.lit(0)).alias(f"s{k}") for k in range(len(names))]
-    pieces = grams.groupBy("rid", "doc_id", "piece").agg(F.count("cell").alias("n"), *scores)
-    labelled = pieces.withColumn("own", _best(names, [F.col(f"s{k}") for k in range(len(names))]))
-    shares = [F.sum(F.when(F.col("own") == n, F.col("n")).otherwise(0)).alias(f"n{k}") for k, n in enumerate(names)]
-    whole = labelled.groupBy("rid", "doc_id").agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(names))], *shares)
-    totals = [F.col(f"s{k}") for k in range(len(names))]
-    top = F.greatest(*totals) if len(names) > 1 else totals[0]
-    over = sum((F.exp((s - top) / 1000.0 / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))) for s in totals), F.lit(0.0))
-    out = whole.withColumn("best", _best(names, totals)).withColumn("confidence", F.when(F.col("n") > 0, F.round(1.0 / over, 6)).otherwise(0.0))
-    others = [F.when(F.col("best") == n, -1).otherwise(F.col(f"n{k}")) for k, n in enumerate(names)]
-    most = F.greatest(*others) if len(names) > 1 else others[0]
-    out = out.withColumn("other", F.when(most > 0, _best(names, others))).withColumn("share", F.when(most > 0, F.round(most / F.col("n"), 6)).otherwise(0.0))
-    known = (F.col("n") >= LEAST) & (F.col("confidence") >= SURE)
-    return out.select("doc_id", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("label"), "confidence", F.col("other").alias("second"), F.col("share").alias("second_share"), F.col("n").alias("trigrams"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), letters(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    kind = T.StructType([rows.schema["doc_id"], *[T.StructField(n, k()) for n, k in (("label", T.StringType), ("confidence", T.DoubleType), ("second", T.StringType), ("second_share", T.DoubleType), ("trigrams", T.LongType))]])
+    return rows.mapInArrow(_judged(model), kind)
 
 
 def is_mixed() -> Column:
