@@ -44,7 +44,8 @@ def scoped(docs: DataFrame, families: list[Family], scopes: list[list[str]]) ->
     keyed = {f"{f.name}__{flag}": k for f in families for flag, k in f.keyed().items()}
     # Keyed flags are counted below; a flag that only a run over the corpus gives is not counted at all.
     counters = {f"{f.name}__{k}": c for f in families for k, c in f.counters().items() if k not in f.keyed() and (k not in f.flags or k in rows.columns)}
-    narrow = rows.drop("text")
+    # Texts are looked at once; all that follows reads these narrow rows.
+    narrow = settled(rows.drop("text"))
     told = narrow.groupingSets(scopes, *columns).agg(label(columns).alias("scope"), F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counters.items()]).drop(*columns)
     for name, k in keyed.items():
         mine = narrow if k.where is None else narrow.where(k.where)
@@ -57,7 +58,7 @@ def scoped(docs: DataFrame, families: list[Family], scopes: list[list[str]]) ->
     out = _values(settled(told), families)
     spreads = {m: s for f in families for m, s in f.spreads().items()}
     if spreads:
-        counts = settled(value_counts(rows, list(spreads), scopes, label(columns)))
+        counts = settled(value_counts(narrow, list(spreads), scopes, label(columns)))
         out = out.unionByName(described(counts, spreads).select("scope", "metric_id", "key", "value"))
     return out
 
