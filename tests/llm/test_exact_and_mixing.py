@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import pytest
 
@@ -118,6 +119,13 @@ def test_mixing_selects_by_random_over_inclusion_odds(spark):
     for r in plan.rows.collect():
         by_source[r["source"]].append(r)
     assert len({v for v in lam.values() if 0 < v < 1}) > 3  # the probabilities differ within a source
+    for r in (r for own in by_source.values() for r in own):  # sure and rank again: random odds by inclusion odds
+        p = lam[r["source"], r["octave"]]
+        assert r["sure"] == (p >= 1) and (r["rank"] is not None) == (0 < p < 1 and r["size"] > 0)
+        if r["rank"] is not None:
+            u = Fraction(2 * ((r["key"] % 2**64 >> 12) % 2**51) + 1, 2**52)
+            odds = u / (1 - u) / (Fraction(p) / (1 - Fraction(p)))
+            assert abs(r["rank"] - min(int(odds / (1 + odds) * 2**44), 2**44 - 1)) <= 1
     for source, own in by_source.items():
         goal = own[0]["target"] - own[0]["whole"] * own[0]["source_size"]
         sizes = defaultdict(int)

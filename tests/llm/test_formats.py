@@ -148,6 +148,11 @@ def test_media_query_equals_brute_force(spark, tmp_path):
     assert out["doc"]["segments"] == "kept" and out["segments"][0]["text"] == "x"
 
 
+def test_media_query_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert media.op6_media_columns(spark, str(tmp_path)).count() == 0
+
+
 # --- licenses ---------------------------------------------------------------
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -285,6 +290,21 @@ def test_packing_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_packing_of_a_document_longer_than_a_group(spark):
+    text = "word " * 120_000
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short one"), (3, text)], "doc_id long, text string"), group_tokens=50_000).collect()
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+    for own in pieces.values():
+        at = 0
+        for start, n, total in sorted(own):
+            assert start == at
+            at += n
+        assert at == total
+    assert len(pieces) == 3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB 's.,!?éßΣİ1٣日\U0001f600\x00\x1c\x7f\n\xa0<|>", max_size=60))
 def test_encoder_equals_tokenizer(text):

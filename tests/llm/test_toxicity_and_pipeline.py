@@ -222,7 +222,7 @@ def test_pipeline_without_rows_and_with_clashing_names(spark, tmp_path):
 
 
 def test_registered_names():
-    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -231,7 +231,7 @@ def test_oracles_agree(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, d)
