@@ -50,7 +50,9 @@ def _signatures(words: pd.Series) -> pd.Series:
 def signatures(texts: DataFrame) -> DataFrame:
     """doc_hash and sig of each distinct text with at least SHINGLE words."""
     one = texts.groupBy("doc_hash").agg(F.first("text").alias("text"))
-    return one.select("doc_hash", F.pandas_udf(_signatures, "array<bigint>")(tx.words(F.lower("text"))).alias("sig")).where("sig IS NOT NULL")
+    # The optimizer would else compute a signature for the filter and again for the row.
+    once = F.pandas_udf(_signatures, "array<int>").asNondeterministic()
+    return one.select("doc_hash", once(tx.words(F.lower("text"))).alias("sig")).where("sig IS NOT NULL")
 
 
 def rare_pairs(sigs: DataFrame, left: DataFrame, need: int) -> DataFrame:
