@@ -1,9 +1,9 @@
 """What documents were derived from: for each its topmost known ancestor, how far that is, and sums over all it came from.
 
 Parents are followed by pointer jumping: each round doubles the distance a document looks up, so a chain of n takes about log n rounds
-of joins. Documents whose top is known leave the rounds. If a round finishes none, no finite chain is left: one would
-have a document at every distance, and the nearest of those would have finished. What remains is on a cycle or leads into one;
-after enough further rounds every pointer is on a cycle, and all of a cycle's documents are pointed at, which tells them apart.
+of one join each. If a round finishes none, no finite chain is left: one would have a document at every distance, and the nearest
+of those would have finished. What remains is on a cycle or leads into one; after enough further rounds every pointer is on a
+cycle, and all of a cycle's documents are pointed at, which tells them apart.
 
 A parent of many children is hot on one side of the join alone, and has one row on the other; the join is dealt so that Spark can split it.
 
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
-from .ranks import beside
 
 STATES = ("root", "orphan", "derived", "cycle", "into cycle")
 
@@ -29,55 +28,53 @@ def closure(nodes: DataFrame) -> DataFrame:
     total is the value summed over the document and all its ancestors. A document on a cycle, or leading into one, has no top, depth or total.
     """
     own = settled(nodes.groupBy("id").agg(F.max(F.struct("parent", F.coalesce("value", F.lit(0)).alias("value"))).alias("m")).select("id", "m.parent", F.col("m.value").cast("double").alias("value")))
-    known = own.select(F.col("id").alias("ptr"), F.lit(True).alias("there"))
-    linked = beside(own.withColumnRenamed("parent", "ptr"), settled(known), ["ptr"], "left")
-    # far: how many steps up ptr is; total: the values on the way, ptr's own not among them.
+    open_ = F.col("there_").isNotNull()
+    linked = _looked_up(own, own.select(F.col("id").alias("id_"), F.lit(True).alias("there_")), "parent")
+    # ptr: the document itself once its top is known; far: how many steps up ptr is; total: the values on the way, an open ptr's own not among them.
     state = settled(
         linked.select(
-            "id", F.when(F.col("there"), F.col("ptr")).alias("ptr"), F.when(F.col("ptr").isNull(), "root").when(F.col("there").isNull(), "orphan").alias("kind"),
-            F.when(F.col("there"), 1).otherwise(0).cast("long").alias("far"), F.col("value").alias("total"),
+            "id", F.when(open_, F.col("parent")).otherwise(F.col("id")).alias("ptr"), F.when(open_, 1).otherwise(0).cast("long").alias("far"), F.col("value").alias("total"),
+            F.when(~open_, F.col("id")).alias("top"), F.when(F.col("parent").isNull(), "root").when(~open_, "orphan").alias("kind"),
         )
     )
-    ends = state.where("ptr IS NULL").select("id", F.col("id").alias("top"), F.col("kind"), F.col("far").alias("depth"), "total")
-    done, left, last = settled(ends), settled(state.where("ptr IS NOT NULL").drop("kind")), None
-    finished = [done]
-    count = left.count()
-    while count and count != last:
-        last = count
-        met = beside(left, settled(done.select(F.col("id").alias("ptr"), "top", F.col("depth").alias("more"), F.col("total").alias("sum"))), ["ptr"], "left")
-        met = settled(met)
-        new = settled(met.where("top IS NOT NULL").select("id", "top", F.lit("derived").alias("kind"), (F.col("far") + F.col("more")).alias("depth"), (F.col("total") + F.col("sum")).alias("total")))
-        rest = met.where("top IS NULL").select("id", "ptr", "far", "total")
-        finished.append(new)
-        left = settled(_jump(rest))
-        done = settled(done.unionByName(new))
-        count = left.count()
-    out = None
-    for part in finished:
-        rows = part.select("id", "top", "depth", "total", F.col("kind").alias("state"))
-        out = rows if out is None else out.unionByName(rows)
-    if count:
-        out = out.unionByName(_cycles(left, count))
-    return out
-
-
-def _jump(rest: DataFrame) -> DataFrame:
-    """Rows that point at one another look twice as far; those that point at a document just finished stay as they are."""
-    rest = settled(rest)
-    ahead = settled(rest.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("far").alias("more"), F.col("total").alias("sum")))
-    met = beside(rest, ahead, ["ptr"], "left")
-    moved = F.col("next").isNotNull()
-    return met.select("id", F.coalesce("next", "ptr").alias("ptr"), F.when(moved, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far"), F.when(moved, F.col("total") + F.col("sum")).otherwise(F.col("total")).alias("total"))
-
-
-def _cycles(left: DataFrame, count: int) -> DataFrame:
-    """What is on a cycle or leads into one; left has as many rows as count says."""
-    now = settled(left.select("id", "ptr"))
-    for _ in range(max(1, count.bit_length())):
-        now = settled(beside(now, settled(now.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))), ["ptr"]).select("id", F.col("next").alias("ptr")))
-    on = settled(now.select(F.col("ptr").alias("id")).distinct().withColumn("on", F.lit(True)))
-    told = beside(left.select("id"), on, ["id"], "left")
-    return told.select("id", F.lit(None).cast(left.schema["id"].dataType).alias("top"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("double").alias("total"), F.when(F.col("on"), "cycle").otherwise("into cycle").alias("state"))
+    left, last = state.where("kind IS NULL").count(), None
+    while left and left != last:
+        state, last = settled(_round(state)), left
+        left = state.where("kind IS NULL").count()
+    out = state.where("kind IS NOT NULL").select("id", "top", F.col("far").alias("depth"), "total", F.col("kind").alias("state"))
+    return out.unionByName(_cycles(state.where("kind IS NULL").select("id", "ptr"))) if left else out
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table (id_, ...) for the id in key, null where there is none; dealt so that a hot key can be split."""
+    deal = lambda df, c: df.withColumn("__" + c, F.xxhash64(c))
+    met = deal(rows, key).join(deal(table, "id_"), (F.col("__" + key) == F.col("__id_")) & (F.col(key) == F.col("id_")), "left")
+    return met.drop("__" + key, "__id_", "id_")
+
+
+def _round(state: DataFrame) -> DataFrame:
+    """Open rows that point at a document whose top is known take it over; the others look twice as far. One join, whatever is left."""
+    met = _looked_up(state, state.select([F.col(c).alias(f"{c}_") for c in state.columns]), "ptr")
+    stays, told = F.col("kind").isNotNull(), F.col("kind_").isNotNull()
+    return met.select(
+        "id", F.when(stays | told, F.col("id")).otherwise(F.col("ptr_")).alias("ptr"), F.when(stays, F.col("far")).otherwise(F.col("far") + F.col("far_")).alias("far"),
+        F.when(stays, F.col("total")).otherwise(F.col("total") + F.col("total_")).alias("total"), F.when(stays, F.col("top")).otherwise(F.col("top_")).alias("top"),
+        F.when(stays, F.col("kind")).when(told, "derived").alias("kind"),
+    )
+
+
+def _cycles(now: DataFrame) -> DataFrame:
+    """What is on a cycle or leads into one; all rows (id, ptr) look equally far.
+
+    What is pointed at from twice as far is part of what is pointed at now. As soon as both are equally many, steps permute them, so they are
+    the cycles: that takes as many rounds as the longest way into a cycle has binary digits.
+    """
+    before, here = None, now.select("ptr").distinct().count()
+    while here != before:
+        now = settled(_looked_up(now, now.select(F.col("id").alias("id_"), F.col("ptr").alias("next")), "ptr").select("id", F.col("next").alias("ptr")))
+        before, here = here, now.select("ptr").distinct().count()
+    told = _looked_up(now, now.select(F.col("ptr").alias("id_")).distinct().withColumn("on", F.lit(True)), "id")
+    return told.select("id", F.lit(None).cast(now.schema["id"].dataType).alias("top"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("double").alias("total"), F.when(F.col("on"), "cycle").otherwise("into cycle").alias("state"))
 
 
 def of_documents(docs: DataFrame, value: str = "size_bytes") -> DataFrame:

@@ -171,3 +171,15 @@ def test_stream_of_copies_with_sessions_and_late_rows(spark, tmp_path):
     assert [x[:5] for x in got if x[0] in "ab"] == [("a", 0, 3, 2, 3), ("a", 210, 11, 210, 1), ("b", 1, 9, 1, 1)]
     assert [x[5] for x in got if x[0] in "ab"][::2] == [True, True]
     assert sum(x[4] for x in got) + late == sum(map(len, batches))
+
+
+def test_lineage_takes_few_rounds(spark, monkeypatch):
+    """Each round is a join and a checkpoint on the driver's account: rings with short ways into them once took as many as the number of their documents has binary digits."""
+    from docgauge.operators import lineage
+
+    calls, settled = [], lineage.settled
+    monkeypatch.setattr(lineage, "settled", lambda df: calls.append(1) or settled(df))
+    rows = [(2 * k + i, 2 * k + 1 - i, 1) for k in range(3000) for i in range(2)] + [(10_000 + k, k, 1) for k in range(3000)]
+    got = closure(spark.createDataFrame(rows, "id long, parent long, value long")).groupBy("state").count().collect()
+    assert {tuple(r) for r in got} == {("cycle", 6000), ("into cycle", 3000)}
+    assert len(calls) <= 6
