@@ -27,10 +27,8 @@ def lineage(spark, d):
 
 def lineage_trees(spark, d):
     """The documents of each tree and how deep it is; state tells what stands at its top."""
-    found = settled(lineage(spark, d))
-    tops = found.where("id = top").select(F.col("id").alias("t"), "state")
-    rows = found.where("top IS NOT NULL").groupBy("top").agg(F.count(F.lit(1)).alias("docs"), F.max("depth").alias("depth"))
-    return rows.join(tops, F.col("top") == F.col("t")).select("top", "state", "docs", "depth")
+    state = F.max(F.when(F.col("id") == F.col("top"), F.col("state"))).alias("state")  # a tree has one document that is its own top
+    return lineage(spark, d).where("top IS NOT NULL").groupBy("top").agg(state, F.count(F.lit(1)).alias("docs"), F.max("depth").alias("depth"))
 
 
 def _tree(spark, d):
