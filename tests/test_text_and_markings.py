@@ -126,3 +126,19 @@ def test_minhash_confirms_near_copies(spark):
     texts += [" ".join(rng.choices([f"z{k}" for k in range(500)], k=100)) for _ in range(20)] + ["too few words", texts[0]]
     df = spark.createDataFrame([(str(hash(t)), t) for t in texts], "doc_hash string, text string")
     assert near_hashes(df).count() == 41
+
+
+def test_shares_make_lines_once_and_send_words_as_one_string(spark):
+    """Lines were split and stripped anew wherever an expression named them, and words went to Python as arrays."""
+    plan = lambda c: spark.range(1).select(F.col("id").cast("string").alias("t")).select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tx.intra_doc_repetition(F.col("t"))).count("split(") == 1
+    assert plan(tx.boilerplate_share(F.col("t"))).count("split(") == 2  # texts that may have a phrase, and others
+    assert "regexp_extract_all" not in plan(tx.ngram_repetition(F.col("t")))
+
+
+@pytest.mark.parametrize(("text", "boiler", "intra"), [
+    ("one two three four\nCOOKIE one two three four\nterms of ſervice and three more", 0.666667, 0.0), ("a  b\n　A \t B \n\x1c\n", 1.0, 0.5), ("cookie", 0.0, 0.0), ("x y z w\r\nx  y\tz w", 0.0, 0.5), ("", 0.0, 0.0),
+])
+def test_shares_of_odd_texts(spark, text, boiler, intra):
+    row = spark.createDataFrame([(text,)], "t string").select(tx.boilerplate_share(F.col("t")).alias("b"), tx.intra_doc_repetition(F.col("t")).alias("i")).first()
+    assert (row["b"], row["i"]) == (boiler, intra)
