@@ -61,3 +61,14 @@ def test_documents_of_one_template_make_few_pairs(spark):
         counts.append(near.rare_pairs(sigs, sigs, int(near.THRESHOLD * near.SLOTS) + 1).count())
         sigs.unpersist()
     assert counts[1] < 600 * 30 and counts[1] < 3 * max(counts[0], 600), counts
+
+
+def test_signatures_take_words_as_one_string(spark):
+    from docgauge.operators.near import _A, _B, PRIME, signatures
+
+    text = " ".join(f"Wort{k % 7} Σ{k}" for k in range(400))
+    rows = signatures(spark.createDataFrame([("h", text), ("few", "a b c d")], "doc_hash string, text string"))
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    words = text.lower().split(" ")
+    shingles = {int(hashlib.sha1(" ".join(words[k : k + 5]).encode()).hexdigest()[:7], 16) for k in range(len(words) - 4)}
+    assert [tuple(r) for r in rows.collect()] == [("h", [min((int(a) * h + int(b)) % PRIME for h in shingles) for a, b in zip(_A, _B)])]
