@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.directory import read_directory, validate
+from ..sources.directory import BUNDLE_DIR, read_directory, validate
 from ..sources.lines import numbered
 from ..sources.scratch import settled, shared_folder
 from ..sources.tables import read_table
@@ -74,7 +74,7 @@ def sidecar_scan(spark, d):
 
 def _built(spark, d) -> tuple[Path, dict]:
     root, _ = directory_of(spark, d)
-    return root, build(root, read_directory(spark, root), Origin("documents", "1"), signers=[KEY], families=FAMILIES)
+    return root, build(root, read_directory(spark, root), Origin("documents", "1"), signers=[KEY], families=FAMILIES, parts=True)
 
 
 def bundle_records(spark, d):
@@ -106,7 +106,7 @@ def bundle_checks(spark, d):
     amended = amend(root, [Conclusion("INT-004", "real", approved_by="a person")], [], signers=[KEY], verifiers=[KEY.verifier()])
     rows += [("amended", next(f["assessment"] for f in amended["findings"] if f["finding_id"] == "INT-004"))]
     rows += [("other key", str(verify(spark, root, [Signer(bytes(32), "query").verifier()]).checks["signature"]))]
-    files = sorted(p for p in root.rglob("*.*") if p.suffix in (".md", ".txt"))
+    files = sorted(p for p in root.rglob("*.*") if p.suffix in (".md", ".txt") and BUNDLE_DIR not in p.parts)
     files[0].write_text("changed")
     files[1].unlink()
     (root / "new.txt").write_text("new")
@@ -139,7 +139,7 @@ def derived_corpus(spark, d):
     """A corpus of the English documents alone, tied to the one it came from."""
     root, m = _built(spark, d)
     docs = read_directory(spark, root).where("source_locator LIKE 'en/%'")
-    child = build(shared_folder(spark, "derived"), docs, Origin("documents", "2", derived(BundleFolder(root), "filter", "English")), signers=[KEY], families=["volume"], policy=None)["corpus"]
+    child = build(shared_folder(spark, "derived"), docs, Origin("documents", "2", derived(BundleFolder(root), "filter", "English")), signers=[KEY], families=["volume"], policy=None, parts=True)["corpus"]
     row = (child["derived_from"]["parent_merkle_root"], child["derived_from"]["relation"], child["document_count"], child["total_bytes"])
     return spark.createDataFrame([row], "parent_root string, relation string, document_count long, total_bytes long")
 

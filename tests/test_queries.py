@@ -54,3 +54,11 @@ def test_plans_of_near_duplicates_do_not_show_each_other(spark):
     near = near_hashes(read_documents(spark, SF, defects=True).select("doc_hash", "text"))
     assert near.count() > 0
     assert len(near._jdf.queryExecution().toString()) < 10_000
+
+
+@pytest.mark.parametrize("name", ["derived_corpus", "investigation", "bundle_checks"])
+def test_records_do_not_pass_through_the_driver(spark, monkeypatch, name):
+    from docgauge.plans import bundle
+
+    monkeypatch.setattr(bundle, "write_records", lambda *_: pytest.fail("records were sent to the driver"))
+    assert QUERIES[name](spark, SF).count() > 0
