@@ -7,6 +7,7 @@ query states the same in SQL over the tables alone.
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,11 +34,15 @@ _LOCATOR = "coalesce(lang, 'none') || '/' || CAST(doc_id AS STRING) || CASE WHEN
 
 def _write(root: str):
     def run(batches):
+        made = set()
         for rows in batches:
             for name, text in zip(rows["locator"], rows["text"]):
-                path = Path(root) / name
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_bytes(text.encode("utf-8", "surrogatepass"))
+                path = f"{root}/{name}"
+                if (folder := os.path.dirname(path)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                with open(path, "wb") as f:
+                    f.write(text.encode("utf-8", "surrogatepass"))
             yield rows[["locator"]]
 
     return run
