@@ -6,6 +6,9 @@ time is closed by its timer: a closing row is told and its state goes, so a docu
 than the watermark reach no state; Spark counts them (late_rows).
 
 A session's first document is decided by event time and then by id, in whatever batches they come.
+
+Spark hands each group to Python by itself, which takes some milliseconds, so hashes share groups: a bucket's state holds the states of its
+hashes, and its timer is that of the hash that runs out first. A hash is told and closed as if it were alone.
 """
 
 from __future__ import annotations
@@ -20,40 +23,61 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A hash's state after a batch. session is the earliest event time of the batch that opened it; times are in milliseconds.
 CHANGE = "doc_hash string, session long, first_at long, first_id long, last_at long, copies long, closed boolean"
-STATE = "session long, first_at long, first_id long, last_at long, copies long"
 COLUMNS = [c.split()[0] for c in CHANGE.split(", ")]
+#: A bucket's state, a column for each of CHANGE but the last.
+STATE = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in CHANGE.split(", ")[:-1])
+#: Groups that hashes are dealt to.
+BUCKETS = 8192
+#: Stands for an id or a time that is missing: after all others.
+MISSING = (1 << 63) - 1
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> dict[str | None, tuple[int, int, int, int]]:
+    """By hash: earliest time and its smallest id, latest time, rows. A hot hash comes in many bounded batches."""
+    out: dict[str | None, tuple[int, int, int, int]] = {}
+    for rows in batches:
+        for h, i, ms in zip(rows["doc_hash"].tolist(), rows["doc_id"].tolist(), rows["ms"].tolist()):
+            at, first, last, n = out.get(h, (ms, i, -1 << 63, 0))
+            if (ms, i) < (at, first):
+                at, first = ms, i
+            out[h] = (at, first, max(last, ms) if ms != MISSING else last, n + 1)
+    return out
 
 
 def _advance(idle_ms: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], *state.get, True)], columns=COLUMNS)
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {h: rest for h, *rest in zip(*state.get)} if state.exists else {}
+        now = {} if state.hasTimedOut else _gathered(batches)
+        mark, told = state.getCurrentWatermarkMs(), []
+        for h, (at, i, last, n) in now.items():
+            session = at
+            if h in known:
+                session, first_at, first_id, before, had = known[h]
+                (at, i), last, n = min((at, i), (first_at, first_id)), max(last, before), n + had
+            if session == MISSING:
+                raise ValueError(f"no document of hash {h} has a time")
+            known[h] = [session, at, i, last, n]
+            told.append((h, *known[h], False))
+        over = [h for h, x in known.items() if h not in now and x[3] + idle_ms < mark]
+        told += [(h, *known.pop(h), True) for h in over]
+        if known:
+            state.update(tuple(map(list, zip(*((h, *x) for h, x in known.items())))))
+            state.setTimeoutTimestamp(max(min(x[3] for x in known.values()) + idle_ms, mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        first, last, copies = None, None, 0
-        for rows in batches:  # a hot hash comes in many bounded batches
-            at = rows["ms"]
-            mine = (int(at.min()), int(rows["doc_id"][at == at.min()].min()))
-            first = mine if first is None else min(first, mine)
-            last = int(at.max()) if last is None else max(last, int(at.max()))
-            copies += len(rows)
-        if first is None:
-            return
-        session = first[0]
-        if state.exists:
-            session, first_at, first_id, before, had = state.get
-            first, last, copies = min(first, (first_at, first_id)), max(last, before), copies + had
-        state.update((session, *first, last, copies))
-        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], session, *first, last, copies, False)], columns=COLUMNS)
+        if told:
+            yield pd.DataFrame(told, columns=COLUMNS)
 
     return step
 
 
-def copies(docs: DataFrame, time_col: str, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
-    """CHANGE rows of a stream with doc_id and doc_hash, to be appended to a table."""
-    rows = docs.withWatermark(time_col, late).select("doc_hash", "doc_id", time_col, F.unix_millis(time_col).alias("ms"))
-    return rows.groupBy("doc_hash").applyInPandasWithState(_advance(idle_ms), CHANGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def copies(docs: DataFrame, time_col: str, late: str = "10 minutes", idle_ms: int = 3_600_000, buckets: int = BUCKETS) -> DataFrame:
+    """CHANGE rows of a stream with doc_id and doc_hash, to be appended to a table. A stream keeps its number of buckets."""
+    whole = lambda c: F.coalesce(c, F.lit(MISSING))
+    bucket = F.pmod(F.xxhash64("doc_hash"), F.lit(buckets)).alias("bucket")
+    rows = docs.withWatermark(time_col, late).select("doc_hash", whole(F.col("doc_id").cast("long")).alias("doc_id"), time_col, whole(F.unix_millis(time_col)).alias("ms"), bucket)
+    told = rows.groupBy("bucket").applyInPandasWithState(_advance(idle_ms), CHANGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return told.withColumn("first_id", F.nullif("first_id", F.lit(MISSING)))
 
 
 def current(changes: DataFrame) -> DataFrame:

@@ -173,6 +173,36 @@ def test_stream_of_copies_with_sessions_and_late_rows(spark, tmp_path):
     assert sum(x[4] for x in got) + late == sum(map(len, batches))
 
 
+def test_stream_of_copies_keeps_few_groups(spark, tmp_path):
+    """A group for each hash once cost some milliseconds each; hashes that share a group are still told and closed one by one."""
+    start, schema = datetime(2026, 1, 1), "doc_id long, doc_hash string, at timestamp"
+    rnd = random.Random(5)
+    first = [(k, f"h{rnd.randrange(200)}", start + timedelta(minutes=rnd.randrange(60))) for k in range(600)] + [(None, "no id", start)]
+    later = [(1000 + k, f"h{k}", start + timedelta(minutes=600)) for k in range(0, 400, 2)]  # the others run out
+    last = [(2000, "end", start + timedelta(minutes=601))]
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        docs = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = st.copies(docs, "at", late="1 minute", idle_ms=60_000, buckets=16).writeStream.format("parquet").outputMode("append")
+        q = q.option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators)
+
+    assert max(map(run, (first, later, last))) <= 16
+    want, ms = {}, lambda at: round((at - start).total_seconds() * 1000)
+    for rows in (first, later, last):
+        # The watermark is at 58 minutes after the first run: what is a minute older has run out before the second run's documents come.
+        open_at = {h for (h, again), v in want.items() if not again and max(v)[0] >= 57 * 60_000} if rows is not first else set()
+        for i, h, at in rows:
+            want.setdefault((h, at.hour >= 9 and h not in open_at), []).append((ms(at), i))
+    got = st.current(spark.read.parquet(str(tmp_path / "out"))).collect()
+    base = min(r["session"] for r in got)  # "no id" has its only document at the start
+    told = {(r["doc_hash"], r["session"] - base >= 540 * 60_000): r for r in got}
+    assert {k: (r["first_at"] - base, r["first_id"], r["last_at"] - base, r["copies"]) for k, r in told.items()} == {k: (*min(v), max(x[0] for x in v), len(v)) for k, v in want.items()}
+    assert all(r["closed"] for k, r in told.items() if not k[1] and r["last_at"] - base < 57 * 60_000) and not told["end", True]["closed"]
+
+
 def test_lineage_takes_few_rounds(spark, monkeypatch):
     """Each round is a join and a checkpoint on the driver's account: rings with short ways into them once took as many as the number of their documents has binary digits."""
     from docgauge.operators import lineage
