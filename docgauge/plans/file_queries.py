@@ -49,19 +49,16 @@ def _write(root: str):
 
 
 def directory_of(spark: SparkSession, d: str, sidecar: bool = False) -> tuple[Path, Path | None]:
-    """The documents as files below a new folder, and the labels as a sidecar beside it."""
+    """The documents as files below a new folder, and the labels as a sidecar beside it, a folder of parts."""
     root = shared_folder(spark, "corpus")
     docs = read_table(spark, d, "documents").select("doc_id", F.expr(_LOCATOR).alias("locator"), F.coalesce("text", F.lit("")).alias("text"))
     docs.select("locator", "text").mapInPandas(_write(str(root)), "locator string").agg(F.count("locator")).collect()
     if not sidecar:
         return root, None
-    out = shared_folder(spark, "sidecar")
     side = read_table(spark, d, "labels").join(docs.select("doc_id", "locator"), "doc_id").dropDuplicates(["locator"])
     entry = F.struct("locator", F.concat(F.lit("labels-"), "toxic").alias("source_system"), F.col("doc_id").cast("string").alias("source_id"), F.lit("2026-01-02").alias("collected_at"), F.struct(F.lit("B").alias("source")).alias("reliability"))
-    path = out / "sidecar.jsonl"
-    with path.open("w") as f:
-        for r in side.select(F.to_json(entry).alias("j")).toLocalIterator():
-            f.write(r["j"] + "\n")
+    path = shared_folder(spark, "sidecar") / "parts"
+    side.select(F.to_json(entry).alias("value")).write.text(str(path))
     return root, path
 
 

@@ -93,6 +93,31 @@ def test_directory_of_many_files_is_listed_and_read_in_few_tasks(spark, tmp_path
     assert read_directory(spark, tmp_path / "none").count() == 0
 
 
+def test_sidecar_in_parts(spark, corpus, tmp_path):
+    """A sidecar may be a folder of parts, as executors write it; an unusable line is named with its part."""
+    side = tmp_path / "side"
+    side.mkdir()
+    (side / "part-0").write_text('{"locator": "a/memo-1.txt", "source_id": "7"}\n\n')
+    (side / "part-1").write_text('{"locator": "b/report.md", "source_id": "8"}\n')
+    got = {r["source_locator"]: r["source_id"] for r in validate(read_directory(spark, corpus, side)).collect()}
+    assert got == dict.fromkeys(FILES) | {"a/memo-1.txt": "7", "b/report.md": "8"}
+    for bad, what in (('\n{"locator": "empty.txt", "owner": 1}\n', "part-2:2: unknown field"), ('{"locator": "a/memo-1.txt"}\n', "part-2:1: locator 'a/memo-1.txt' appears twice")):
+        (side / "part-2").write_text(bad)
+        with pytest.raises(ProvenanceError, match=what):
+            read_directory(spark, corpus, side)
+
+
+def test_sidecar_is_not_written_by_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from docgauge.plans.file_queries import directory_of
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("the sidecar was sent to the driver"))
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *_: pytest.fail("the sidecar was sent to the driver"))
+    _, side = directory_of(spark, "/root/testdata/sf0.001", sidecar=True)
+    assert spark.read.text(str(side)).count() == spark.read.parquet("/root/testdata/sf0.001/labels.parquet").count()
+
+
 def test_build_and_findings(built):
     _, _, m = built
     assert value(m, "dup.exact_count") == 2 and value(m, "dup.near_count") >= 2 and value(m, "vol.total_docs") == 11
