@@ -10,17 +10,17 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.directory import BUNDLE_DIR, read_directory, validate
 from ..sources.lines import numbered
-from ..sources.scratch import settled, shared_folder
+from ..sources.scratch import shared_folder
 from ..sources.tables import read_table
 from ..streaming.score import FLAGS as STREAM_FLAGS
 from ..streaming.score import flag_counts
 from . import gate
-from .bundle import Origin, amend, build, derived, verify
+from .bundle import RECORD, Origin, amend, build, derived, verify
 from .inquiry import TOOLS, Bundle, play
 from .ledger import Ledger
 from .manifest import BundleFolder, Conclusion
@@ -36,14 +36,14 @@ def _write(root: str):
     def run(batches):
         made = set()
         for rows in batches:
-            for name, text in zip(rows["locator"], rows["text"]):
+            for name, text in zip(*[c.to_pylist() for c in rows.columns]):
                 path = f"{root}/{name}"
                 if (folder := os.path.dirname(path)) not in made:
                     os.makedirs(folder, exist_ok=True)
                     made.add(folder)
                 with open(path, "wb") as f:
-                    f.write(text.encode("utf-8", "surrogatepass"))
-            yield rows[["locator"]]
+                    f.write(text)
+            yield rows.select(["locator"])
 
     return run
 
@@ -52,7 +52,7 @@ def directory_of(spark: SparkSession, d: str, sidecar: bool = False) -> tuple[Pa
     """The documents as files below a new folder, and the labels as a sidecar beside it, a folder of parts."""
     root = shared_folder(spark, "corpus")
     docs = read_table(spark, d, "documents").select("doc_id", F.expr(_LOCATOR).alias("locator"), F.coalesce("text", F.lit("")).alias("text"))
-    docs.select("locator", "text").mapInPandas(_write(str(root)), "locator string").agg(F.count("locator")).collect()
+    docs.select("locator", F.col("text").cast("binary")).mapInArrow(_write(str(root)), "locator string").agg(F.count("locator")).collect()
     if not sidecar:
         return root, None
     side = read_table(spark, d, "labels").join(docs.select("doc_id", "locator"), "doc_id").dropDuplicates(["locator"])
@@ -93,11 +93,8 @@ def record_order(spark, d):
     """Where each record stands in a bundle's records: by hash, and then by the parts of its locator."""
     root, _ = directory_of(spark, d)
     build(root, read_directory(spark, root), Origin("documents", "1"), signers=[KEY], families=["volume"], policy=None, parts=True)
-    rows = settled(numbered(spark, str(BundleFolder(root).records)))
-    parts = rows.groupBy("file").agg(F.max("no").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
-    told = rows.join(parts.select("file", before.alias("before")), "file")
-    return told.select((F.col("no") + F.col("before")).alias("place"), F.get_json_object("value", "$.doc_hash").alias("doc_hash"), F.get_json_object("value", "$.envelope.source_locator").alias("source_locator"))
+    rows = numbered(spark, str(BundleFolder(root).records), through=True)
+    return rows.select(F.col("no").alias("place"), F.from_json("value", RECORD).alias("r")).select("place", "r.doc_hash", "r.envelope.source_locator")
 
 
 def bundle_checks(spark, d):

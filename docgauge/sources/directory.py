@@ -24,7 +24,7 @@ ADAPTER_NAME, ADAPTER_VERSION = "plaintext", "0.1.0"
 MEDIA_TYPES = {".txt": "text/plain", ".md": "text/markdown"}
 HEX64 = "^[0-9a-f]{64}$"
 #: Names that a task lists at a time, files that a task reads, and bytes of contents that it holds (and one file's).
-LISTED, FILES_A_TASK, HELD = 10_000, 1024, 4 << 20
+LISTED, FILES_A_TASK, HELD = 10_000, 8192, 4 << 20
 
 
 class ProvenanceError(ValueError):
@@ -135,11 +135,11 @@ def read_directory(spark: SparkSession, root: str | Path, provenance: str | None
         if lost:
             raise ProvenanceError(f"{provenance}: locator(s) not in the corpus: {', '.join(r['locator'] for r in lost)}")
         files = files.join(side, "locator", "left")
-    else:
-        files = files.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SIDECAR])
     tasks = max(1, min(n, 2 * spark.sparkContext.defaultParallelism), n // FILES_A_TASK)
     shape = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
     files = files.repartition(tasks).mapInArrow(_contents(os.fsencode(base)), shape)
+    if not provenance:
+        files = files.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SIDECAR])
     suffix = F.regexp_extract(F.lower("locator"), r"(\.[a-z0-9]+)$", 1)
     by_suffix = F.lit(None).cast("string")
     for k, v in MEDIA_TYPES.items():

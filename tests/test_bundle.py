@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from docgauge import cli
 from docgauge.operators.catalog import catalog, metric
 from docgauge.operators.quantiles import Spread, bucket, distributions
-from docgauge.plans import bundle, envelope, gate, inquiry, ledger, manifest, merkle, signing
+from docgauge.plans import bundle, envelope, file_queries, gate, inquiry, ledger, manifest, merkle, signing
 from docgauge.plans.measure import measure
+from docgauge.sources import directory, lines, scratch
 from docgauge.sources.directory import BUNDLE_DIR, ProvenanceError, read_directory, validate
 
 PROSE = "The committee met on Tuesday and agreed on the plan for the coming quarter, which covers roads, schools and the water works. "
@@ -118,6 +119,28 @@ def test_sidecar_is_not_written_by_the_driver(spark, monkeypatch):
     assert spark.read.text(str(side)).count() == spark.read.parquet("/root/testdata/sf0.001/labels.parquet").count()
 
 
+def test_tasks_of_a_large_directory(spark, tmp_path, monkeypatch):
+    """Tasks of 1,024 files were 98 for 100,000, each with a block for every partition of a shuffle, so blocks grew with the square of the input."""
+    monkeypatch.setattr(directory, "listed", lambda *_: (spark.range(100_000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS path", "CAST(id AS STRING) AS locator"), 100_000))
+    assert read_directory(spark, tmp_path).rdd.getNumPartitions() <= 12
+
+
+def test_record_order_keeps_no_lines(spark, tmp_path, monkeypatch):
+    """Numbered lines were kept as a checkpoint, whole records and all, to add up the parts; now files go on where the one before ended."""
+    kept = []
+    monkeypatch.setattr(lines, "settled", lambda df: kept.append(df.columns) or scratch.settled(df))
+    monkeypatch.setattr(file_queries, "settled", lambda df: kept.append(df.columns) or scratch.settled(df), raising=False)
+    sf = "/root/testdata/sf0.001"
+    rows = file_queries.record_order(spark, sf)
+    assert kept == [["file", "split", "shift"]]
+    assert [r["place"] for r in rows.orderBy("doc_hash", F.split("source_locator", "/")).collect()] == list(range(1, spark.read.parquet(f"{sf}/documents.parquet").count() + 1))
+    for k, text in enumerate(("a\n\nb\n", "", "c", "d\ne\n")):
+        (tmp_path / f"part-{k}").write_text(text)
+    told = lambda **x: [(r["no"], r["value"]) for r in lines.numbered(spark, str(tmp_path), **x).orderBy("file", "no").collect()]
+    assert told(through=True) == [(1, "a"), (2, ""), (3, "b"), (4, "c"), (5, "d"), (6, "e")]
+    assert told() == [(1, "a"), (2, ""), (3, "b"), (1, "c"), (1, "d"), (2, "e")]
+
+
 def test_build_and_findings(built):
     _, _, m = built
     assert value(m, "dup.exact_count") == 2 and value(m, "dup.near_count") >= 2 and value(m, "vol.total_docs") == 11
