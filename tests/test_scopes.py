@@ -63,3 +63,30 @@ def test_rules_by_scope(spark, docs):
 
 def test_no_documents(spark, docs):
     assert scoped(docs.where("false"), select_families(config=SETTINGS), [[], ["source"]]).count() == 0
+
+
+def test_near_duplicates_of_scopes_equal_runs_over_their_documents(spark, docs):
+    """Every fifth text of one source has a near copy in the same, every seventh in another source."""
+    more = docs.withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3)).where("length(text) > 300").select("doc_id", "source", "doc_hash", "text", "size_bytes")
+    copy = lambda every, source: more.where(f"doc_id % {every} = 0").withColumns({"source": source, "text": F.concat("text", F.lit(" and an end of its own"))}).withColumn("doc_hash", F.sha2(F.col("text").cast("binary"), 256))
+    rows = more.union(copy(5, F.col("source"))).union(copy(7, F.lit("s0"))).persist()
+    families = select_families(["duplication"])
+    got = {(r["scope"], r["metric_id"]): r["value"] for r in scoped(rows, families, [[], ["source"]], compare=True).collect()}
+    near = {}
+    for scope, where in (("all", "true"), *((f"source=s{k}", f"source = 's{k}'") for k in range(3))):
+        m = measure(rows.where(where), ["duplication"])
+        m.docs.unpersist()
+        for r in m.results:
+            assert got[scope, r["metric_id"]] == r["value"], (scope, r["metric_id"])
+        near[scope] = got[scope, "dup.near_count"]
+    assert near["all"] > sum(v for k, v in near.items() if k != "all") > 0
+
+
+def test_queries_tell_near_duplicates_of_scopes(spark):
+    from docgauge.plans.corpus_queries import _scoped
+
+    rules = [r.rule_id for r in gate.load_policy().rules if r.metric_id.startswith("dup.near")]
+    seen = _scoped(spark, SF, [[], ["lang"]]).where("metric_id LIKE 'dup.near%'").persist()
+    assert {r["scope"] for r in seen.collect()} >= {"all", "lang=en"} and seen.where("value IS NULL").count() == 0
+    judged = gate.judge(gate.load_policy(), gate.scoped_table(seen), every_scope=True).where(F.col("rule_id").isin(rules))
+    assert rules and {r["status"] for r in judged.collect()} <= {"pass", "flag", "fail"}
