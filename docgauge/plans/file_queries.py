@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.directory import BUNDLE_DIR, read_directory, validate
+from ..sources.directory import MEDIA_TYPES, listed, read_directory, validate
 from ..sources.lines import numbered
 from ..sources.scratch import shared_folder
 from ..sources.tables import read_table
@@ -97,6 +97,13 @@ def record_order(spark, d):
     return rows.select(F.col("no").alias("place"), F.from_json("value", RECORD).alias("r")).select("place", "r.doc_hash", "r.envelope.source_locator")
 
 
+def first_files(spark: SparkSession, root: Path, n: int) -> list[Path]:
+    """The first n texts below root, by the parts of their paths. Executors list them, and the driver gets n names."""
+    files, _ = listed(spark, root)
+    texts = files.where(F.col("locator").rlike(f"({'|'.join(s.replace('.', '[.]') for s in MEDIA_TYPES)})$"))
+    return [root / os.fsdecode(bytes(r["path"])) for r in texts.orderBy(F.split("locator", "/")).limit(n).collect()]
+
+
 def bundle_checks(spark, d):
     """What a manifest says, the checks of verification, an amendment, and the differences after files were changed."""
     root, m = _built(spark, d)
@@ -105,7 +112,7 @@ def bundle_checks(spark, d):
     amended = amend(root, [Conclusion("INT-004", "real", approved_by="a person")], [], signers=[KEY], verifiers=[KEY.verifier()])
     rows += [("amended", next(f["assessment"] for f in amended["findings"] if f["finding_id"] == "INT-004"))]
     rows += [("other key", str(verify(spark, root, [Signer(bytes(32), "query").verifier()]).checks["signature"]))]
-    files = sorted(p for p in root.rglob("*.*") if p.suffix in (".md", ".txt") and BUNDLE_DIR not in p.parts)
+    files = first_files(spark, root, 2)
     files[0].write_text("changed")
     files[1].unlink()
     (root / "new.txt").write_text("new")

@@ -62,3 +62,15 @@ def test_records_do_not_pass_through_the_driver(spark, monkeypatch, name):
 
     monkeypatch.setattr(bundle, "write_records", lambda *_: pytest.fail("records were sent to the driver"))
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_first_files_are_found_without_the_driver_listing_them(spark, tmp_path, monkeypatch):
+    from docgauge.plans.file_queries import first_files
+
+    for name in ("de/10.md", "de/9.txt", "de-x/1.md", ".docgauge/0.txt", "de/9.json", "b.txt", "a/.docgauge/0.md", "a/z/é.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    want = sorted(p for p in tmp_path.rglob("*.*") if p.suffix in (".md", ".txt") and ".docgauge" not in p.parts)
+    assert [first_files(spark, tmp_path, n) for n in (2, 9)] == [want[:2], want] and len(want) == 5
+    monkeypatch.setattr("pathlib.Path.rglob", lambda *_: pytest.fail("the driver lists every file"))
+    assert QUERIES["bundle_checks"](spark, SF).count() == 17
