@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, pin, sweep
+from .common import dealt_join, pin, sweep, unsent, unsized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,15 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of that label, so
     a chain of n nodes takes about log n rounds and a star two. Hubs, and labels that many nodes have, may be split.
     """
-    both = pin(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    both = unsized(pin(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    labels = unsized(pin(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))))
     while True:
         near = dealt_join(both, labels, "b", "node").groupBy("a").agg(F.min("comp").alias("near"))
-        new = pin(labels.join(near, F.col("node") == F.col("a"), "left").select("node", "comp", F.least("comp", "near").alias("next")))
+        new = pin(labels.join(unsent(near), F.col("node") == F.col("a"), "left").select("node", "comp", F.least("comp", "near").alias("next")))
         jump = new.select(F.col("node").alias("j"), F.col("next").alias("jump"))
         new = pin(dealt_join(new, jump, "next", "j").select("node", "comp", F.least("next", "jump").alias("next")))
         changed = new.where("comp <> next").limit(1).count()
-        labels = new.select("node", F.col("next").alias("comp"))
+        labels = unsized(new.select("node", F.col("next").alias("comp")))
         near = jump = new = None
         sweep(edges.sparkSession)
         if not changed:
@@ -43,7 +43,7 @@ def chains(links: DataFrame) -> DataFrame:
         step = now.select(F.col("node").alias("j"), F.col("ptr").alias("far"), F.col("best").alias("more"))
         new = pin(dealt_join(now, step, "ptr", "j").select("node", F.col("far").alias("ptr"), F.col("best").alias("old"), F.least("best", "more").alias("best")))
         changed = new.where("old <> best").limit(1).count()
-        now, step = new.select("node", "ptr", "best"), None
+        now, step = unsized(new.select("node", "ptr", "best")), None
         sweep(links.sparkSession)
         if not changed:
             return now.select("node", F.col("best.id").alias("comp"))
@@ -82,7 +82,7 @@ def cross_waves(posts: DataFrame, cols: list[str], may_link: Callable[[str, str]
     """
     comps = components(edges)
     for wave in range(waves):
-        own = pin(posts.join(comps, F.col("id") == F.col("node"), "left").select("tok", "id", *cols, F.coalesce("comp", "id").alias("comp")))
+        own = pin(posts.join(unsent(comps), F.col("id") == F.col("node"), "left").select("tok", "id", *cols, F.coalesce("comp", "id").alias("comp")))
         stats = pin(own.groupBy(F.col("tok").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")))
         if not stats.where("lo <> hi").limit(1).count():
             break

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats, wordhash
-from .common import arrow_limits, dealt_join, input_parts, marked, pin, read, sketch, sweep, text_of
+from .common import arrow_limits, dealt_join, input_parts, marked, pin, read, sketch, sweep, text_of, unsent
 from .graph import cross_waves, star_pairs, tagged
 from .memory import tidy
 
@@ -244,8 +244,8 @@ def _verify(edits: int):
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     text = lines.select("id", "line")
-    right = pairs.join(tagged(text, "b"), F.col("b") == F.col("id_b")).select("a", "b", "line_b")
-    both = right.join(tagged(text, "a"), F.col("a") == F.col("id_a")).select("a", "b", "line_a", "line_b")
+    right = pairs.join(unsent(tagged(text, "b")), F.col("b") == F.col("id_b")).select("a", "b", "line_b")
+    both = right.join(unsent(tagged(text, "a")), F.col("a") == F.col("id_a")).select("a", "b", "line_a", "line_b")
     return both.mapInArrow(tidy(_verify(edits)), "a long, b long")
 
 
@@ -297,16 +297,16 @@ def _last_pairs(own: DataFrame, counts: DataFrame, lines: DataFrame, edits: int,
     """
     spark = own.sparkSession
     crowded = counts.where(F.col("n") > CROWD).select(F.col("k").alias("ck"), F.lit(True).alias("crowd"))
-    own = pin(own.join(crowded, F.col("tok") == F.col("ck"), "left").drop("ck"))
-    texts = lines.join(own.where("crowd").select(F.col("id").alias("oid")).distinct(), F.col("id") == F.col("oid"), "left_semi").select("id", "line")
+    own = pin(own.join(unsent(crowded), F.col("tok") == F.col("ck"), "left").drop("ck"))
+    texts = lines.join(unsent(own.where("crowd").select(F.col("id").alias("oid")).distinct()), F.col("id") == F.col("oid"), "left_semi").select("id", "line")
     total = np.zeros(GRAM_BUCKETS, np.int64)
     for r in texts.select("line").mapInArrow(tidy(_gram_counts), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         total[r["bucket"]] = r["n"]  # GRAM_BUCKETS rows at most
     shared = spark.sparkContext.broadcast(total)
     rare = texts.mapInArrow(tidy(_rare_grams(edits, shared)), "gid long, gram long")
-    fine = own.where("crowd").join(rare, F.col("id") == F.col("gid")).withColumn("tok", F.xxhash64("tok", "gram")).drop("gid", "gram", "crowd")
+    fine = own.where("crowd").join(unsent(rare), F.col("id") == F.col("gid")).withColumn("tok", F.xxhash64("tok", "gram")).drop("gid", "gram", "crowd")
     both = own.where("crowd IS NULL").drop("crowd").unionByName(fine)
-    meet = tagged(both, "x").join(tagged(both, "y"), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y")) & may_link("x", "y"))
+    meet = tagged(both, "x").join(unsent(tagged(both, "y")), (F.col("tok_x") == F.col("tok_y")) & (F.col("comp_x") < F.col("comp_y")) & may_link("x", "y"))
     return meet.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
@@ -361,15 +361,15 @@ def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = MI
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     spots, classes = repeated_lines(rows, edits, least, short)
     classes = pin(classes)
-    named = pin(spots.join(classes, F.col("lid") == F.col("node"), "left").select("doc_id", "th", "line_no", F.coalesce("comp", "lid").alias("class")))
+    named = pin(spots.join(unsent(classes), F.col("lid") == F.col("node"), "left").select("doc_id", "th", "line_no", F.coalesce("comp", "lid").alias("class")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line_no")
     first = pin(named.groupBy(F.col("class").alias("c")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    gone = named.join(first, F.col("class") == F.col("c")).where(~place.eqNullSafe(F.col("first")))
+    gone = named.join(unsent(first), F.col("class") == F.col("c")).where(~place.eqNullSafe(F.col("first")))
     gone = pin(gone.groupBy(F.col("doc_id").alias("gid"), F.col("th").alias("gth")).agg(F.collect_set("line_no").alias("gone")))
     rows = marked(rows, F.xxhash64("doc_id", "th"), sketch(gone, F.xxhash64("gid", "gth")), "maybe")
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     alone = rows.where("not maybe").select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
-    met = rows.where("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
+    met = rows.where("maybe").join(unsent(gone), F.col("doc_id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     return alone.unionByName(met.select("doc_id", "text", "gone").mapInArrow(tidy(_drop), "doc_id long, n_lines long, n_dropped long, kept string"))
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docgauge.llm import repeats, wordhash
-from docgauge.llm.graph import components
+from docgauge.llm.graph import chains, components
 from docgauge.llm.line_dedup import drop_repeated_lines, keys_of, within
 from docgauge.llm.near_join import near_join, one_of_each
 from docgauge.llm.substring_dedup import remove_repeats, repeated_spans
@@ -320,6 +320,21 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, **{100 + k: 100 for k in range(41)}}
 
 
+@pytest.mark.parametrize("find", [components, chains])
+def test_sizes_that_spark_takes_tables_to_have_do_not_grow_with_rounds(spark, find):
+    out = find(spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long"))
+    assert out.count() == 201 and {r["comp"] for r in out.collect()} == {0}
+    assert int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 64
+
+
+def test_lines_are_never_broadcast(spark):
+    rows = docs(spark, [(k, f"a line that many have\na line of its own, number {k * 7919} of all\na line that many hav{k % 3}") for k in range(30)])
+    out = drop_repeated_lines(rows, short=True)
+    assert len(out.collect()) == 30
+    sent = re.findall(r"BroadcastHashJoin \[(.*?)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert sent and all("__row" in x for x in sent), sent  # the sketch, whose rows are bounded
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é\n\t\x0b\x1c日", max_size=40)), max_size=8))
 def test_word_hashes_follow_the_words(texts):
